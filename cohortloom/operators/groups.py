@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from cohortloom.functions.classify import day_bins
 from cohortloom.functions.scalars import answered, days_between, flag
 from cohortloom.operators.ordered import ordered_rows
-from cohortloom.operators.skew import MIN_HOT_ROWS, attach, order_columns
+from cohortloom.operators.skew import attach, order_columns, split_above
 
 
 HELPERS = ("_rn", "_prev", "_first", "_many")
 
 
-def attach_group(df: DataFrame, keys: list[str], aggs: Mapping[str, Column], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def attach_group(df: DataFrame, keys: list[str], aggs: Mapping[str, Column], min_rows: int | None = None) -> DataFrame:
     """Add aggregates of each row's group.
 
     Aggregates are combined map-side and looked up, instead of a window that
@@ -29,7 +29,7 @@ def attach_group(df: DataFrame, keys: list[str], aggs: Mapping[str, Column], min
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_group_n"), *[a.alias(name) for name, a in aggs.items()]
     )
-    return attach(df, stats, keys, "_group_n", min_rows)
+    return attach(df, stats, keys, "_group_n", split_above(df, min_rows))
 
 
 def group_size(df: DataFrame, keys: list[str], name: str = "group_size") -> DataFrame:
@@ -180,7 +180,7 @@ def regroup_sizes(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
 
 def _trajectory(
     forms: DataFrame, key: str, ts: str, tie: str, name: str, scores: list[str],
-    types: Iterable[str], baseline_types: Iterable[str], complete: Column | None, min_rows: int,
+    types: Iterable[str], baseline_types: Iterable[str], complete: Column | None, min_rows: int | None,
 ) -> DataFrame:
     """Rows of the wanted form types, for groups with a baseline form, with all per-row measures.
 
@@ -218,7 +218,7 @@ def _weeks(days: Column) -> Column:
 
 def trajectory_multi(
     forms: DataFrame, key: str, ts: str, ratings: list[str], types: Iterable[str], baseline_types: Iterable[str],
-    name: str = "name", tie: str = "id", pct: Iterable[str] = (), min_rows: int = MIN_HOT_ROWS,
+    name: str = "name", tie: str = "id", pct: Iterable[str] = (), min_rows: int | None = None,
 ) -> DataFrame:
     """Several ratings per session, each with its change from the first session."""
     rows = _trajectory(forms, key, ts, tie, name, list(ratings), types, baseline_types, None, min_rows)
@@ -235,7 +235,7 @@ def trajectory_multi(
 
 def trajectory_score(
     forms: DataFrame, key: str, ts: str, items: list[str], types: Iterable[str], baseline_types: Iterable[str],
-    name: str = "name", tie: str = "id", min_rows: int = MIN_HOT_ROWS,
+    name: str = "name", tie: str = "id", min_rows: int | None = None,
 ) -> DataFrame:
     """Sum score of complete questionnaires with change from the previous and the first one."""
     items = list(items)

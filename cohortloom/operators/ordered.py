@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators.skew import (
-    MIN_HOT_ROWS,
     order_columns,
     position,
     same_keys,
+    split_above,
     with_chunks,
 )
 
@@ -27,7 +27,7 @@ def _join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame
 
 
 def ordered_rows(
-    df: DataFrame, keys: list[str], order: list, carry: list[str], min_rows: int = MIN_HOT_ROWS
+    df: DataFrame, keys: list[str], order: list, carry: list[str], min_rows: int | None = None
 ) -> DataFrame:
     """Add ``_rn`` (row number), ``_prev`` and ``_first`` (structs of ``carry`` of those rows), ``_many``.
 
@@ -35,15 +35,31 @@ def ordered_rows(
     group has more than one row. Rows are repartitioned by key and range outright:
     a partitioning by key alone, left by an earlier join, would undo the ranges.
     """
-    rows = with_chunks(df, keys, order, min_rows)
+    above = split_above(df, min_rows)
     carried = F.struct(*carry)
+
+    def number(rows: DataFrame, group: list[str]) -> DataFrame:
+        local = Window.partitionBy(*group).orderBy(*order_columns(order))
+        return rows.select(
+            "*",
+            F.row_number().over(local).cast("bigint").alias("_rn"),
+            F.lag(carried).over(local).alias("_prev"),
+            F.first(carried).over(local).alias("_first"),
+            F.lead(F.lit(True)).over(local).alias("_next"),
+        )
+
+    if above is None:
+        many = (F.col("_rn") > 1) | F.col("_next").isNotNull()
+        return number(df, keys).withColumn("_many", many).drop("_next")
+    rows = with_chunks(df, keys, order, above)
+    at = position(df, order).alias("p")
     ranges = (
         rows.filter(F.col("_chunk").isNotNull())
         .groupBy(*keys, "_chunk")
         .agg(
             F.count(F.lit(1)).alias("_cn"),
-            F.min(F.struct(position(df, order).alias("p"), carried.alias("c"))).alias("_lo"),
-            F.max(F.struct(position(df, order).alias("p"), carried.alias("c"))).alias("_hi"),
+            F.min(F.struct(at, carried.alias("c"))).alias("_lo"),
+            F.max(F.struct(at, carried.alias("c"))).alias("_hi"),
         )
     )
     by_range = Window.partitionBy(*keys).orderBy("_chunk")
@@ -54,15 +70,7 @@ def ordered_rows(
         F.lag(F.col("_hi.c")).over(by_range).alias("_range_prev"),
         F.first(F.col("_lo.c")).over(by_range).alias("_range_first"),
     )
-    local = Window.partitionBy(*keys, "_chunk").orderBy(*order_columns(order))
-    numbered = rows.repartition(*keys, "_chunk").select(
-        "*",
-        F.row_number().over(local).cast("bigint").alias("_rn"),
-        F.lag(carried).over(local).alias("_prev"),
-        F.first(carried).over(local).alias("_first"),
-        F.lead(F.lit(True)).over(local).alias("_next"),
-    )
-    out = _join_carry(numbered, carry_rows, keys)
+    out = _join_carry(number(rows.repartition(*keys, "_chunk"), [*keys, "_chunk"]), carry_rows, keys)
     return out.withColumns(
         {
             "_prev": F.when(F.col("_rn") == 1, F.col("_range_prev")).otherwise(F.col("_prev")),
@@ -74,15 +82,28 @@ def ordered_rows(
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: list, sums: dict[str, str], min_rows: int = MIN_HOT_ROWS
+    df: DataFrame, keys: list[str], order: list, sums: dict[str, str], above: int | None
 ) -> DataFrame:
-    """Add running sums, ``{new column: summed column}``, up to and including each row."""
-    rows = with_chunks(df, keys, order, min_rows)
-    parts = {name: F.sum(col) for name, col in sums.items()}
+    """Add running sums, ``{new column: summed column}``, up to and including each row.
+
+    ``above`` comes from ``split_above`` on the data the caller started from.
+    """
+
+    def add_up(rows: DataFrame, group: list[str]) -> DataFrame:
+        local = (
+            Window.partitionBy(*group)
+            .orderBy(*order_columns(order))
+            .rowsBetween(Window.unboundedPreceding, 0)
+        )
+        return rows.select("*", *[F.sum(col).over(local).alias(name) for name, col in sums.items()])
+
+    if above is None:
+        return add_up(df, keys)
+    rows = with_chunks(df, keys, order, above)
     ranges = (
         rows.filter(F.col("_chunk").isNotNull())
         .groupBy(*keys, "_chunk")
-        .agg(*[agg.alias(f"_t_{name}") for name, agg in parts.items()])
+        .agg(*[F.sum(col).alias(f"_t_{name}") for name, col in sums.items()])
     )
     before = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,13 +111,7 @@ def running_totals(
     carry_rows = ranges.select(
         *keys, "_chunk", *[F.sum(f"_t_{name}").over(before).alias(f"_b_{name}") for name in sums]
     )
-    local = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(*order_columns(order))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    summed = rows.repartition(*keys, "_chunk").select("*", *[F.sum(col).over(local).alias(name) for name, col in sums.items()])
-    out = _join_carry(summed, carry_rows, keys)
+    out = _join_carry(add_up(rows.repartition(*keys, "_chunk"), [*keys, "_chunk"]), carry_rows, keys)
     return out.withColumns(
         {name: F.col(name) + F.coalesce(f"_b_{name}", F.lit(0)) for name in sums}
     ).drop("_chunk", *[f"_b_{name}" for name in sums])

@@ -5,7 +5,8 @@ cuts the ordered rows of a hot key into ranges, so that windows run per range an
 only a range summary is carried from one range to the next. Both are exact. What
 they broadcast is bounded whatever the data size: at most ``MAX_HOT`` hot keys (the
 largest ones, so any other key holds less than ``1 / MAX_HOT`` of all rows) with at
-most ``MAX_CHUNKS`` ranges each.
+most ``MAX_CHUNKS`` ranges each. Input of at most one read split's size skips all
+of this, since no group in it can outgrow a task.
 """
 
 from __future__ import annotations
@@ -19,9 +20,34 @@ from pyspark.sql import types as T
 
 MAX_HOT = 1000
 MAX_CHUNKS = 512
-MIN_HOT_ROWS = 1_000_000
 SAMPLES_PER_CHUNK = 32
 SALTS = 256
+HOT_ROWS = 1_000_000
+HOT_ROWS_CONF = "spark.cohortloom.hotRows"
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def split_above(df: DataFrame, min_rows: int | None = None) -> int | None:
+    """Rows above which a group of ``df`` is split; None if nothing needs splitting.
+
+    The argument wins over the session setting, and that over the default, which
+    applies only where Spark's size estimate exceeds one read split. An estimate
+    that errs upwards, as it does after joins, costs time and not correctness.
+    """
+    setting = df.sparkSession.conf.get(HOT_ROWS_CONF, None)
+    if min_rows is not None:
+        return min_rows
+    if setting is not None:
+        return int(setting)
+    return None if _estimated_bytes(df) <= SPLIT_BYTES else HOT_ROWS
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; no job runs. Unknown counts as large."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return SPLIT_BYTES + 1
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -29,12 +55,12 @@ def same_keys(left: DataFrame, right: DataFrame, pairs) -> Column:
     return reduce(and_, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def _hot(counts: DataFrame, keys: list[str], n: str, min_rows: int) -> DataFrame:
+def _hot(counts: DataFrame, keys: list[str], n: str, above: int) -> DataFrame:
     """The largest keys, at most ``MAX_HOT``; ties are broken by key so every evaluation agrees."""
-    return counts.filter(F.col(n) > min_rows).orderBy(F.col(n).desc(), *keys).limit(MAX_HOT)
+    return counts.filter(F.col(n) > above).orderBy(F.col(n).desc(), *keys).limit(MAX_HOT)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], n: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], n: str, above: int | None) -> DataFrame:
     """Left join one row of ``stats`` per key to ``df``; ``n`` is the key's row count.
 
     Rows of a hot key are salted by their input partition, which a task retry
@@ -43,14 +69,16 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str], n: str, min_rows: i
     pairs = [(k, f"_k{i}") for i, k in enumerate(keys)]
     names = [b for _, b in pairs]
     renamed = stats.withColumnsRenamed({**dict(pairs), n: "_hot_n"})
-    hot = F.broadcast(_hot(renamed, names, "_hot_n", min_rows).select(*names, F.lit(True).alias("_is_hot")))
+    if above is None:
+        return df.join(renamed, same_keys(df, renamed, pairs), "left").drop(*names, "_hot_n")
+    hot = F.broadcast(_hot(renamed, names, "_hot_n", above).select(*names, F.lit(True).alias("_is_hot")))
     salted = (
         df.join(hot, same_keys(df, hot, pairs), "left")
         .drop(*names)
         .withColumn("_salt", F.when(F.col("_is_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
         .drop("_is_hot")
     )
-    copies = F.when(F.col("_hot_n") > min_rows, SALTS - 1).otherwise(0)
+    copies = F.when(F.col("_hot_n") > above, SALTS - 1).otherwise(0)
     spread = renamed.withColumn("_s", F.explode(F.sequence(F.lit(0), copies)))
     on = same_keys(salted, spread, pairs) & (salted["_salt"] == spread["_s"])
     return salted.join(spread, on, "left").drop(*names, "_hot_n", "_salt", "_s")
@@ -89,7 +117,7 @@ def order_columns(order: list) -> list[Column]:
     ]
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: list, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def with_chunks(df: DataFrame, keys: list[str], order: list, above: int) -> DataFrame:
     """Add ``_chunk``: missing for ordinary keys, the range number for rows of a hot key.
 
     Range bounds are order positions picked from a hash sample of the hot key's
@@ -100,8 +128,8 @@ def with_chunks(df: DataFrame, keys: list[str], order: list, min_rows: int = MIN
     pairs = [(k, f"_k{i}") for i, k in enumerate(keys)]
     key_cols = [F.col(k).alias(b) for k, b in pairs]
     counts = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n"))
-    size = F.greatest(F.lit(min_rows), F.ceil(F.col("_n") / MAX_CHUNKS)).cast("bigint")
-    hot = F.broadcast(_hot(counts, [b for _, b in pairs], "_n", min_rows).withColumn("_size", size))
+    size = F.greatest(F.lit(above), F.ceil(F.col("_n") / MAX_CHUNKS)).cast("bigint")
+    hot = F.broadcast(_hot(counts, [b for _, b in pairs], "_n", above).withColumn("_size", size))
     step = F.greatest(F.lit(1), F.floor(F.col("_size") / SAMPLES_PER_CHUNK).cast("bigint"))
     sample = (
         df.join(hot, same_keys(df, hot, pairs), "inner")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from cohortloom.functions.scalars import answered, flag, isin0
 from cohortloom.operators.ordered import running_totals
 from cohortloom.operators.rows import na_subset
-from cohortloom.operators.skew import MIN_HOT_ROWS
+from cohortloom.operators.skew import split_above
 
 MAD_SCALE = 1.4826  # fixed value: makes the MAD of normal data its standard deviation
 
@@ -35,7 +35,7 @@ def _pct(part: Column, whole: Column) -> Column:
     return F.try_divide(part * 100.0, whole)
 
 
-def freq_multi(df: DataFrame, cols: Iterable[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def freq_multi(df: DataFrame, cols: Iterable[str], min_rows: int | None = None) -> DataFrame:
     """Frequency table of several columns: value rows, one missing row, one total row each.
 
     Shares of valid and of all rows with running shares; values in numeric order
@@ -51,7 +51,7 @@ def freq_multi(df: DataFrame, cols: Iterable[str], min_rows: int = MIN_HOT_ROWS)
     )
     valid = counts.filter(F.col("value").isNotNull()).withColumn("_num", F.col("value").try_cast("double"))
     values = (
-        running_totals(valid, ["variable"], ["_num", "value"], {"_cum": "n"}, min_rows)
+        running_totals(valid, ["variable"], ["_num", "value"], {"_cum": "n"}, split_above(df, min_rows))
         .join(totals, "variable")
         .select(
             "variable",
@@ -87,7 +87,7 @@ def freq_multi(df: DataFrame, cols: Iterable[str], min_rows: int = MIN_HOT_ROWS)
     return values.unionByName(ends)
 
 
-def freq(df: DataFrame, col: str, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def freq(df: DataFrame, col: str, min_rows: int | None = None) -> DataFrame:
     """Frequency table of one column."""
     return freq_multi(df, [col], min_rows).drop("variable")
 
@@ -131,13 +131,13 @@ def crosstab_subset(df: DataFrame, row: str, col: str, cond: Column) -> DataFram
     return crosstab(na_subset(df, [row, col], cond), row, col)
 
 
-def _quantiles(counts: DataFrame, probs: dict[str, float], min_rows: int) -> DataFrame:
+def _quantiles(counts: DataFrame, probs: dict[str, float], above: int | None) -> DataFrame:
     """Interpolated quantiles per variable of a (variable, value, n) table of present values.
 
     Order statistics are read off running counts, so no task ever holds a column.
     """
     sizes = F.broadcast(counts.groupBy("variable").agg(F.sum("n").alias("_n")))
-    cum = running_totals(counts, ["variable"], ["value"], {"_cum": "n"}, min_rows).join(sizes, "variable")
+    cum = running_totals(counts, ["variable"], ["value"], {"_cum": "n"}, above).join(sizes, "variable")
     aggs = []
     for name, p in probs.items():
         at = (F.col("_n") - 1) * p
@@ -148,7 +148,7 @@ def _quantiles(counts: DataFrame, probs: dict[str, float], min_rows: int) -> Dat
     return cum.groupBy("variable").agg(*aggs)
 
 
-def describe_numeric(df: DataFrame, cols: Iterable[str], min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Iterable[str], min_rows: int | None = None) -> DataFrame:
     """Descriptives, one row per column: moments, quartiles, MAD, IQR, CV, valid share."""
     cols = list(cols)
     moments = {
@@ -174,14 +174,15 @@ def describe_numeric(df: DataFrame, cols: Iterable[str], min_rows: int = MIN_HOT
             )
         )
     )
+    above = split_above(df, min_rows)
     counts = _long_counts(df, cols, "double").filter(F.col("value").isNotNull())
-    quartiles = _quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, min_rows)
+    quartiles = _quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, above)
     spread = (
         counts.join(F.broadcast(quartiles.select("variable", "median")), "variable")
         .groupBy("variable", F.abs(F.col("value") - F.col("median")).alias("value"))
         .agg(F.sum("n").alias("n"))
     )
-    mad = _quantiles(spread, {"mad": 0.5}, min_rows)
+    mad = _quantiles(spread, {"mad": 0.5}, above)
     out = per_col.join(F.broadcast(quartiles), "variable", "left").join(F.broadcast(mad), "variable", "left")
     return out.withColumns(
         {
