@@ -85,9 +85,27 @@ def day_bins(c: Column, bins: Iterable[tuple] = DAY_BINS) -> Column:
     return out
 
 
+# Each block of flags comes as a dict of columns, so that callers can add many
+# blocks in one projection, and as a frame function.
+
+
+def one_hot_columns(c: Column, names: Mapping) -> dict[str, Column]:
+    return {name: (c == F.lit(v)).cast("int") for v, name in names.items()}
+
+
 def one_hot_flags(df: DataFrame, col: str, names: Mapping) -> DataFrame:
     """One 0/1 column per listed value; missing stays missing."""
-    return df.withColumns({name: (F.col(col) == F.lit(v)).cast("int") for v, name in names.items()})
+    return df.withColumns(one_hot_columns(F.col(col), names))
+
+
+def freetext_columns(c: Column, stem: str) -> dict[str, Column]:
+    up = F.upper(c)
+    denies = (c == "") | contains0(up, "NONE") | up.isin("NO", "NO MENTIONED")
+    return {
+        f"{stem}yes": F.when(c.isNull() | denies, 0).otherwise(1),
+        f"{stem}no": flag(denies),
+        f"{stem}missing": flag(c.isNull()),
+    }
 
 
 def freetext_yes_no(df: DataFrame, col: str, stem: str) -> DataFrame:
@@ -95,16 +113,14 @@ def freetext_yes_no(df: DataFrame, col: str, stem: str) -> DataFrame:
 
     Empty text, text containing "none", "no" and "no mentioned" (any case) mean no.
     """
-    c = F.col(col)
-    up = F.upper(c)
-    denies = (c == "") | contains0(up, "NONE") | up.isin("NO", "NO MENTIONED")
-    return df.withColumns(
-        {
-            f"{stem}yes": F.when(c.isNull() | denies, 0).otherwise(1),
-            f"{stem}no": flag(denies),
-            f"{stem}missing": flag(c.isNull()),
-        }
-    )
+    return df.withColumns(freetext_columns(F.col(col), stem))
+
+
+def yes_no_columns(c: Column, stem: str, implied_no: Column | None = None) -> dict[str, Column]:
+    no, missing = c == "No", c.isNull()
+    if implied_no is not None:
+        no, missing = no | (implied_no == "No"), missing & implied_no.isNull()
+    return {f"{stem}yes": flag(c == "Yes"), f"{stem}no": flag(no), f"{stem}missing": flag(missing)}
 
 
 def yes_no_missing(df: DataFrame, col: str, stem: str, implied_no: str | None = None) -> DataFrame:
@@ -113,25 +129,24 @@ def yes_no_missing(df: DataFrame, col: str, stem: str, implied_no: str | None =
     With ``implied_no``, a "No" there also means no here, and the answer is
     missing only if both fields are.
     """
-    c = F.col(col)
-    no, missing = c == "No", c.isNull()
-    if implied_no is not None:
-        other = F.col(implied_no)
-        no, missing = no | (other == "No"), missing & other.isNull()
-    return df.withColumns(
-        {f"{stem}yes": flag(c == "Yes"), f"{stem}no": flag(no), f"{stem}missing": flag(missing)}
-    )
+    other = F.col(implied_no) if implied_no is not None else None
+    return df.withColumns(yes_no_columns(F.col(col), stem, other))
 
 
-def multi_select_flags(
-    df: DataFrame, col: str, tokens: Mapping, count: str | None = None, missing: str | None = None
-) -> DataFrame:
-    """0/1 column per substring of a delimited multi-select, their number, and a missing flag."""
-    c = F.col(col)
+def multi_select_columns(
+    c: Column, tokens: Mapping, count: str | None = None, missing: str | None = None
+) -> dict[str, Column]:
     flags = {name: flag(contains0(c, token)) for token, name in tokens.items()}
     out = dict(flags)
     if count:
         out[count] = reduce(add, flags.values())
     if missing:
         out[missing] = flag(c.isNull())
-    return df.withColumns(out)
+    return out
+
+
+def multi_select_flags(
+    df: DataFrame, col: str, tokens: Mapping, count: str | None = None, missing: str | None = None
+) -> DataFrame:
+    """0/1 column per substring of a delimited multi-select, their number, and a missing flag."""
+    return df.withColumns(multi_select_columns(F.col(col), tokens, count, missing))

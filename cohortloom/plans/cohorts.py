@@ -6,29 +6,32 @@ single map-side-combined aggregate before they meet anything else.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom import params as P
 from cohortloom.functions import (
+    answered,
     bucket_collapse,
     bucket_unknown,
     coalesce_levels,
     contains0,
     flag,
-    freetext_yes_no,
+    freetext_columns,
     isin0,
-    multi_select_flags,
+    multi_select_columns,
     numeric_bands,
-    one_hot_flags,
+    one_hot_columns,
     recode_value,
     relabel,
     screen_flag,
     tiered_risk,
-    yes_no_missing,
+    yes_no_columns,
 )
 from cohortloom.operators import (
-    completeness_score,
     composite_group_flag,
     conj_filter,
     drop_test_names,
@@ -89,35 +92,34 @@ def characteristics(df: DataFrame) -> DataFrame:
             "Man": "gender_man", "Woman": "gender_woman", "Other": "gender_other", P.UNKNOWN: "gender_missing",
         },
     }
+    service, help_wanted = c("service_status"), c("what_can_help_you_with")
+    ever, now = c("any_thoughts_of_killing_yourself"), c("thoughts_of_killing_yourself_right_now")
+    flags = {
+        **freetext_columns(c("int_ckl_physical_heath_issues"), "physicalissues_"),
+        **freetext_columns(c("int_ckl_mental_health_issues"), "mentalissues_"),
+        "service_active": flag(service == "Active Duty"),
+        "service_reserve_guard": flag(contains0(service, "Reserve") | contains0(service, "National Guard")),
+        "service_retired": flag(contains0(service, "Retired")),
+        "service_discharged": flag(
+            service.isin("Discharged (any status)", "Active Duty;Discharged (any status)")
+        ),
+        "service_missing": flag(service.isNull()),
+        **multi_select_columns(
+            c("int_ckl_employment_status"), {token: f"employment_{n}" for n, token in P.EMPLOYMENT.items()},
+            missing="employment_missing",
+        ),
+        **multi_select_columns(
+            help_wanted, {token: f"help_{n}" for n, token in P.HELP_TOPICS.items()}, missing="help_missing"
+        ),
+        **yes_no_columns(ever, "anythoughts_"),
+        **yes_no_columns(now, "currentthoughts_", implied_no=ever),
+    }
     for col, names in hot.items():
-        df = one_hot_flags(df, col, names)
-    df = freetext_yes_no(df, "int_ckl_physical_heath_issues", "physicalissues_")
-    df = freetext_yes_no(df, "int_ckl_mental_health_issues", "mentalissues_")
-    service = c("service_status")
-    df = df.withColumns(
-        {
-            "service_active": flag(service == "Active Duty"),
-            "service_reserve_guard": flag(contains0(service, "Reserve") | contains0(service, "National Guard")),
-            "service_retired": flag(contains0(service, "Retired")),
-            "service_discharged": flag(
-                service.isin("Discharged (any status)", "Active Duty;Discharged (any status)")
-            ),
-            "service_missing": flag(service.isNull()),
-        }
-    )
-    df = multi_select_flags(
-        df, "int_ckl_employment_status",
-        {token: f"employment_{n}" for n, token in P.EMPLOYMENT.items()}, missing="employment_missing",
-    )
+        flags.update(one_hot_columns(c(col), names))
     for stem, col in P.YES_NO_COLUMNS.items():
-        df = yes_no_missing(df, col, f"{stem}_")
-    df = multi_select_flags(
-        df, "what_can_help_you_with", {token: f"help_{n}" for n, token in P.HELP_TOPICS.items()},
-        count="help_number", missing="help_missing",
-    )
-    anyt, now = "any_thoughts_of_killing_yourself", "thoughts_of_killing_yourself_right_now"
-    df = yes_no_missing(df, anyt, "anythoughts_")
-    return yes_no_missing(df, now, "currentthoughts_", implied_no=anyt)
+        flags.update(yes_no_columns(c(col), f"{stem}_"))
+    df = df.withColumns(flags)
+    return df.withColumn("help_number", reduce(add, [c(f) for f in HELP_FLAGS]))
 
 
 HELP_FLAGS = [f"help_{n}" for n in P.HELP_TOPICS]
@@ -248,10 +250,16 @@ def cohort_treatment(
     cases = exclude_list_status(cases, "status_change_reason", p.treatment_excluded, "status", p.active_status)
     tx = _with_accounts(inner_join(per_case, cases, "case_id"), accounts)
     tx = drop_test_names(tx, "name", p.test_tokens, "test_account")
-    tx = completeness_score(tx, P.PLAN_PARTS, 4, "crp").drop("crp_sum")
-    tx = tx.withColumnsRenamed({"crp_enough": "crp"})
-    tx = tx.withColumn("risk_level", relabel(c("most_recent_overall_risk_level"), P.RISK_LABELS))
-    tx = tx.withColumn("initial_risk", coalesce_levels(c("note_risk"), c("risk_level")))
+    parts = answered([c(x) for x in P.PLAN_PARTS])
+    risk = relabel(c("most_recent_overall_risk_level"), P.RISK_LABELS)
+    tx = tx.withColumns(
+        {
+            "crp_n": parts,
+            "crp": flag(parts >= 4),
+            "risk_level": risk,
+            "initial_risk": coalesce_levels(c("note_risk"), risk),
+        }
+    )
 
     forms = time_window(forms, "created_date", p.start, p.end)
     tx = left_join_fill(

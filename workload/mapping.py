@@ -153,7 +153,7 @@ ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
             "name": f"CASE event_type WHEN 'click' THEN '{P.FORM_FOLLOWUP}' WHEN 'error' THEN '{P.FORM_RESPONSE_PLAN}' "
                     f"WHEN 'purchase' THEN '{P.FORM_CONTINGENCY}' WHEN 'signup' THEN '{P.FORM_SESSION_BASELINE}' "
                     f"ELSE '{P.FORM_BASELINE}' END",
-            "created_date": "ts",
+            "created_date": f"CASE WHEN event_type = 'error' AND {V} % 3 = 0 THEN ts - INTERVAL '45' DAY ELSE ts END",
             "cp_plan_enacted_date": f"CASE WHEN {V} % 3 = 0 THEN CAST(NULL AS DATE) ELSE CAST(ts AS DATE) END",
             **{
                 item: f"CASE WHEN {V} % 10 = {i} THEN CAST(NULL AS INT) ELSE ({V} + {i}) % 6 END"
