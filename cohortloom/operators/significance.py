@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,15 +31,6 @@ def _strata(df: DataFrame, row: str, col: str, by: Iterable[str]) -> tuple[DataF
     return counts, by
 
 
-def _on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    renamed = right.withColumnsRenamed({k: f"_j_{k}" for k in keys})
-    cond = None
-    for k in keys:
-        one = left[k].eqNullSafe(renamed[f"_j_{k}"])
-        cond = one if cond is None else cond & one
-    return left.join(renamed, cond, how).drop(*[f"_j_{k}" for k in keys])
-
-
 @F.pandas_udf(T.DoubleType())
 def chi2_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution for whole degrees of freedom."""
@@ -61,26 +52,34 @@ def chi2_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
 
 
 def chi_square(df: DataFrame, row: str, col: str, by: Iterable[str] = ()) -> DataFrame:
-    """Pearson test of independence: stat, dof, p. Continuity correction for 2x2 tables only.
+    """Pearson test of independence: n, stat, dof, p. Continuity correction for 2x2 tables only.
 
     ``sum((o-e)^2/e) = n (sum o^2 / (R C) - 1)``, so empty cells need no rows.
-    A table with a single row or column level has no test.
+    A table with a single row or column level has no test. The input is read
+    once; the windows run over the cells of one contingency table.
     """
     cells, keys = _strata(df, row, col, by)
-    rows = cells.groupBy(*keys, "_row").agg(F.sum("_o").alias("_r"))
-    cols = cells.groupBy(*keys, "_col").agg(F.sum("_o").alias("_c"))
-    # log R of both rows (or columns) adds up to the log of their product in a 2x2 table.
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_nr"), F.sum("_r").alias("_n"), F.sum(F.log("_r")).alias("_lr")
+    in_row, in_col = Window.partitionBy(*keys, "_row"), Window.partitionBy(*keys, "_col")
+    cells = cells.withColumns(
+        {
+            "_r": F.sum("_o").over(in_row),
+            "_c": F.sum("_o").over(in_col),
+            "_n": F.sum("_o").over(Window.partitionBy(*keys)),
+            "_new_row": F.row_number().over(in_row.orderBy("_col")) == 1,
+            "_new_col": F.row_number().over(in_col.orderBy("_row")) == 1,
+        }
     )
-    widths = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nc"), F.sum(F.log("_c")).alias("_lc"))
-    full = _on(_on(_on(cells, rows, [*keys, "_row"]), cols, [*keys, "_col"]), _on(sizes, widths, keys), keys)
     o, r, c, n = (F.col(x).cast("double") for x in ("_o", "_r", "_c", "_n"))
     gap = F.abs(o - r * c / n)
-    terms = full.groupBy(*keys).agg(
+    terms = cells.groupBy(*keys).agg(
         F.sum(o * o / (r * c)).alias("_s"),
         F.max(gap).alias("_gap"),
-        *[F.first(x).alias(x) for x in ("_n", "_nr", "_nc", "_lr", "_lc")],
+        F.first("_n").alias("_n"),
+        F.count_if("_new_row").alias("_nr"),
+        F.count_if("_new_col").alias("_nc"),
+        # Logs of both row (column) totals add up to the log of their product in a 2x2 table.
+        F.sum(F.when(F.col("_new_row"), F.log("_r"))).alias("_lr"),
+        F.sum(F.when(F.col("_new_col"), F.log("_c"))).alias("_lc"),
     )
     plain = n * (F.col("_s") - 1)
     # In a 2x2 table every cell has the same gap, and sum(1/e) = n^3 / (R1 R2 C1 C2).
@@ -88,23 +87,65 @@ def chi_square(df: DataFrame, row: str, col: str, by: Iterable[str] = ()) -> Dat
     yates = held * held * F.exp(3 * F.log(n) - F.col("_lr") - F.col("_lc"))
     two = (F.col("_nr") == 2) & (F.col("_nc") == 2)
     testable = (F.col("_nr") > 1) & (F.col("_nc") > 1)
-    dof = ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("bigint")
     out = terms.select(
         *keys,
         F.col("_n").alias("n"),
         F.when(testable, F.when(two, yates).otherwise(F.greatest(plain, F.lit(0.0)))).alias("stat"),
-        F.when(testable, dof).alias("dof"),
+        F.when(testable, (F.col("_nr") - 1) * (F.col("_nc") - 1)).alias("dof"),
     )
     return out.withColumn("p", chi2_tail("stat", "dof")).drop("_all")
 
 
-def log_factorial(n: Column) -> Column:
-    """Natural log of n!, exact up to 20, by Stirling's series beyond (error below 1e-14)."""
-    x = n.cast("double") + 1
-    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
-    stirling = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + series
-    small = F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))
-    return F.when(n <= 20, small).otherwise(stirling)
+def log_factorial(n: str) -> str:
+    """SQL text for ln(n!): exact up to 20, Stirling's series beyond (error below 1e-14)."""
+    x = f"(CAST({n} AS DOUBLE) + 1)"
+    series = f"1 / (12 * {x}) - 1 / (360 * pow({x}, 3)) + 1 / (1260 * pow({x}, 5)) - 1 / (1680 * pow({x}, 7))"
+    half_log_2pi = 0.5 * math.log(2 * math.pi)
+    return (
+        f"(CASE WHEN {n} <= 20 THEN ln(CAST(factorial(CAST(least({n}, 20) AS INT)) AS DOUBLE)) "
+        f"ELSE ({x} - 0.5D) * ln({x}) - {x} + {half_log_2pi!r}D + {series} END)"
+    )
+
+
+def log_choose(n: str, k: str) -> str:
+    """SQL text for the log of a binomial coefficient."""
+    return f"({log_factorial(n)} - {log_factorial(k)} - {log_factorial(f'({n} - {k})')})"
+
+
+def _tables(df: DataFrame, row: str, col: str, by: Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """One row per stratum: its table as (row total, count in the first column) pairs, smallest row first.
+
+    Holds one pair per level of the row variable, whatever the number of rows.
+    """
+    cells, keys = _strata(df, row, col, by)
+    stratum = Window.partitionBy(*keys)
+    cells = cells.withColumns({"_lo": F.min("_col").over(stratum), "_hi": F.max("_col").over(stratum)})
+    lines = cells.groupBy(*keys, "_row").agg(
+        F.sum("_o").alias("total"),
+        F.sum(F.when(F.col("_col") == F.col("_lo"), F.col("_o")).otherwise(0)).alias("a"),
+        F.max((F.col("_col") != F.col("_lo")) & (F.col("_col") != F.col("_hi"))).alias("_third"),
+        F.first(F.col("_lo") != F.col("_hi")).alias("_two"),
+    )
+    tables = lines.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("total", "a"))).alias("_lines"),
+        F.sum("total").alias("_n"),
+        F.sum("a").alias("_k"),
+        (F.first("_two") & ~F.max("_third") & (F.count(F.lit(1)) > 1)).alias("_tested"),
+        F.sum(F.expr(log_choose("total", "a"))).alias("_log_obs"),
+    )
+    # The largest row is derived from the margins, so it adds nothing to the search space.
+    head = F.slice("_lines", 1, F.greatest(F.size("_lines") - 1, F.lit(0)))
+    tables = tables.withColumns(
+        {
+            "_log_obs": F.col("_log_obs") - F.expr(log_choose("_n", "_k")),
+            "_head": F.transform(
+                head, lambda x: F.struct(x["total"].alias("total"), F.least(x["total"], F.col("_k")).alias("cap"))
+            ),
+            "_last_total": F.element_at("_lines", -1)["total"],
+        }
+    )
+    log_space = F.aggregate("_head", F.lit(0.0), lambda acc, x: acc + F.log(x["cap"] + 1.0))
+    return tables.withColumn("_log_space", log_space), keys
 
 
 def _exact_part(tables: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,36 +155,24 @@ def _exact_part(tables: DataFrame, keys: list[str]) -> DataFrame:
     all rows but the last; numbers are expanded in two steps with a shuffle in
     between, so one stratum's candidates spread over the cluster.
     """
-    blocks = (
-        tables.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_space") - 1) / BLOCK))))
-        .repartition(*keys, "_block")
-        .withColumn(
-            "_id",
-            F.explode(
-                F.sequence(
-                    F.col("_block") * BLOCK,
-                    F.least((F.col("_block") + 1) * BLOCK, F.col("_space")) - 1,
-                )
-            ),
-        )
-    )
-    zero = F.struct(
-        F.col("_id").alias("rest"), F.lit(0).cast("bigint").alias("used"), F.lit(0.0).alias("logw")
-    )
-
-    def put(acc, line):
-        a = acc["rest"] % (line["cap"] + 1)
-        return F.struct(
-            F.floor(acc["rest"] / (line["cap"] + 1)).alias("rest"),
-            (acc["used"] + a).alias("used"),
-            (acc["logw"] + log_choose(line["total"], a)).alias("logw"),
-        )
-
-    filled = blocks.withColumn("_t", F.aggregate("_head", zero, put))
-    last = F.col("_first_total") - F.col("_t.used")
-    fits = filled.filter((last >= 0) & (last <= F.col("_last_total")))
-    logw = F.col("_t.logw") + log_choose(F.col("_last_total"), last)
-    logp = logw - log_choose(F.col("_n"), F.col("_first_total"))
+    space = F.aggregate("_head", F.lit(1).cast("bigint"), lambda acc, x: acc * (x["cap"] + 1))
+    tables = tables.withColumn("_space", space)
+    blocks = tables.withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_space") - 1) / BLOCK)))
+    ).repartition(*keys, "_block")
+    last_id = F.least((F.col("_block") + 1) * BLOCK, F.col("_space")) - 1
+    ids = blocks.withColumn("_id", F.explode(F.sequence(F.col("_block") * BLOCK, last_id)))
+    digit = "(acc.rest % (line.cap + 1))"
+    filled = ids.withColumn(
+        "_t",
+        F.expr(
+            "aggregate(_head, named_struct('rest', _id, 'used', 0L, 'logw', 0D), (acc, line) -> named_struct("
+            f"'rest', acc.rest div (line.cap + 1), 'used', acc.used + {digit}, "
+            f"'logw', acc.logw + {log_choose('line.total', digit)}))"
+        ),
+    ).withColumn("_a", F.col("_k") - F.col("_t.used"))
+    fits = filled.filter((F.col("_a") >= 0) & (F.col("_a") <= F.col("_last_total")))
+    logp = F.col("_t.logw") + F.expr(f"{log_choose('_last_total', '_a')} - {log_choose('_n', '_k')}")
     p = F.exp(logp)
     counted = p <= F.exp(F.col("_log_obs")) * (1 + TIE_TOLERANCE)
     return (
@@ -153,43 +182,41 @@ def _exact_part(tables: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+DRAWS_PER_TASK = 100
+
+
+@F.pandas_udf(T.LongType())
+def _hits(totals: pd.Series, k: pd.Series, log_obs: pd.Series, block: pd.Series, seed: pd.Series) -> pd.Series:
+    """Random tables with the given margins that are no likelier than the observed one, out of one block of draws."""
+    log_fact = np.vectorize(lambda v: math.lgamma(v + 1.0), otypes=[float])
+    out = []
+    for sizes, first, obs, b, s in zip(totals, k, log_obs, block, seed, strict=True):
+        sizes = np.asarray(sizes, dtype="int64")
+        rng = np.random.default_rng([int(s), int(b)])
+        rest, left = int(sizes.sum()), np.full(DRAWS_PER_TASK, int(first))
+        logp = np.full(DRAWS_PER_TASK, -math.lgamma(rest + 1) + math.lgamma(first + 1) + math.lgamma(rest - first + 1))
+        for size in sizes:
+            rest -= int(size)
+            a = rng.hypergeometric(int(size), rest, left) if rest else left
+            logp += math.lgamma(size + 1) - log_fact(a) - log_fact(size - a)
+            left = left - a
+        out.append(int((logp <= obs + TIE_TOLERANCE).sum()))
+    return pd.Series(out, dtype="int64")
 
 
 def _simulated_part(tables: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
     """Permutation estimate ``(1 + hits) / (1 + draws)`` from random tables with the same margins."""
-    per_task = 100
-
-    @F.pandas_udf(T.LongType())
-    def hits(totals: pd.Series, first: pd.Series, log_obs: pd.Series, block: pd.Series) -> pd.Series:
-        out = []
-        for t, k, obs, b in zip(totals, first, log_obs, block, strict=True):
-            t = np.asarray(t, dtype="int64")
-            rng = np.random.default_rng([seed, int(b)])
-            left, rest = np.full(per_task, int(k)), int(t.sum())
-            logp = np.zeros(per_task)
-            lg = np.vectorize(math.lgamma)
-            for size in t:
-                rest -= int(size)
-                a = rng.hypergeometric(int(size), rest, left) if rest else left
-                logp += math.lgamma(size + 1) - lg(a + 1.0) - lg(size - a + 1.0)
-                left = left - a
-            n, k = int(t.sum()), int(k)
-            logp -= math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-            out.append(int((logp <= obs + TIE_TOLERANCE).sum()))
-        return pd.Series(out, dtype="int64")
-
-    n_blocks = math.ceil(draws / per_task)
+    n_blocks = math.ceil(draws / DRAWS_PER_TASK)
     runs = tables.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    totals = F.transform("_lines", lambda x: x["total"])
     return (
         runs.repartition(*keys, "_block")
-        .withColumn("_hits", hits("_totals", "_first_total", "_log_obs", "_block"))
+        .withColumn("_hits", _hits(totals, F.col("_k"), F.col("_log_obs"), F.col("_block"), F.lit(seed)))
         .groupBy(*keys)
         .agg(F.sum("_hits").alias("_hits"), F.first("_n").alias("n"))
         .select(
             *keys, "n",
-            ((F.col("_hits") + 1) / F.lit(n_blocks * per_task + 1.0)).alias("p"),
+            ((F.col("_hits") + 1) / F.lit(n_blocks * DRAWS_PER_TASK + 1.0)).alias("p"),
             F.lit("simulated").alias("method"),
         )
     )
@@ -204,56 +231,11 @@ def fisher_exact(
     larger ones get a permutation estimate and say so. A table that has not two
     column levels and at least two row levels has no p.
     """
-    cells, keys = _strata(df, row, col, by)
-    levels = cells.groupBy(*keys).agg(F.count_distinct("_col").alias("_levels"), F.min("_col").alias("_first"))
-    wide = _on(cells, levels, keys)
-    lines = wide.groupBy(*keys, "_row", "_levels").agg(
-        F.sum("_o").alias("_total"),
-        F.sum(F.when(F.col("_col") == F.col("_first"), F.col("_o")).otherwise(0)).alias("_a"),
-    )
-    margins = lines.groupBy(*keys, "_levels").agg(
-        F.sum("_total").alias("_n"),
-        F.sum("_a").alias("_first_total"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.sum(log_choose(F.col("_total"), F.col("_a"))).alias("_log_cells"),
-        # The largest row is the derived one, so it adds nothing to the search space.
-        F.max("_total").alias("_biggest"),
-    )
-    margins = margins.withColumn(
-        "_log_obs", F.col("_log_cells") - log_choose(F.col("_n"), F.col("_first_total"))
-    ).drop("_levels", "_log_cells")
-    tested = (F.col("_levels") == 2) & (F.col("_rows") > 1)
-    full = _on(lines, margins, keys).withColumn("_cap", F.least("_total", "_first_total"))
-    space = F.sum(F.log(F.col("_cap") + 1)) - F.log(F.least(F.max("_biggest"), F.max("_first_total")) + 1)
-    sized = full.groupBy(*keys).agg(
-        space.alias("_log_space"), F.max("_levels").alias("_levels"), F.max("_rows").alias("_rows"),
-        F.max("_n").alias("_n"),
-    )
-    exact = _on(
-        full,
-        sized.filter(tested & (F.col("_log_space") <= math.log(cap) + 1e-9)).select(*keys),
-        keys,
-        "left_semi",
-    )
-    large = _on(
-        full,
-        sized.filter(tested & (F.col("_log_space") > math.log(cap) + 1e-9)).select(*keys),
-        keys,
-        "left_semi",
-    )
-    # Every row level at least doubles the space, so an enumerated stratum has few levels.
-    shape = F.array_sort(F.collect_list(F.struct(F.col("_total").alias("total"), F.col("_cap").alias("cap"))))
-    one = [F.first(x).alias(x) for x in ("_n", "_first_total", "_log_obs")]
-    tables = exact.groupBy(*keys).agg(shape.alias("_lines"), *one)
-    tables = tables.withColumns(
-        {
-            "_head": F.slice("_lines", 1, F.size("_lines") - 1),
-            "_last_total": F.element_at("_lines", -1)["total"],
-        }
-    ).withColumn("_space", F.aggregate("_head", F.lit(1).cast("bigint"), lambda acc, x: acc * (x["cap"] + 1)))
-    drawn = large.groupBy(*keys).agg(F.array_sort(F.collect_list("_total")).alias("_totals"), *one)
-    untested = sized.filter(~tested).select(
+    tables, keys = _tables(df, row, col, by)
+    small = F.col("_log_space") <= math.log(cap) + 1e-9
+    untested = tables.filter(~F.col("_tested")).select(
         *keys, F.col("_n").alias("n"), F.lit(None).cast("double").alias("p"), F.lit("none").alias("method")
     )
-    out = _exact_part(tables, keys).unionByName(_simulated_part(drawn, keys, draws, seed)).unionByName(untested)
-    return out.drop("_all")
+    exact = _exact_part(tables.filter(F.col("_tested") & small), keys)
+    drawn = _simulated_part(tables.filter(F.col("_tested") & ~small), keys, draws, seed)
+    return exact.unionByName(drawn).unionByName(untested).drop("_all")

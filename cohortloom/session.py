@@ -13,6 +13,8 @@ SETTINGS = {
     # Row-side joins on a hot key are split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Call-site capture costs more than the planning of wide column lists.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
