@@ -1,11 +1,13 @@
 """Compare registered queries with their SQL on DuckDB.
 
-``python tests/oracle_check.py [folder] [name ...]`` prints one line per query.
+``python tests/oracle_check.py [folder] [name ...]`` prints one line per query. With ``HOT_ROWS=n`` in the
+environment every group of more than ``n`` rows is split, as large groups are on a cluster.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -76,8 +78,9 @@ if __name__ == "__main__":
     from cohortloom.session import get_session
 
     args = sys.argv[1:]
+    hot = {"spark.cohortloom.hotRows": os.environ["HOT_ROWS"]} if "HOT_ROWS" in os.environ else {}
     folder = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = get_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"})
+    spark = get_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}, **hot)
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     oracle = entry.oracle_sql()
