@@ -208,6 +208,7 @@ def _trajectory(
     by_week = Window.partitionBy(_weeks(F.col("days_from_first")))
     sizes = sizes.withColumn("n_per_week", F.sum("n_per_day").over(by_week))
     sizes = sizes.withColumnRenamed("days_from_first", "_day")
+    # Day offsets are few, so Spark broadcasts the sizes; if ever not, it splits the crowded days.
     rows = rows.join(sizes, rows["days_from_first"].eqNullSafe(sizes["_day"]), "left").drop("_day")
     return rows.withColumnRenamed("_rn", "session_number")
 

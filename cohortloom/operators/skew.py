@@ -1,7 +1,7 @@
 """Helpers that keep one hot key from landing in one task.
 
-``attach`` looks per-key values up for every row, hot keys salted. ``with_chunks``
-cuts the ordered rows of a hot key into ranges, so that windows run per range and
+``lookup_join`` and ``attach`` look per-key values up for every row, hot keys salted.
+``with_chunks`` cuts the ordered rows of a hot key into ranges, so that windows run per range and
 only a range summary is carried from one range to the next. Both are exact. What
 they broadcast is bounded whatever the data size: at most ``MAX_HOT`` hot keys (the
 largest ones, so any other key holds less than ``1 / MAX_HOT`` of all rows) with at
@@ -60,28 +60,64 @@ def _hot(counts: DataFrame, keys: list[str], n: str, above: int) -> DataFrame:
     return counts.filter(F.col(n) > above).orderBy(F.col(n).desc(), *keys).limit(MAX_HOT)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], n: str, above: int | None) -> DataFrame:
-    """Left join one row of ``stats`` per key to ``df``; ``n`` is the key's row count.
+def _equal(left: DataFrame, right: DataFrame, pairs) -> Column:
+    return reduce(and_, [left[a] == right[b] for a, b in pairs])
+
 
-    Rows of a hot key are salted by their input partition, which a task retry
-    reproduces, and its stats row is repeated once per salt.
+def _salted_join(
+    df: DataFrame, right: DataFrame, pairs, hot: DataFrame, how: str, null_safe: bool
+) -> DataFrame:
+    """Join where rows of hot keys are salted and the right side's rows of those keys repeated per salt.
+
+    The salt is the row's input partition, which a task retry reproduces.
+    ``hot`` holds the keys as ``_h0, _h1, ..``.
     """
+    marked = F.broadcast(hot.withColumn("_is_hot", F.lit(True)))
+    mine = [(a, f"_h{i}") for i, (a, _) in enumerate(pairs)]
+    theirs = [(b, f"_h{i}") for i, (_, b) in enumerate(pairs)]
+    names = [h for _, h in mine]
+    salt = F.when(F.col("_is_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
+    left = df.join(marked, same_keys(df, marked, mine), "left").withColumn("_salt", salt).drop(*names, "_is_hot")
+    top = F.when(F.col("_is_hot"), SALTS - 1).otherwise(0)
+    copies = right.join(marked, same_keys(right, marked, theirs), "left")
+    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(0), top))).drop(*names, "_is_hot")
+    match = same_keys if null_safe else _equal
+    return left.join(copies, match(left, copies, pairs) & (left["_salt"] == copies["_copy"]), how).drop(
+        "_salt", "_copy"
+    )
+
+
+def lookup_join(
+    df: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = False,
+    above: int | None | str = "auto",
+) -> DataFrame:
+    """Inner or left join of ``df``, where a key may hold any share of the rows, to a side with few rows per key.
+
+    Key columns appear once. ``above`` is the result of ``split_above``, to be
+    passed where it can be read off an earlier input than ``df``.
+    """
+    if above == "auto":
+        above = split_above(df)
+    pairs = [(k, f"_r{i}") for i, k in enumerate(keys)]
+    renamed = right.withColumnsRenamed(dict(pairs))
+    if above is None:
+        match = same_keys if null_safe else _equal
+        return df.join(renamed, match(df, renamed, pairs), how).drop(*[b for _, b in pairs])
+    named = [F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]
+    counts = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"))
+    hot = _hot(counts, [f"_h{i}" for i in range(len(keys))], "_n", above).drop("_n")
+    return _salted_join(df, renamed, pairs, hot, how, null_safe).drop(*[b for _, b in pairs])
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], n: str, above: int | None) -> DataFrame:
+    """Left join one row of ``stats`` per key to ``df``, missing keys included; ``n`` is the key's row count."""
     pairs = [(k, f"_k{i}") for i, k in enumerate(keys)]
     names = [b for _, b in pairs]
-    renamed = stats.withColumnsRenamed({**dict(pairs), n: "_hot_n"})
+    renamed = stats.withColumnsRenamed({**dict(pairs), n: "_group_rows"})
     if above is None:
-        return df.join(renamed, same_keys(df, renamed, pairs), "left").drop(*names, "_hot_n")
-    hot = F.broadcast(_hot(renamed, names, "_hot_n", above).select(*names, F.lit(True).alias("_is_hot")))
-    salted = (
-        df.join(hot, same_keys(df, hot, pairs), "left")
-        .drop(*names)
-        .withColumn("_salt", F.when(F.col("_is_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0))
-        .drop("_is_hot")
-    )
-    copies = F.when(F.col("_hot_n") > above, SALTS - 1).otherwise(0)
-    spread = renamed.withColumn("_s", F.explode(F.sequence(F.lit(0), copies)))
-    on = same_keys(salted, spread, pairs) & (salted["_salt"] == spread["_s"])
-    return salted.join(spread, on, "left").drop(*names, "_hot_n", "_salt", "_s")
+        return df.join(renamed, same_keys(df, renamed, pairs), "left").drop(*names, "_group_rows")
+    hot = _hot(renamed, names, "_group_rows", above).select(*[F.col(b).alias(f"_h{i}") for i, b in enumerate(names)])
+    return _salted_join(df, renamed, pairs, hot, "left", True).drop(*names, "_group_rows")
 
 
 def sort_key(df: DataFrame, col: str, desc: bool = False) -> Column:

@@ -42,7 +42,7 @@ from cohortloom.operators import (
     latest_per_group,
     left_join_fill,
 )
-from cohortloom.operators.skew import position
+from cohortloom.operators.skew import position, split_above
 from cohortloom.sources import null_or_ne, time_window, type_filter
 
 
@@ -168,39 +168,43 @@ def _notes_per_case(notes: DataFrame, p: P.CohortParams) -> DataFrame:
     ).drop("_first")
 
 
-def _with_accounts(cases: DataFrame, accounts: DataFrame) -> DataFrame:
+def _account_side(accounts: DataFrame, p: P.CohortParams) -> DataFrame:
+    """Real accounts; whether an account is a test is the same for all its cases."""
     accounts = accounts.withColumnsRenamed({"id": "account_id", "created_date": "account_created_date"})
-    return inner_join(cases, accounts, "account_id")
+    return drop_test_names(accounts, "name", p.test_tokens, "test_account")
 
 
 def cohort_requests(cases: DataFrame, accounts: DataFrame, notes: DataFrame, p: P.CohortParams) -> DataFrame:
     """New help requests in the window, one row per person.
 
     The person's earliest case with intake and risk assigned is kept, or else
-    the earliest case.
+    the earliest case. Account rules hold for all of a person's cases or none,
+    so the pick comes first and the account join meets one row per person.
     """
     c = F.col
     cases = time_window(cases, "created_date", p.start, p.end).withColumnRenamed("id", "case_id")
     cases = conj_filter(cases, c("account_id").isNotNull(), c("i_am") == P.SELF_REQUEST)
-    cases = exclude_list(cases, "status_change_reason", P.THIRD_PARTY_REASONS)
-    requests = _with_accounts(cases, accounts)
-    requests = drop_test_names(requests, "name", p.test_tokens, "test_account")
-    requests = exclude_list(requests, "status_change_reason", P.INELIGIBLE_REASONS)
-    requests = requests.withColumn("origin", recode_value(c("origin"), [(c("origin") == "Phone", "Call Center")]))
-
+    cases = exclude_list(cases, "status_change_reason", (*P.THIRD_PARTY_REASONS, *P.INELIGIBLE_REASONS))
     notes = time_window(notes, "interaction_date_time", p.start, p.end)
     notes = notes.filter(null_or_ne(c("call_center_type"), P.DUPLICATE_CALL) & c("case").isNotNull())
+    # One row per case on both sides: no key can be crowded.
     requests = left_join_fill(
-        requests, _notes_per_case(notes, p), "case_id",
-        {"connected_to_client": 0, "call_center_connection": 0, "scheduler_connection": 0},
+        cases, _notes_per_case(notes, p), "case_id",
+        {"connected_to_client": 0, "call_center_connection": 0, "scheduler_connection": 0}, above=None,
     )
-    inbound = c("origin").isNull() & (c("call_center_type") == P.INBOUND_CALL)
-    requests = requests.withColumn("origin", recode_value(c("origin"), [(inbound, "Call Center")]))
-    # The pick needs none of the derived columns, so it runs on the narrow rows.
     requests = first_per_group_priority(
         requests, ["account_id"], [("intake_and_risk", "desc"), "created_date", "case_id"]
     )
-    return characteristics(requests).withColumn("month_created", F.month("created_date"))
+    requests = inner_join(requests, _account_side(accounts, p), "account_id", above=None)
+    phone = c("origin") == "Phone"
+    inbound = c("origin").isNull() & (c("call_center_type") == P.INBOUND_CALL)
+    requests = requests.withColumns(
+        {
+            "origin": recode_value(c("origin"), [(phone | inbound, "Call Center")]),
+            "month_created": F.month("created_date"),
+        }
+    )
+    return characteristics(requests)
 
 
 def cohort_established(requests: DataFrame, reasons=P.NOT_ESTABLISHED_REASONS) -> DataFrame:
@@ -248,8 +252,8 @@ def cohort_treatment(
     cases = cases.withColumnsRenamed({"id": "case_id", "created_date": "case_created_date"})
     cases = cases.filter(null_or_ne(c("i_am"), P.THIRD_PARTY_REQUEST) & c("account_id").isNotNull())
     cases = exclude_list_status(cases, "status_change_reason", p.treatment_excluded, "status", p.active_status)
-    tx = _with_accounts(inner_join(per_case, cases, "case_id"), accounts)
-    tx = drop_test_names(tx, "name", p.test_tokens, "test_account")
+    tx = inner_join(cases, per_case, "case_id", above=None)
+    tx = inner_join(tx, _account_side(accounts, p), "account_id", above=split_above(cases))
     parts = answered([c(x) for x in P.PLAN_PARTS])
     risk = relabel(c("most_recent_overall_risk_level"), P.RISK_LABELS)
     tx = tx.withColumns(
@@ -263,7 +267,8 @@ def cohort_treatment(
 
     forms = time_window(forms, "created_date", p.start, p.end)
     tx = left_join_fill(
-        tx, _contingency_per_case(forms), "case_id", {"contingency_plan": 0, "n_contingency_plans": 0}
+        tx, _contingency_per_case(forms), "case_id", {"contingency_plan": 0, "n_contingency_plans": 0},
+        above=None,
     )
     tx = tx.withColumn("crp_or_contingency", flag((c("crp") == 1) | (c("contingency_plan") == 1)))
     tx = characteristics(tx)

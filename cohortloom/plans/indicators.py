@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cohortloom import params as P
 from cohortloom.functions import contains0, days_between, flag, months30, rowwise_extremes
 from cohortloom.operators import drop_test_names, exclude_list, exclude_list_status, inner_join, numeric_totals
+from cohortloom.operators.skew import lookup_join, split_above
 from cohortloom.sources import key_semi_join, null_or_ne, time_window, type_filter
 
 HIGH_ITEMS = (
@@ -47,9 +48,11 @@ def cohort_scoring(notes: DataFrame, cases: DataFrame, accounts: DataFrame, p: P
     cases = cases.filter(F.col("account_id").isNotNull() & null_or_ne(F.col("i_am"), P.THIRD_PARTY_REQUEST))
     cases = exclude_list(cases, "status_change_reason", P.THIRD_PARTY_REASONS)
     cases = exclude_list_status(cases, "status_change_reason", p.scoring_excluded, "status", p.active_status)
+    above = split_above(cases)
     cases = key_semi_join(cases, "case_id", connected_notes(notes, p))
     accounts = accounts.withColumnsRenamed({"id": "account_id", "created_date": "account_created_date"})
-    return drop_test_names(inner_join(cases, accounts, "account_id"), "name", p.test_tokens, "test_account")
+    accounts = drop_test_names(accounts, "name", p.test_tokens, "test_account")
+    return inner_join(cases, accounts, "account_id", above=above)
 
 
 def form_frame(cohort: DataFrame, forms: DataFrame, start=None, end=None) -> DataFrame:
@@ -57,12 +60,22 @@ def form_frame(cohort: DataFrame, forms: DataFrame, start=None, end=None) -> Dat
     if start is not None:
         forms = time_window(forms, "created_date", start, end)
     forms = forms.withColumnsRenamed({"care_plan": "case_id", "name": "form_name", "id": "form_id"}).drop("account")
-    return cohort.join(forms, "case_id", "left")
+    return _keep_cases(cohort, forms)
+
+
+def _keep_cases(cohort: DataFrame, many: DataFrame) -> DataFrame:
+    """Left join of cases to their many rows, where one case may own any share of them."""
+    above = split_above(many)
+    if above is None:
+        return cohort.join(many, "case_id", "left")
+    found = lookup_join(many, cohort, ["case_id"], "inner", above=above)
+    alone = cohort.join(many, "case_id", "left_anti")
+    return found.unionByName(alone, allowMissingColumns=True)
 
 
 def note_frame(cohort: DataFrame, notes: DataFrame) -> DataFrame:
     """One row per case and connected note, with the case's last contact."""
-    return cohort.select("case_id", LAST).join(notes, "case_id", "left")
+    return _keep_cases(cohort.select("case_id", LAST), notes)
 
 
 # --- rules on one form or note -----------------------------------------------
