@@ -287,8 +287,9 @@ def _(s, d):
 
 # --- trends --------------------------------------------------------------------------
 
+# Prices in whole cents: sums are exact, so means agree to the last bit.
 WEEKLY = """(SELECT CAST(ceil(date_diff('day', min(o_orderdate) OVER (PARTITION BY o_custkey), o_orderdate) / 7.0) AS INT)
-  AS week, o_totalprice / 1000 AS price, CASE WHEN o_orderstatus = 'F' THEN 1.0 WHEN o_orderstatus = 'O' THEN 0.0 END
+  AS week, CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS DOUBLE) AS price, CASE WHEN o_orderstatus = 'F' THEN 1.0 WHEN o_orderstatus = 'O' THEN 0.0 END
   AS closed FROM orders)"""
 
 
@@ -298,43 +299,42 @@ def weeks_since_first(s, d):
     status = F.col("o_orderstatus")
     return o.select(
         F.ceil(F.col("days") / 7).cast("int").alias("week"),
-        (F.col("o_totalprice") / 1000).alias("price"),
+        F.round(F.col("o_totalprice") * 100).cast("bigint").cast("double").alias("price"),
         F.when(status == "F", 1.0).when(status == "O", 0.0).alias("closed"),
     )
 
 
 @query(
     "weekly_mean",
-    f"""SELECT measure, week, round(avg(v), 4) AS mean, count(v) AS n, count(*) AS n_rows FROM
+    f"""SELECT measure, week, avg(v) AS mean, count(v) AS n, count(*) AS n_rows FROM
         (SELECT week, 'price' AS measure, price AS v FROM {WEEKLY} UNION ALL
          SELECT week, 'closed', CAST(closed AS DOUBLE) FROM {WEEKLY}) GROUP BY 1, 2""",
 )
 def _(s, d):
-    return rounded(op.weekly_mean(weeks_since_first(s, d), "week", ["price", "closed"]), "mean", places=4)
+    return op.weekly_mean(weeks_since_first(s, d), "week", ["price", "closed"])
 
 
 @query(
     "nearest_point",
     f"""WITH m AS (SELECT week, avg(price) AS y FROM {WEEKLY} GROUP BY 1), t AS (SELECT unnest([0.0, 4.4, 8.5]) AS target)
-        SELECT CAST(target AS DOUBLE) AS target, round(arg_min(y, abs(week - target) * 1000000 + week), 4) AS mean
+        SELECT CAST(target AS DOUBLE) AS target, arg_min(y, abs(week - target) * 1000000 + week) AS mean
         FROM m, t GROUP BY 1""",
 )
 def _(s, d):
     means = op.weekly_mean(weeks_since_first(s, d), "week", ["price"])
-    return rounded(op.nearest_point(means, "week", "mean", [0, 4.4, 8.5]), "mean", places=4)
+    return op.nearest_point(means, "week", "mean", [0, 4.4, 8.5])
 
 
 @query(
     "pct_change_points",
     f"""WITH m AS (SELECT week, avg(price) AS y FROM {WEEKLY} GROUP BY 1),
         s AS (SELECT arg_min(y, week) AS y0 FROM m)
-        SELECT round(y0, 4) AS start_value, CAST(week AS DOUBLE) AS target, round(y, 4) AS value,
-               round((y - y0) / nullif(y0, 0) * 100, 4) AS pct_change FROM m, s WHERE week IN (4, 8)""",
+        SELECT y0 AS start_value, CAST(week AS DOUBLE) AS target, y AS value,
+               (y - y0) / nullif(y0, 0) * 100 AS pct_change FROM m, s WHERE week IN (4, 8)""",
 )
 def _(s, d):
     means = op.weekly_mean(weeks_since_first(s, d), "week", ["price"])
-    out = op.pct_change_points(means, "week", "mean", 0, [4, 8])
-    return rounded(out, "start_value", "value", "pct_change", places=4)
+    return op.pct_change_points(means, "week", "mean", 0, [4, 8])
 
 
 @query(

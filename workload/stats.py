@@ -215,15 +215,14 @@ def _(s, d):
 @query(
     "nps_score",
     """SELECT p_brand, count(x) AS n_answered, CAST(sum(pro) AS BIGINT) AS promoters, CAST(sum(det) AS BIGINT) AS detractors,
-       round(avg(pro), 6) AS promoter_share, round(avg(det), 6) AS detractor_share,
-       round((avg(pro) - avg(det)) * 100, 6) AS nps FROM
+       avg(pro) AS promoter_share, avg(det) AS detractor_share, (avg(pro) - avg(det)) * 100 AS nps FROM
        (SELECT p_brand, x, CASE WHEN x IN (9, 10) THEN 1 WHEN x IS NOT NULL THEN 0 END AS pro,
                CASE WHEN x BETWEEN 1 AND 6 THEN 1 WHEN x IS NOT NULL THEN 0 END AS det
         FROM (SELECT p_brand, nullif(p_size % 11, 5) AS x FROM part)) GROUP BY 1""",
 )
 def _(s, d):
     p = table(s, d, "part").select("p_brand", F.nullif(F.col("p_size") % 11, F.lit(5)).alias("x"))
-    return rounded(op.nps_score(p, "x", "p_brand"), "promoter_share", "detractor_share", "nps")
+    return op.nps_score(p, "x", "p_brand")
 
 
 @query(
