@@ -2,8 +2,9 @@
 
 ``indicator_*`` give one indicator each from a case-by-form (or case-by-note)
 frame. ``indicator_assembly`` computes all of them from one aggregate over forms
-and one over notes; forms are collapsed before they meet the cohort, so a case
-with any number of forms costs the join only as many rows as it has crisis dates.
+and one over notes and reads the cohort once; forms are collapsed before they
+meet it, so a case with any number of forms costs the join only as many rows as
+it has crisis dates.
 """
 
 from __future__ import annotations
@@ -13,7 +14,14 @@ from pyspark.sql import functions as F
 
 from cohortloom import params as P
 from cohortloom.functions import contains0, days_between, flag, months30, rowwise_extremes
-from cohortloom.operators import drop_test_names, exclude_list, exclude_list_status, inner_join, numeric_totals
+from cohortloom.operators import (
+    drop_test_names,
+    exclude_list,
+    exclude_list_status,
+    inner_join,
+    min_date_ties,
+    numeric_totals,
+)
 from cohortloom.operators.skew import lookup_join, split_above
 from cohortloom.sources import key_semi_join, null_or_ne, time_window, type_filter
 
@@ -106,7 +114,7 @@ def _phrases(ip: P.IndicatorParams) -> tuple[Column, Column]:
 
 
 def _attempt(ip: P.IndicatorParams) -> dict[str, Column]:
-    attempt, impact = F.col("recent_suicide_attempt") == "Yes", F.col("staff_impact")
+    attempt, impact = F.col("recent_suicide_attempt") == "Yes", F.col("impact")
     without = {"not_no": impact != "No", "no": impact == "No"}
     if ip.no_impact_rule not in without:
         raise ValueError(f"unknown no_impact_rule {ip.no_impact_rule!r}")
@@ -309,14 +317,14 @@ def indicator_12(frame: DataFrame, ip: P.IndicatorParams) -> DataFrame:
 # --- assembly -----------------------------------------------------------------
 
 
-def _forms_per_case(cohort: DataFrame, forms: DataFrame, ip: P.IndicatorParams) -> DataFrame:
-    """All form-based indicators, one row per case with forms."""
+def _forms_by_crisis(forms: DataFrame, ip: P.IndicatorParams) -> DataFrame:
+    """Forms collapsed to (case, crisis date): earliest form of each condition, latest response plan."""
     created = F.col("created_date")
     free, bound = _phrases(ip)
     first_seen = {"01_free": free, "01_bound": bound, **_dated_rules(ip), **_plain_rules(ip)}
     is_plan = F.col("form_name") == P.FORM_RESPONSE_PLAN
     forms = forms.withColumnsRenamed({"care_plan": "case_id", "name": "form_name", "id": "form_id"})
-    by_crisis = forms.groupBy("case_id", F.col("crisis_date_crisis_occurred").alias("_crisis")).agg(
+    return forms.groupBy("case_id", F.col("crisis_date_crisis_occurred").alias("_crisis")).agg(
         *[F.min(F.when(cond, created)).alias(f"_d{n}") for n, cond in first_seen.items()],
         F.min(created).alias("_first_form"),
         F.min(F.when(_cognition_positive(), created)).alias("_first_cognition"),
@@ -324,50 +332,15 @@ def _forms_per_case(cohort: DataFrame, forms: DataFrame, ip: P.IndicatorParams)
         F.max(F.when(is_plan & (_unsafe() == 1), created)).alias("_unsafe_at"),
         F.min(F.when(is_plan, _unsafe())).alias("_all_unsafe"),
     )
-    case_cols = cohort.select("case_id", LAST, *HIGH_ITEMS, *MODERATE_ITEMS)
-    last, ok = F.col(LAST), survived_30(F.col(LAST), F.col("_crisis"))
-    per_case = (
-        case_cols.join(by_crisis, "case_id", "inner")
-        .groupBy("case_id", LAST, *HIGH_ITEMS, *MODERATE_ITEMS)
-        .agg(
-            F.least(F.min("_d01_free"), F.min(F.when(ok, F.col("_d01_bound")))).alias("d01"),
-            *[F.min(F.when(ok, F.col(f"_d{n}"))).alias(f"d{n}") for n in _dated_rules(ip)],
-            *[F.min(f"_d{n}").alias(f"d{n}") for n in _plain_rules(ip)],
-            F.min("_first_form").alias("_first_form"),
-            F.min("_first_cognition").alias("_first_cognition"),
-            F.max("_plan").alias("_plan"),
-            F.max("_unsafe_at").alias("_unsafe_at"),
-            F.min("_all_unsafe").alias("_all_unsafe"),
-        )
-    )
-    v11, d11 = _storage(ip.storage_mode, F.col("_plan"), F.col("_unsafe_at"), F.col("_all_unsafe"))
-    # Ramps never fall with time, so the earliest form gives the case's largest score.
-    v07 = _positive(_screen_ramp(last, F.col("_first_form")))
-    v08 = _positive(ramp(last, F.col("_first_cognition"), P.COGNITION_RAMP))
-    flags = ["01", *_dated_rules(ip), *_plain_rules(ip)]
-    return per_case.select(
-        "case_id",
-        *[F.when(F.col(f"d{n}").isNotNull(), 1.0).alias(f"i{n}") for n in flags],
-        *[f"d{n}" for n in flags],
-        v07.alias("i07"), F.when(v07.isNotNull(), last).alias("d07"),
-        v08.alias("i08"), F.when(v08.isNotNull(), last).alias("d08"),
-        v11.alias("i11"), d11.alias("d11"),
-    )
 
 
-def _notes_per_case(cohort: DataFrame, notes: DataFrame) -> DataFrame:
-    """The note-based indicator, one row per case with notes of a level."""
-    level, created, last = F.col("overall_risk_level"), F.col("note_created_date"), F.col(LAST)
-    firsts = notes.groupBy("case_id").agg(
+def _first_notes(notes: DataFrame) -> DataFrame:
+    """Earliest note of each scored risk level per case."""
+    level, created = F.col("overall_risk_level"), F.col("note_created_date")
+    return notes.groupBy("case_id").agg(
         F.min(F.when(level == "HRC", created)).alias("_high"),
         F.min(F.when(level == "MRC", created)).alias("_moderate"),
     )
-    value = _positive(
-        F.greatest(ramp(last, F.col("_high"), P.HIGH_RAMP), ramp(last, F.col("_moderate"), P.MODERATE_RAMP))
-    )
-    return cohort.select("case_id", LAST).join(firsts, "case_id", "inner").select(
-        "case_id", value.alias("i09"), F.when(value.isNotNull(), last).alias("d09")
-    )
 
 
 def indicator_assembly(
@@ -378,13 +351,46 @@ def indicator_assembly(
     ``notes`` are the connected notes. An attempt without impact zeroes the
     ramp and storage indicators; death zeroes the score.
     """
-    full = (
-        cohort.select(
-            "account_id", "account_created_date", "case_id", "case_created_date",
-            F.when(F.col("status_change_reason") == ip.death_reason, 1.0).alias("i06"),
+    case_cols = [
+        "account_id", "account_created_date", "case_id", "case_created_date", "status_change_reason", LAST,
+        *HIGH_ITEMS, *MODERATE_ITEMS,
+    ]
+    last, ok = F.col(LAST), survived_30(F.col(LAST), F.col("_crisis"))
+    per_case = (
+        cohort.select(*case_cols)
+        .join(_first_notes(notes), "case_id", "left")
+        .join(_forms_by_crisis(forms, ip), "case_id", "left")
+        .groupBy(*case_cols, "_high", "_moderate")
+        .agg(
+            F.least(F.min("_d01_free"), F.min(F.when(ok, F.col("_d01_bound")))).alias("d01"),
+            *[F.min(F.when(ok, F.col(f"_d{n}"))).alias(f"d{n}") for n in _dated_rules(ip)],
+            *[F.min(f"_d{n}").alias(f"d{n}") for n in _plain_rules(ip)],
+            F.min("_first_form").alias("_first_form"),
+            F.min("_first_cognition").alias("_first_cognition"),
+            F.max("_plan").alias("_plan"),
+            F.max("_unsafe_at").alias("_unsafe_at"),
+            F.min("_all_unsafe").alias("_all_unsafe"),
         )
-        .join(_forms_per_case(cohort, forms, ip), "case_id", "left")
-        .join(_notes_per_case(cohort, notes), "case_id", "left")
+    )
+    # Ramps never fall with time, so the earliest form or note gives the case's largest score.
+    values = {
+        "07": _screen_ramp(last, F.col("_first_form")),
+        "08": ramp(last, F.col("_first_cognition"), P.COGNITION_RAMP),
+        "09": F.greatest(
+            ramp(last, F.col("_high"), P.HIGH_RAMP), ramp(last, F.col("_moderate"), P.MODERATE_RAMP)
+        ),
+    }
+    v11, d11 = _storage(ip.storage_mode, F.col("_plan"), F.col("_unsafe_at"), F.col("_all_unsafe"))
+    flags = ["01", *_dated_rules(ip), *_plain_rules(ip)]
+    full = per_case.withColumns(
+        {
+            **{f"i{n}": F.when(F.col(f"d{n}").isNotNull(), 1.0) for n in flags},
+            "i06": F.when(F.col("status_change_reason") == ip.death_reason, 1.0),
+            **{f"i{n}": _positive(v) for n, v in values.items()},
+            **{f"d{n}": F.when(v > 0, last) for n, v in values.items()},
+            "i11": v11,
+            "d11": d11,
+        }
     )
     return finish_score(full, ip)
 
@@ -417,3 +423,8 @@ def finish_score(full: DataFrame, ip: P.IndicatorParams) -> DataFrame:
 def score_totals(scores: DataFrame) -> DataFrame:
     """Column totals of the assembled scores."""
     return numeric_totals(scores)
+
+
+def scored_people(cohort: DataFrame) -> DataFrame:
+    """Earliest case of each person in the scoring cohort, ties kept."""
+    return min_date_ties(cohort, ["account_id"], "case_created_date")

@@ -2,28 +2,29 @@
 
 Column names are the CRM field names in snake case without the custom-field
 suffix (``Status_Change_Reason__c`` -> ``status_change_reason``).
-``normalise_fields`` renames a raw extract by that rule; fields that carry the
-organisation's own name lose it through ``org``.
+``normalise_fields`` renames a raw extract by that rule; fields that carry a name
+or abbreviation of the organisation lose it through ``org``.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def field_name(raw: str, org: str | None = None) -> str:
+def field_name(raw: str, org: str | Iterable[str] = ()) -> str:
     """Library name of one raw CRM field."""
     name = re.sub(r"__p?c$", "", raw.strip())
-    if org:
-        name = re.sub(rf"(^|_){re.escape(org)}(?=_|$)", r"\1", name, flags=re.IGNORECASE)
+    for token in [org] if isinstance(org, str) else org:
+        name = re.sub(rf"(^|_){re.escape(token)}(?=_|$)", r"\1", name, flags=re.IGNORECASE)
     name = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name)
     return re.sub(r"_+", "_", name).strip("_").lower()
 
 
-def normalise_fields(df: DataFrame, org: str | None = None) -> DataFrame:
+def normalise_fields(df: DataFrame, org: str | Iterable[str] = ()) -> DataFrame:
     """Rename every column of a raw extract to its library name."""
     names = [field_name(c, org) for c in df.columns]
     clashes = sorted({n for n in names if names.count(n) > 1})
@@ -94,7 +95,7 @@ _ENTITIES = {
             fss_consent_to_share fss_learned_from_txt fss_improvement_txt
             coq_b_talked_about_suicide coq_b_talked_about_suicide_who
             coq_b_talked_about_suicide_other crisis_crisis_reasons crisis_suicide_timing
-            aborted_suicide_prep interrupted_prep recent_suicide_attempt staff_impact
+            aborted_suicide_prep interrupted_prep recent_suicide_attempt impact
             stopper_details crp_firearms_access crp_safe_lockbox_usage
             crp_firearms_loaded iia_outcome iia_alternate_methods
             iia_similar_trigers_or_methods""",
@@ -108,7 +109,7 @@ _ENTITIES = {
             cams_rate_agitation cams_rate_hopelessness cams_rate_self_hate
             cams_rate_overall_suicide_risk fss_nps_question""",
     },
-    "contact_analytics": {"string": "id transcript"},
+    "contact_analytics": {"string": "id amazonconnect_contact_lens_transcripts_full_text"},
     "owner": {"string": "id name username"},
     "survey": {"int": "year", "string": "question", "double": "percentage se ci_lower ci_upper"},
 }

@@ -188,8 +188,9 @@ def test_feedback_stories_and_transcripts(spark):
     risk = reports.risk_notes(cases, notes, PARAMS)
     assert len(risk.columns) == 36
     assert rows(risk, "case_id", "note_risk_level", "recent_attempt") == [("1", "1. HRC", "Yes"), ("2", "3. LRC", None)]
-    calls = entity(spark, "contact_analytics", [{"id": "p1", "transcript": "hello"}, {"id": "p2", "transcript": "x"}])
-    assert rows(reports.risk_note_transcripts(risk, calls), "case_id", "transcript") == [("1", "hello")]
+    text = "amazonconnect_contact_lens_transcripts_full_text"
+    calls = entity(spark, "contact_analytics", [{"id": "p1", text: "hello"}, {"id": "p2", text: "x"}])
+    assert rows(reports.risk_note_transcripts(risk, calls), "case_id", text) == [("1", "hello")]
 
 
 def test_trajectory_reports(spark):

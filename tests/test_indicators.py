@@ -67,7 +67,7 @@ def random_tables(seed):
                 "crisis_suicide_timing": rnd.choice([*P.CRISIS_TIMINGS, "later", None]),
                 "crisis_date_crisis_occurred": rnd.choice([when.date(), None]),
                 **{c: rnd.choice(yn) for c in ("aborted_suicide_prep", "interrupted_prep", "recent_suicide_attempt",
-                                               "staff_impact", "coq_f_prevent_attempt", "crp_firearms_access",
+                                               "impact", "coq_f_prevent_attempt", "crp_firearms_access",
                                                "crp_safe_lockbox_usage", "crp_firearms_loaded")},
                 "stopper_details": rnd.choice(["Staff", "Friend", None]),
                 **{c: rnd.choice([0, 2, 4, 5, 5, 5, None] if rnd.random() < 0.1 else [2, 3, 4]) for c in P.COGNITION_ITEMS},
@@ -144,10 +144,10 @@ def test_attempt_rules_and_overrides(spark):
         case("died", **high, status="Closed", status_change_reason=P.DEATH_REASON)
     ]
     forms = [
-        form("1", "yes", "S", recent_suicide_attempt="Yes", staff_impact="Yes"),
-        form("2", "no", "S", recent_suicide_attempt="Yes", staff_impact="No"),
+        form("1", "yes", "S", recent_suicide_attempt="Yes", impact="Yes"),
+        form("2", "no", "S", recent_suicide_attempt="Yes", impact="No"),
         form("3", "unknown", "S", recent_suicide_attempt="Yes"),
-        form("4", "unsure", "S", recent_suicide_attempt="Yes", staff_impact="Unsure"),
+        form("4", "unsure", "S", recent_suicide_attempt="Yes", impact="Unsure"),
         form("5", "died", "S", coq_f_prevent_attempt="Yes"),
     ]
     got = scored(spark, cases, forms)
@@ -207,6 +207,14 @@ def test_totals(spark):
     assert plans.score_totals(scores).first().score == pytest.approx(want)
 
 
+def test_people_keep_tied_first_cases(spark):
+    df = spark.createDataFrame(
+        [("A", "1", at("2024-01-01 00:00")), ("A", "2", at("2024-01-01 00:00")), ("A", "3", at("2024-01-02 00:00"))],
+        "account_id string, case_id string, case_created_date timestamp",
+    )
+    assert rows(plans.scored_people(df), "case_id") == [("1",), ("2",)]
+
+
 def test_falling_ramp_is_refused(spark):
     with pytest.raises(ValueError):
         plans.indicators.ramp(F.lit(None), F.lit(None), P.Ramp(full=0.1, slope=-0.1, start=0.1, months=12))

@@ -18,6 +18,7 @@ def test_field_names():
     assert field_name("What_can_ACME_help_you_with__c", "ACME") == "what_can_help_you_with"
     assert field_name("COQ_F_ACME_Prevent_Attempt__c", "ACME") == "coq_f_prevent_attempt"
     assert field_name("CP_ACME_Contact_Level__c", "ACME") == "cp_contact_level"
+    assert field_name("AC_Impact__c", ["ACME", "AC"]) == "impact"
 
 
 def test_schemas_cover_every_entity():

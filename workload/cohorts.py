@@ -226,11 +226,11 @@ SINGLE = {
     "02": flagged("crisis_suicide_timing IN ('within the next day', 'within 7 days', 'within 30 days') AND alive"),
     "03": flagged("aborted_suicide_prep = 'Yes' AND alive"),
     "04": flagged("interrupted_prep = 'Yes' AND stopper_details = 'Staff'"),
-    "05": """SELECT case_id, max(CASE WHEN staff_impact = 'Yes' THEN 1.0::DOUBLE END) AS value_a,
-        min(CASE WHEN staff_impact = 'Yes' THEN created_date END) AS date_a,
-        max(CASE WHEN staff_impact <> 'No' THEN 1.0::DOUBLE END) AS value_b,
-        min(CASE WHEN staff_impact <> 'No' THEN created_date END) AS date_b
-        FROM frame WHERE recent_suicide_attempt = 'Yes' AND staff_impact = 'Yes' GROUP BY 1""",
+    "05": """SELECT case_id, max(CASE WHEN impact = 'Yes' THEN 1.0::DOUBLE END) AS value_a,
+        min(CASE WHEN impact = 'Yes' THEN created_date END) AS date_a,
+        max(CASE WHEN impact <> 'No' THEN 1.0::DOUBLE END) AS value_b,
+        min(CASE WHEN impact <> 'No' THEN created_date END) AS date_b
+        FROM frame WHERE recent_suicide_attempt = 'Yes' AND impact = 'Yes' GROUP BY 1""",
     "06": f"SELECT case_id, 1.0::DOUBLE AS value FROM cohort WHERE status_change_reason = '{P.DEATH_REASON}'",
     "07": best(f"CASE WHEN high THEN {HIGH} WHEN moderate THEN {MODERATE} END"),
     "08": best(f"CASE WHEN {' + '.join(P.COGNITION_ITEMS)} >= 13 THEN {ramp_sql(0.24, 0.20, 0.04, 6)} END"),

@@ -169,7 +169,7 @@ ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
             "aborted_suicide_prep": yes_no(V, 21),
             "interrupted_prep": yes_no(V, 15),
             "recent_suicide_attempt": yes_no(V, 23),
-            "staff_impact": yes_no(V, 4),
+            "impact": yes_no(V, 4),
             "stopper_details": f"CASE WHEN {V} % 2 = 0 THEN 'Staff' ELSE 'Friend' END",
             "coq_f_prevent_attempt": yes_no(V, 25),
             "crp_firearms_access": yes_no(V, 2, missing=False),
