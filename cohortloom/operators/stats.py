@@ -49,9 +49,12 @@ def freq_multi(df: DataFrame, cols: Iterable[str], min_rows: int | None = None)
             F.sum("n").alias("_total"),
         )
     )
-    valid = counts.filter(F.col("value").isNotNull()).withColumn("_num", F.col("value").try_cast("double"))
+    # Missing values sort last and are dropped after the running sum: a filter before it would reach
+    # the scan and keep Spark from sharing one aggregate between the sums and the totals.
+    ordered = counts.withColumn("_num", F.col("value").try_cast("double"))
     values = (
-        running_totals(valid, ["variable"], ["_num", "value"], {"_cum": "n"}, split_above(df, min_rows))
+        running_totals(ordered, ["variable"], ["_num", "value"], {"_cum": "n"}, split_above(df, min_rows))
+        .filter(F.col("value").isNotNull())
         .join(totals, "variable")
         .select(
             "variable",
@@ -209,11 +212,11 @@ def profile_table(df: DataFrame, top: int = 10) -> DataFrame:
     )
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     type_map = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
-    by_count = Window.partitionBy("variable").orderBy(F.col("n").desc(), "value")
+    # Missing last instead of filtered first, so that both tables share one aggregate.
+    by_count = Window.partitionBy("variable").orderBy(F.col("value").isNull(), F.col("n").desc(), "value")
     best = (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(by_count))
-        .filter(F.col("rank") <= top)
+        counts.withColumn("rank", F.row_number().over(by_count))
+        .filter((F.col("rank") <= top) & F.col("value").isNotNull())
         .withColumnRenamed("n", "value_n")
     )
     return (

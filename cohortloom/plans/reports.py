@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom import params as P
@@ -82,13 +82,12 @@ def closure_reasons(
         "level", F.explode(F.when(F.col(stratifier).isNull(), levels).otherwise(F.array(stratifier)))
     ).withColumn("reason", F.when(~unknown, F.col("status_change_reason")))
     counts = per_level.groupBy("level", "reason").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.groupBy("level").agg(
-        F.sum("n").alias("_total"), F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))).alias("_valid")
-    )
-    return counts.join(totals, "level").select(
+    in_level = Window.partitionBy("level")  # over collapsed counts
+    valid = F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))).over(in_level)
+    return counts.select(
         "level", "reason", "n",
-        F.when(F.col("reason").isNotNull(), F.try_divide(F.col("n") * 100.0, F.col("_valid"))).alias("pct_valid"),
-        (F.col("n") * 100.0 / F.col("_total")).alias("pct_total"),
+        F.when(F.col("reason").isNotNull(), F.try_divide(F.col("n") * 100.0, valid)).alias("pct_valid"),
+        (F.col("n") * 100.0 / F.sum("n").over(in_level)).alias("pct_total"),
     )
 
 
@@ -126,10 +125,10 @@ def treated_characteristics(people: DataFrame, treated: str = "cams_bcbt") -> Da
     ).agg(F.sum("n").alias("n"), F.grouping(treated).alias("_all"))
     cohort = F.when(F.col("_all") == 1, "all").when(F.col(treated) == 1, "treated").otherwise("untreated")
     grouped = grouped.withColumn("cohort", cohort)
-    totals = grouped.filter(F.col("level").isNotNull()).groupBy("variable", "cohort").agg(F.sum("n").alias("_valid"))
-    return grouped.join(totals, ["variable", "cohort"], "left").select(
+    valid = F.sum(F.when(F.col("level").isNotNull(), F.col("n"))).over(Window.partitionBy("variable", "cohort"))
+    return grouped.select(
         "variable", "cohort", "level", "n",
-        F.when(F.col("level").isNotNull(), F.col("n") * 100.0 / F.col("_valid")).alias("pct_valid"),
+        F.when(F.col("level").isNotNull(), F.col("n") * 100.0 / valid).alias("pct_valid"),
     )
 
 
