@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import byte_bpe, chat, packing, token_counts, token_files
+from cohortloom.llm import byte_bpe, chat, neighbours, outliers, packing, quality, simhash, token_counts, token_files
 from cohortloom.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,22 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op2_gray_simhash")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"), size=3)
+
+
+@query("op3_robust_outliers")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.document_verdicts(table(spark, folder, "documents"))
+
+
+@query("op4_projection_forest")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.where(F.pmod("vec_id", F.lit(20)) == 0), k=20)
+
+
 @query("op5_binary_pieces")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -84,6 +100,12 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query("op8_attention_quality")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, folder, "labels")), threshold=0.7)
+
+
 @query("op9_plane_files")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     files = f"{scratch_folder(spark)}/token-files-{uuid.uuid4().hex}"

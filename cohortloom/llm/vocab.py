@@ -26,8 +26,8 @@ _RARE_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _TAIL = ".,!?;:#$%&*|\"')>"
 #: Letters below this have the same class in every Unicode version and are stable under NFC.
 _SAFE_BELOW = "ɐ"
-#: Chunks kept by one worker's cache, and the longest chunk kept.
-CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
+#: Chunks (and words) kept by one worker's caches, and the longest chunk kept.
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
 
 
 @lru_cache(maxsize=1)
@@ -88,6 +88,7 @@ class ChunkEncoder:
     def __init__(self, tokenizer, word_level: bool, value):
         self.tokenizer, self.model, self.word_level, self.value = tokenizer, tokenizer.model, word_level, value
         self.exact, self.spaced = ChunkTable(self, False), ChunkTable(self, True)
+        self.words: dict[str, list[int]] = {}
 
     def library_ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
@@ -105,10 +106,30 @@ class ChunkEncoder:
             word = core = word.lower()
         if not word or not word.isalpha() or max(word) >= _SAFE_BELOW:
             return self.library_ids(chunk)
-        ids = [t.id for t in self.model.tokenize(to_byte_characters(core))]
+        ids = self.word_ids(core)
         if head:
-            ids = self.library_ids(head) + ids
-        return ids + self.library_ids(tail) if tail else ids
+            ids = self.mark_ids(head) + ids
+        return ids + self.mark_ids(tail) if tail else ids
+
+    def word_ids(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = [t.id for t in self.model.tokenize(to_byte_characters(word))]
+            self.keep(word, ids)
+        return ids
+
+    def mark_ids(self, marks: str) -> list[int]:
+        ids = self.words.get(marks)
+        if ids is None:
+            ids = self.library_ids(marks)
+            self.keep(marks, ids)
+        return ids
+
+    def keep(self, text: str, ids: list[int]) -> None:
+        if len(text) <= CACHE_CHARS:
+            if len(self.words) >= CACHE_ENTRIES:
+                self.words.clear()
+            self.words[text] = ids
 
     def values(self, text: str):
         """The kept values of a text's chunks, in order."""
