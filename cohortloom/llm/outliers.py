@@ -28,8 +28,8 @@ FIT_TYPE = T.StructType([
 ])
 #: Transformed statistics with the least spread each is given, so that a rare mark in a uniform group is no outlier.
 STATISTICS = {"length": 0.08, "symbols": 0.6, "dup_lines": 0.6, "repeats": 0.8, "upper": 0.08, "marks": 0.08}
-#: Squared distance that a clean row exceeds about once in a billion: the chi-square tail of six degrees of freedom.
-CUTOFF = 53.0
+#: Squared distance beyond which a row is an outlier; normal rows of six statistics exceed it about seven times in a million.
+CUTOFF = 34.0
 _BINS, _LOW, _HIGH = 400, -6.0, 14.0
 
 

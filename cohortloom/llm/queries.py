@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import byte_bpe, chat, neighbours, outliers, packing, quality, simhash, token_counts, token_files
+from cohortloom.llm import byte_bpe, chat, neighbours, outliers, packing, quality, simhash, suffix_dedup, token_counts, token_files
 from cohortloom.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_cover_suffixes")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = suffix_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"), length=50)
+    removed = F.aggregate("repeats.spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return docs.select(
+        "doc_id", "repeats.n_bytes", removed.alias("n_removed"), F.size("repeats.spans").cast("long").alias("n_spans"),
+        F.sha2("repeats.kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op2_gray_simhash")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"), size=3)
