@@ -269,7 +269,7 @@ def similar_groups(docs: DataFrame, key: str, size: int = 5, similarity: float =
     ``similarity`` do. A second fingerprint, of the distinct words, deals them out: a change of one word changes ``size``
     shingles but one word, so words keep near texts together in few bits. Each table takes some of its 128 bits as key;
     the bits grow with the logarithm of the number of texts and the tables so that a pair at the limit is found with
-    probability ``recall``. ``key`` must be a unique long. Texts without words are a group of their own.
+    probability ``recall``. ``key`` must be a unique long. Texts without words (null ones too) are copies of each other.
     """
 
     def run(batches):

@@ -116,7 +116,7 @@ def runs(parts: list[tuple[int, int, bytes]], length: int):
     the anchor's hash."""
     data = np.frombuffer(b"".join(p[2] for p in parts) + bytes(PADDING), np.uint8)
     sizes = np.fromiter((len(p[2]) for p in parts), np.int64, len(parts))
-    n = int(sizes.sum()) + 1
+    n = int(sizes.sum()) + 64
     word = lambda o: np.ndarray((n,), "<u8", data, offset=o, strides=(1,))
     gram = _mix([word(0), word(8), word(ANCHOR - 8)])
     low = np.uint64((1 << 24) - 1)
