@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: White space of the pattern's ``\s``, as a character class without its brackets (fixed values: Unicode White_Space).
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
@@ -39,6 +39,9 @@ def byte_characters() -> dict[int, str]:
     return table | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
+_SPACE = byte_characters()[0x20]
+
+
 def to_byte_characters(text: str) -> str:
     return text.encode().decode("latin-1").translate(byte_characters())
 
@@ -104,7 +107,7 @@ class ChunkEncoder:
         word = core[1:] if core[:1] == " " else core
         if self.word_level:
             word = core = word.lower()
-        if not word or not word.isalpha() or max(word) >= _SAFE_BELOW:
+        if not word.isalpha() or not (word.isascii() or max(word) < _SAFE_BELOW):
             return self.library_ids(chunk)
         ids = self.word_ids(core)
         if head:
@@ -114,7 +117,11 @@ class ChunkEncoder:
     def word_ids(self, word: str) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize(to_byte_characters(word))]
+            if word.isascii():  # letters stand for themselves
+                shown = _SPACE + word[1:] if word[0] == " " else word
+            else:
+                shown = to_byte_characters(word)
+            ids = [t.id for t in self.model.tokenize(shown)]
             self.keep(word, ids)
         return ids
 
@@ -151,7 +158,10 @@ def _after(first, rest):
 
 
 def pack(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 @lru_cache(maxsize=4)
