@@ -6,8 +6,9 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def flag(cond: Column) -> Column:
@@ -69,3 +70,19 @@ def rowwise_extremes(cols: Iterable[Column], fn: str) -> Column:
 def answered(cols: Iterable[Column]) -> Column:
     """Number of columns that hold a value."""
     return reduce(add, [c.isNotNull().cast("int") for c in cols])
+
+
+def position(df: DataFrame, order: list) -> Column:
+    """Struct that sorts like an order of names and ``(name, 'desc')``, missing values last, for ``min_by``."""
+    parts = []
+    for item in order:
+        name, desc = (item, False) if isinstance(item, str) else (item[0], item[1] == "desc")
+        c, kind = F.col(name), df.schema[name].dataType
+        if desc and isinstance(kind, (T.DateType, T.TimestampType)):
+            c = F.bitwise_not(F.unix_micros(c.cast("timestamp")))
+        elif desc and isinstance(kind, T.IntegralType):
+            c = F.bitwise_not(c)
+        elif desc:
+            raise ValueError(f"no descending position for {name} ({kind.simpleString()})")
+        parts += [F.col(name).isNull(), c]
+    return F.struct(*[p.alias(f"p{i}") for i, p in enumerate(parts)])

@@ -14,22 +14,19 @@ from pyspark.sql import functions as F
 from cohortloom.functions.classify import day_bins
 from cohortloom.functions.scalars import answered, days_between, flag
 from cohortloom.operators.ordered import ordered_rows
-from cohortloom.operators.skew import attach, order_columns, split_above
+from cohortloom.operators.skew import attach, order_columns
 
 
 HELPERS = ("_rn", "_prev", "_first", "_many")
 
 
-def attach_group(df: DataFrame, keys: list[str], aggs: Mapping[str, Column], min_rows: int | None = None) -> DataFrame:
+def attach_group(df: DataFrame, keys: list[str], aggs: Mapping[str, Column]) -> DataFrame:
     """Add aggregates of each row's group.
 
     Aggregates are combined map-side and looked up, instead of a window that
     would pull each whole group into one task.
     """
-    stats = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_group_n"), *[a.alias(name) for name, a in aggs.items()]
-    )
-    return attach(df, stats, keys, "_group_n", split_above(df, min_rows))
+    return attach(df, df.groupBy(*keys).agg(*[a.alias(name) for name, a in aggs.items()]), keys)
 
 
 def group_size(df: DataFrame, keys: list[str], name: str = "group_size") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins. Hot keys of the left side are salted (see ``skew.lookup_join``); strategy is left to Spark."""
+"""Joins. Strategy and the splitting of crowded keys are left to Spark."""
 
 from __future__ import annotations
 
@@ -14,19 +14,19 @@ def _keys(key: str | Iterable[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def inner_join(left: DataFrame, right: DataFrame, key: str | Iterable[str], above="auto") -> DataFrame:
+def inner_join(left: DataFrame, right: DataFrame, key: str | Iterable[str]) -> DataFrame:
     """Equi-join on shared key columns; rows with a missing key never match.
 
     The side with many rows per key goes left.
     """
-    return lookup_join(left, right, _keys(key), "inner", above=above)
+    return lookup_join(left, right, _keys(key), "inner")
 
 
 def left_join_fill(
-    left: DataFrame, right: DataFrame, key: str | Iterable[str], fill: Mapping[str, object], above="auto"
+    left: DataFrame, right: DataFrame, key: str | Iterable[str], fill: Mapping[str, object]
 ) -> DataFrame:
     """Left join, then replace missing values of the named columns."""
-    out = lookup_join(left, right, _keys(key), "left", above=above)
+    out = lookup_join(left, right, _keys(key), "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
 
 

@@ -1,29 +1,41 @@
 """Per-key ordered computations (previous row, first row, row number, running sums).
 
-A group may be any share of the data: see ``skew.with_chunks``. All derived
-columns of one call share one shuffle and one sort.
+A group may be any share of the data: see ``skew.with_ranges``. All derived columns of one call share one shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators.skew import (
-    order_columns,
-    position,
-    same_keys,
-    split_above,
-    with_chunks,
-)
+from cohortloom.operators.skew import order_columns, range_rows, with_ranges
 
 
-def _join_carry(rows: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the per-range carry, at most one row per range, hence broadcast."""
-    pairs = [(k, f"_k{i}") for i, k in enumerate(keys)] + [("_chunk", "_kc")]
-    carry = F.broadcast(carry.withColumnsRenamed(dict(pairs)))
-    on = same_keys(rows, carry, pairs[:-1]) & (rows["_chunk"] == carry["_kc"])
-    return rows.join(carry, on, "left").drop(*[b for _, b in pairs])
+def _per_range(
+    df: DataFrame, keys: list[str], order: list, rows: int, local: dict[str, Column], carried: dict[str, Column],
+    also: list[str] | None = None,
+) -> DataFrame:
+    """Rows with the ``local`` window columns of their range and what earlier ranges of the key carry on.
+
+    ``carried`` is taken over the last row of each earlier range, in order; it is missing in the first range.
+    """
+    dealt = with_ranges(df, keys, order, rows, also).repartition("_range")
+    window = Window.partitionBy("_range").orderBy(*order_columns(order))
+    numbered = dealt.select(
+        "*", *[c.over(_frame(window, name)).alias(name) for name, c in local.items()],
+        F.lead(F.lit(True)).over(window).alias("_next"),
+    )
+    # The condition reads every column, so that rows and summaries need the same exchange and Spark runs it once.
+    whole = F.xxhash64(*dealt.columns) >= F.lit(-(2**63))
+    last = numbered.filter(F.col("_next").isNull() & whole)
+    earlier = Window.partitionBy("_range.key").orderBy("_range.number").rowsBetween(Window.unboundedPreceding, -1)
+    summary = last.select(F.col("_range").alias("_of"), *[c.over(earlier).alias(name) for name, c in carried.items()])
+    summary = summary.filter(F.col("_of.number") > 0)
+    return numbered.join(summary, numbered["_range"] == summary["_of"], "left").drop("_of", "_range")
+
+
+def _frame(window, name: str):
+    return window.rowsBetween(Window.unboundedPreceding, 0) if name.startswith("_sum_") else window
 
 
 def ordered_rows(
@@ -31,87 +43,34 @@ def ordered_rows(
 ) -> DataFrame:
     """Add ``_rn`` (row number), ``_prev`` and ``_first`` (structs of ``carry`` of those rows), ``_many``.
 
-    ``_prev`` is missing on the first row of a group; ``_many`` tells whether the
-    group has more than one row. Rows are repartitioned by key and range outright:
-    a partitioning by key alone, left by an earlier join, would undo the ranges.
+    ``_prev`` is missing on the first row of a group; ``_many`` tells whether the group has more than one row.
+    ``min_rows`` sets the rows of a range.
     """
-    above = split_above(df, min_rows)
-    carried = F.struct(*carry)
-
-    def number(rows: DataFrame, group: list[str]) -> DataFrame:
-        local = Window.partitionBy(*group).orderBy(*order_columns(order))
-        return rows.select(
-            "*",
-            F.row_number().over(local).cast("bigint").alias("_rn"),
-            F.lag(carried).over(local).alias("_prev"),
-            F.first(carried).over(local).alias("_first"),
-            F.lead(F.lit(True)).over(local).alias("_next"),
-        )
-
-    if above is None:
-        many = (F.col("_rn") > 1) | F.col("_next").isNotNull()
-        return number(df, keys).withColumn("_many", many).drop("_next")
-    rows = with_chunks(df, keys, order, above)
-    at = position(df, order).alias("p")
-    ranges = (
-        rows.filter(F.col("_chunk").isNotNull())
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.count(F.lit(1)).alias("_cn"),
-            F.min(F.struct(at, carried.alias("c"))).alias("_lo"),
-            F.max(F.struct(at, carried.alias("c"))).alias("_hi"),
-        )
-    )
-    by_range = Window.partitionBy(*keys).orderBy("_chunk")
-    carry_rows = ranges.select(
-        *keys,
-        "_chunk",
-        F.sum("_cn").over(by_range.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.lag(F.col("_hi.c")).over(by_range).alias("_range_prev"),
-        F.first(F.col("_lo.c")).over(by_range).alias("_range_first"),
+    row = F.struct(*carry)
+    out = _per_range(
+        df, keys, order, range_rows(df, min_rows),
+        {"_rn": F.row_number(), "_prev": F.lag(row), "_first": F.first(row)},
+        {"_before": F.sum("_rn"), "_range_prev": F.last(row), "_range_first": F.first("_first")},
     )
-    out = _join_carry(number(rows.repartition(*keys, "_chunk"), [*keys, "_chunk"]), carry_rows, keys)
-    return out.withColumns(
+    # The first range of a key that is cut at all holds two rows or more.
+    follows = F.col("_before").isNotNull()
+    out = out.withColumns(
         {
-            "_prev": F.when(F.col("_rn") == 1, F.col("_range_prev")).otherwise(F.col("_prev")),
-            "_first": F.coalesce("_range_first", "_first"),
-            "_many": F.col("_chunk").isNotNull() | (F.col("_rn") > 1) | F.col("_next").isNotNull(),
-            "_rn": F.col("_rn") + F.coalesce("_before", F.lit(0)),
+            "_prev": F.when((F.col("_rn") == 1) & follows, F.col("_range_prev")).otherwise(F.col("_prev")),
+            "_first": F.when(follows, F.col("_range_first")).otherwise(F.col("_first")),
+            "_many": follows | (F.col("_rn") > 1) | F.col("_next").isNotNull(),
+            "_rn": (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("bigint"),
         }
-    ).drop("_chunk", "_next", "_before", "_range_prev", "_range_first")
+    )
+    return out.drop("_next", "_before", "_range_prev", "_range_first")
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: list, sums: dict[str, str], above: int | None
+    df: DataFrame, keys: list[str], order: list, sums: dict[str, str], min_rows: int | None = None
 ) -> DataFrame:
-    """Add running sums, ``{new column: summed column}``, up to and including each row.
-
-    ``above`` comes from ``split_above`` on the data the caller started from.
-    """
-
-    def add_up(rows: DataFrame, group: list[str]) -> DataFrame:
-        local = (
-            Window.partitionBy(*group)
-            .orderBy(*order_columns(order))
-            .rowsBetween(Window.unboundedPreceding, 0)
-        )
-        return rows.select("*", *[F.sum(col).over(local).alias(name) for name, col in sums.items()])
-
-    if above is None:
-        return add_up(df, keys)
-    rows = with_chunks(df, keys, order, above)
-    ranges = (
-        rows.filter(F.col("_chunk").isNotNull())
-        .groupBy(*keys, "_chunk")
-        .agg(*[F.sum(col).alias(f"_t_{name}") for name, col in sums.items()])
-    )
-    before = (
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry_rows = ranges.select(
-        *keys, "_chunk", *[F.sum(f"_t_{name}").over(before).alias(f"_b_{name}") for name in sums]
-    )
-    out = _join_carry(add_up(rows.repartition(*keys, "_chunk"), [*keys, "_chunk"]), carry_rows, keys)
-    return out.withColumns(
-        {name: F.col(name) + F.coalesce(f"_b_{name}", F.lit(0)) for name in sums}
-    ).drop("_chunk", *[f"_b_{name}" for name in sums])
+    """Add running sums, ``{new column: summed column}``, up to and including each row."""
+    local = {f"_sum_{name}": F.sum(col) for name, col in sums.items()}
+    carried = {f"_carry_{name}": F.sum(f"_sum_{name}") for name in sums}
+    out = _per_range(df, keys, order, range_rows(df, min_rows), local, carried, list(sums.values()))
+    totals = {name: F.col(f"_sum_{name}") + F.coalesce(f"_carry_{name}", F.lit(0)) for name in sums}
+    return out.withColumns(totals).drop("_next", *local, *carried)

@@ -1,12 +1,9 @@
-"""Helpers that keep one hot key from landing in one task.
-
-``lookup_join`` and ``attach`` look per-key values up for every row, hot keys salted.
-``with_chunks`` cuts the ordered rows of a hot key into ranges, so that windows run per range and
-only a range summary is carried from one range to the next. Both are exact. What
-they broadcast is bounded whatever the data size: at most ``MAX_HOT`` hot keys (the
-largest ones, so any other key holds less than ``1 / MAX_HOT`` of all rows) with at
-most ``MAX_CHUNKS`` ranges each. Input of at most one read split's size skips all
-of this, since no group in it can outgrow a task.
+"""Helpers that keep one crowded key from landing in one task, the same at every size.
+
+Lookups are plain joins: the session lets Spark split the crowded partitions of a join at run time. Windows over ordered
+rows can't be split that way, so ``with_ranges`` cuts the rows of every key into ranges of about ``range_rows`` rows, a
+window runs per range, and only one summary row per range is carried on. Cuts are rows of a hash sample, compared in the
+window's own order, so they depend on the data alone and every evaluation and retry agrees.
 """
 
 from __future__ import annotations
@@ -14,40 +11,17 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-MAX_HOT = 1000
-MAX_CHUNKS = 512
-SAMPLES_PER_CHUNK = 32
-SALTS = 256
-HOT_ROWS = 1_000_000
-HOT_ROWS_CONF = "spark.cohortloom.hotRows"
-SPLIT_BYTES = 128 * 1024 * 1024
 
+RANGE_ROWS = 1_000_000
+RANGE_ROWS_CONF = "spark.cohortloom.rangeRows"
+SAMPLES_PER_RANGE = 32
 
-def split_above(df: DataFrame, min_rows: int | None = None) -> int | None:
-    """Rows above which a group of ``df`` is split; None if nothing needs splitting.
-
-    The argument wins over the session setting, and that over the default, which
-    applies only where Spark's size estimate exceeds one read split. An estimate
-    that errs upwards, as it does after joins, costs time and not correctness.
-    """
-    setting = df.sparkSession.conf.get(HOT_ROWS_CONF, None)
-    if min_rows is not None:
-        return min_rows
-    if setting is not None:
-        return int(setting)
-    return None if _estimated_bytes(df) <= SPLIT_BYTES else HOT_ROWS
 
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; no job runs. Unknown counts as large."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return SPLIT_BYTES + 1
+def range_rows(df: DataFrame, given: int | None = None) -> int:
+    """Rows per range: the argument, else the session setting, else the default."""
+    return max(2, given or int(df.sparkSession.conf.get(RANGE_ROWS_CONF, str(RANGE_ROWS))))
 
 
 def same_keys(left: DataFrame, right: DataFrame, pairs) -> Column:
@@ -55,154 +29,68 @@ def same_keys(left: DataFrame, right: DataFrame, pairs) -> Column:
     return reduce(and_, [left[a].eqNullSafe(right[b]) for a, b in pairs])
 
 
-def _hot(counts: DataFrame, keys: list[str], n: str, above: int) -> DataFrame:
-    """The largest keys, at most ``MAX_HOT``; ties are broken by key so every evaluation agrees."""
-    return counts.filter(F.col(n) > above).orderBy(F.col(n).desc(), *keys).limit(MAX_HOT)
-
-
-def _equal(left: DataFrame, right: DataFrame, pairs) -> Column:
-    return reduce(and_, [left[a] == right[b] for a, b in pairs])
-
-
-def _salted_join(
-    df: DataFrame, right: DataFrame, pairs, hot: DataFrame, how: str, null_safe: bool
-) -> DataFrame:
-    """Join where rows of hot keys are salted and the right side's rows of those keys repeated per salt.
-
-    The salt is the row's input partition, which a task retry reproduces.
-    ``hot`` holds the keys as ``_h0, _h1, ..``.
-    """
-    marked = F.broadcast(hot.withColumn("_is_hot", F.lit(True)))
-    mine = [(a, f"_h{i}") for i, (a, _) in enumerate(pairs)]
-    theirs = [(b, f"_h{i}") for i, (_, b) in enumerate(pairs)]
-    names = [h for _, h in mine]
-    salt = F.when(F.col("_is_hot"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)
-    left = df.join(marked, same_keys(df, marked, mine), "left").withColumn("_salt", salt).drop(*names, "_is_hot")
-    top = F.when(F.col("_is_hot"), SALTS - 1).otherwise(0)
-    copies = right.join(marked, same_keys(right, marked, theirs), "left")
-    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(0), top))).drop(*names, "_is_hot")
-    match = same_keys if null_safe else _equal
-    return left.join(copies, match(left, copies, pairs) & (left["_salt"] == copies["_copy"]), how).drop(
-        "_salt", "_copy"
-    )
-
-
 def lookup_join(
-    df: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = False,
-    above: int | None | str = "auto",
+    df: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", null_safe: bool = False
 ) -> DataFrame:
-    """Inner or left join of ``df``, where a key may hold any share of the rows, to a side with few rows per key.
-
-    Key columns appear once. ``above`` is the result of ``split_above``, to be
-    passed where it can be read off an earlier input than ``df``.
-    """
-    if above == "auto":
-        above = split_above(df)
+    """Inner or left join on shared key columns, which appear once; ``df`` may have any share of its rows in one key."""
     pairs = [(k, f"_r{i}") for i, k in enumerate(keys)]
     renamed = right.withColumnsRenamed(dict(pairs))
-    if above is None:
-        match = same_keys if null_safe else _equal
-        return df.join(renamed, match(df, renamed, pairs), how).drop(*[b for _, b in pairs])
-    named = [F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]
-    counts = df.groupBy(*named).agg(F.count(F.lit(1)).alias("_n"))
-    hot = _hot(counts, [f"_h{i}" for i in range(len(keys))], "_n", above).drop("_n")
-    return _salted_join(df, renamed, pairs, hot, how, null_safe).drop(*[b for _, b in pairs])
-
-
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], n: str, above: int | None) -> DataFrame:
-    """Left join one row of ``stats`` per key to ``df``, missing keys included; ``n`` is the key's row count."""
-    pairs = [(k, f"_k{i}") for i, k in enumerate(keys)]
-    names = [b for _, b in pairs]
-    renamed = stats.withColumnsRenamed({**dict(pairs), n: "_group_rows"})
-    if above is None:
-        return df.join(renamed, same_keys(df, renamed, pairs), "left").drop(*names, "_group_rows")
-    hot = _hot(renamed, names, "_group_rows", above).select(*[F.col(b).alias(f"_h{i}") for i, b in enumerate(names)])
-    return _salted_join(df, renamed, pairs, hot, "left", True).drop(*names, "_group_rows")
-
-
-def sort_key(df: DataFrame, col: str, desc: bool = False) -> Column:
-    """A column whose ascending order is the wanted order of ``col`` among present values."""
-    c, kind = F.col(col), df.schema[col].dataType
-    if not desc:
-        return c
-    if isinstance(kind, T.BooleanType):
-        return ~c
-    if isinstance(kind, T.DateType):
-        return -F.datediff(c, F.lit("1970-01-01").cast("date"))
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), c)
-    if isinstance(kind, T.NumericType):
-        return -c
-    raise ValueError(f"descending order on {col} ({kind.simpleString()}) cannot be split into ranges")
-
-
-def position(df: DataFrame, order: list) -> Column:
-    """Sortable struct for an order given as names or ``(name, 'desc')``; missing values last."""
-    parts = []
-    for i, item in enumerate(order):
-        name, desc = (item, False) if isinstance(item, str) else (item[0], item[1] == "desc")
-        parts += [F.col(name).isNull().alias(f"m{i}"), sort_key(df, name, desc).alias(f"v{i}")]
-    return F.struct(*parts)
+    on = same_keys(df, renamed, pairs) if null_safe else reduce(and_, [df[a] == renamed[b] for a, b in pairs])
+    return df.join(renamed, on, how).drop(*[b for _, b in pairs])
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join one row of ``stats`` per key to ``df``, missing keys included."""
+    return lookup_join(df, stats, keys, "left", null_safe=True)
 
 
 def order_columns(order: list) -> list[Column]:
-    """The same order as window expressions."""
+    """An order given as names or ``(name, 'desc')`` as window expressions, missing values last."""
     return [
         F.col(o).asc_nulls_last() if isinstance(o, str) or o[1] != "desc" else F.col(o[0]).desc_nulls_last()
         for o in order
     ]
 
 
-def with_chunks(df: DataFrame, keys: list[str], order: list, above: int) -> DataFrame:
-    """Add ``_chunk``: missing for ordinary keys, the range number for rows of a hot key.
+def order_names(order: list) -> list[str]:
+    return [o if isinstance(o, str) else o[0] for o in order]
 
-    Range bounds are order positions picked from a hash sample of the hot key's
-    rows, so they depend on the data alone and every evaluation agrees.
+
+def after(cut: Column, order: list) -> Column:
+    """Whether a row comes after ``cut``, a struct of the order's columns, in that order."""
+    rule = F.lit(False)
+    for item in reversed(order):
+        name, desc = (item, False) if isinstance(item, str) else (item[0], item[1] == "desc")
+        mine, its = F.col(name), cut[name]
+        beyond = F.coalesce(mine < its if desc else mine > its, mine.isNull() & its.isNotNull())
+        rule = beyond | (mine.eqNullSafe(its) & rule)
+    return rule
+
+
+def with_ranges(df: DataFrame, keys: list[str], order: list, rows: int, also: list[str] | None = None) -> DataFrame:
+    """Add ``_range``, a struct of the row's keys and the number of its range in the key, from 0 on.
+
+    Every ``rows``-th row on average is a cut, so a key of n rows has about n / ``rows`` ranges. The sample is taken by the
+    hash of the order's columns and of ``also``.
     """
-    pos = position(df, order)
-    names = [o if isinstance(o, str) else o[0] for o in order]
-    pairs = [(k, f"_k{i}") for i, k in enumerate(keys)]
-    key_cols = [F.col(k).alias(b) for k, b in pairs]
-    counts = df.groupBy(*key_cols).agg(F.count(F.lit(1)).alias("_n"))
-    size = F.greatest(F.lit(above), F.ceil(F.col("_n") / MAX_CHUNKS)).cast("bigint")
-    hot = F.broadcast(_hot(counts, [b for _, b in pairs], "_n", above).withColumn("_size", size))
-    step = F.greatest(F.lit(1), F.floor(F.col("_size") / SAMPLES_PER_CHUNK).cast("bigint"))
-    sample = (
-        df.join(hot, same_keys(df, hot, pairs), "inner")
-        .filter(F.pmod(F.xxhash64(*names), step) == 0)
-        .select(*[b for _, b in pairs], "_n", "_size", pos.alias("_pos"))
-    )
-    wanted = F.ceil(F.col("_n") / F.col("_size"))
-    bounds = (
-        sample.groupBy(*[b for _, b in pairs])
-        .agg(
-            F.array_sort(F.collect_set("_pos")).alias("_s"),
-            F.first("_n").alias("_n"),
-            F.first("_size").alias("_size"),
-        )
-        .withColumn("_c", F.greatest(F.lit(2), F.least(wanted, F.size("_s"))).cast("int"))
-        .withColumn(
-            "_b",
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.col("_c") - 1),
-                    lambda i: F.element_at(
-                        "_s", F.greatest(F.lit(1), F.floor(i * F.size("_s") / F.col("_c")).cast("int"))
-                    ),
-                )
-            ),
-        )
-        # Two-level search: every _g-th bound first, then the bounds in between.
-        .withColumn("_g", F.ceil(F.sqrt(F.size("_b"))).cast("int"))
-        .withColumn("_coarse", F.filter("_b", lambda x, i: (i + 1) % F.col("_g") == 0))
-        .select(*[b for _, b in pairs], "_b", "_g", "_coarse")
+    names = order_names(order)
+    step = max(1, rows // SAMPLES_PER_RANGE)
+    sample = df.filter(F.pmod(F.xxhash64(*names, *(also or [])), F.lit(step)) == 0)
+    in_key = Window.partitionBy(*keys).orderBy(*order_columns(order))
+    cuts = sample.select(
+        F.struct(*keys).alias("_cut_key"), F.struct(*names).alias("_cut"), F.row_number().over(in_key).alias("_at")
+    ).filter(F.col("_at") % max(1, rows // step) == 0)
+    cuts = cuts.groupBy("_cut_key").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_at", "_cut"))), lambda x: x["_cut"]).alias("_cuts")
     )
-    bounds = F.broadcast(bounds)
-    jump = F.size(F.filter("_coarse", lambda b: b < pos)) * F.col("_g")
-    near = F.slice("_b", jump + 1, F.col("_g"))
-    chunk = jump + F.size(F.filter(near, lambda b: b < pos))
-    return (
-        df.join(bounds, same_keys(df, bounds, pairs), "left")
-        .withColumn("_chunk", F.when(F.col("_b").isNotNull(), chunk))
-        .drop(*[b for _, b in pairs], "_b", "_g", "_coarse")
+    # Two-level search: every _g-th cut first, then the cuts in between.
+    cuts = cuts.withColumn("_g", F.ceil(F.sqrt(F.size("_cuts"))).cast("int"))
+    cuts = cuts.withColumn("_coarse", F.filter("_cuts", lambda x, i: (i + 1) % F.col("_g") == 0))
+    jump = F.size(F.filter("_coarse", lambda c: after(c, order))) * F.col("_g")
+    number = jump + F.size(F.filter(F.slice("_cuts", jump + 1, F.col("_g")), lambda c: after(c, order)))
+    out = df.withColumn("_key", F.struct(*keys))
+    out = out.join(cuts, out["_key"] == cuts["_cut_key"], "left")
+    place = F.coalesce(number, F.lit(0)).alias("number")
+    return out.withColumn("_range", F.struct(F.col("_key").alias("key"), place)).drop(
+        "_key", "_cut_key", "_cuts", "_g", "_coarse"
     )

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from cohortloom.functions.scalars import answered, flag, isin0
 from cohortloom.operators.ordered import running_totals
 from cohortloom.operators.rows import na_subset
-from cohortloom.operators.skew import split_above
 
 MAD_SCALE = 1.4826  # fixed value: makes the MAD of normal data its standard deviation
 
@@ -53,7 +52,7 @@ def freq_multi(df: DataFrame, cols: Iterable[str], min_rows: int | None = None)
     # the scan and keep Spark from sharing one aggregate between the sums and the totals.
     ordered = counts.withColumn("_num", F.col("value").try_cast("double"))
     values = (
-        running_totals(ordered, ["variable"], ["_num", "value"], {"_cum": "n"}, split_above(df, min_rows))
+        running_totals(ordered, ["variable"], ["_num", "value"], {"_cum": "n"}, min_rows)
         .filter(F.col("value").isNotNull())
         .join(totals, "variable")
         .select(
@@ -134,13 +133,13 @@ def crosstab_subset(df: DataFrame, row: str, col: str, cond: Column) -> DataFram
     return crosstab(na_subset(df, [row, col], cond), row, col)
 
 
-def _quantiles(counts: DataFrame, probs: dict[str, float], above: int | None) -> DataFrame:
+def _quantiles(counts: DataFrame, probs: dict[str, float], min_rows: int | None) -> DataFrame:
     """Interpolated quantiles per variable of a (variable, value, n) table of present values.
 
     Order statistics are read off running counts, so no task ever holds a column.
     """
     sizes = F.broadcast(counts.groupBy("variable").agg(F.sum("n").alias("_n")))
-    cum = running_totals(counts, ["variable"], ["value"], {"_cum": "n"}, above).join(sizes, "variable")
+    cum = running_totals(counts, ["variable"], ["value"], {"_cum": "n"}, min_rows).join(sizes, "variable")
     aggs = []
     for name, p in probs.items():
         at = (F.col("_n") - 1) * p
@@ -177,15 +176,14 @@ def describe_numeric(df: DataFrame, cols: Iterable[str], min_rows: int | None =
             )
         )
     )
-    above = split_above(df, min_rows)
     counts = _long_counts(df, cols, "double").filter(F.col("value").isNotNull())
-    quartiles = _quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, above)
+    quartiles = _quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, min_rows)
     spread = (
         counts.join(F.broadcast(quartiles.select("variable", "median")), "variable")
         .groupBy("variable", F.abs(F.col("value") - F.col("median")).alias("value"))
         .agg(F.sum("n").alias("n"))
     )
-    mad = _quantiles(spread, {"mad": 0.5}, above)
+    mad = _quantiles(spread, {"mad": 0.5}, min_rows)
     out = per_col.join(F.broadcast(quartiles), "variable", "left").join(F.broadcast(mad), "variable", "left")
     return out.withColumns(
         {

@@ -31,6 +31,7 @@ from cohortloom.functions import (
     tiered_risk,
     yes_no_columns,
 )
+from cohortloom.functions.scalars import position
 from cohortloom.operators import (
     composite_group_flag,
     conj_filter,
@@ -42,7 +43,6 @@ from cohortloom.operators import (
     latest_per_group,
     left_join_fill,
 )
-from cohortloom.operators.skew import position, split_above
 from cohortloom.sources import null_or_ne, time_window, type_filter
 
 
@@ -252,8 +252,8 @@ def cohort_treatment(
     cases = cases.withColumnsRenamed({"id": "case_id", "created_date": "case_created_date"})
     cases = cases.filter(null_or_ne(c("i_am"), P.THIRD_PARTY_REQUEST) & c("account_id").isNotNull())
     cases = exclude_list_status(cases, "status_change_reason", p.treatment_excluded, "status", p.active_status)
-    tx = inner_join(cases, per_case, "case_id", above=None)
-    tx = inner_join(tx, _account_side(accounts, p), "account_id", above=split_above(cases))
+    tx = inner_join(cases, per_case, "case_id")
+    tx = inner_join(tx, _account_side(accounts, p), "account_id")
     parts = answered([c(x) for x in P.PLAN_PARTS])
     risk = relabel(c("most_recent_overall_risk_level"), P.RISK_LABELS)
     tx = tx.withColumns(

@@ -22,7 +22,7 @@ from cohortloom.operators import (
     min_date_ties,
     numeric_totals,
 )
-from cohortloom.operators.skew import lookup_join, split_above
+from cohortloom.operators.skew import lookup_join
 from cohortloom.sources import key_semi_join, null_or_ne, time_window, type_filter
 
 HIGH_ITEMS = (
@@ -56,11 +56,10 @@ def cohort_scoring(notes: DataFrame, cases: DataFrame, accounts: DataFrame, p: P
     cases = cases.filter(F.col("account_id").isNotNull() & null_or_ne(F.col("i_am"), P.THIRD_PARTY_REQUEST))
     cases = exclude_list(cases, "status_change_reason", P.THIRD_PARTY_REASONS)
     cases = exclude_list_status(cases, "status_change_reason", p.scoring_excluded, "status", p.active_status)
-    above = split_above(cases)
     cases = key_semi_join(cases, "case_id", connected_notes(notes, p))
     accounts = accounts.withColumnsRenamed({"id": "account_id", "created_date": "account_created_date"})
     accounts = drop_test_names(accounts, "name", p.test_tokens, "test_account")
-    return inner_join(cases, accounts, "account_id", above=above)
+    return inner_join(cases, accounts, "account_id")
 
 
 def form_frame(cohort: DataFrame, forms: DataFrame, start=None, end=None) -> DataFrame:
@@ -72,13 +71,14 @@ def form_frame(cohort: DataFrame, forms: DataFrame, start=None, end=None) -> Dat
 
 
 def _keep_cases(cohort: DataFrame, many: DataFrame) -> DataFrame:
-    """Left join of cases to their many rows, where one case may own any share of them."""
-    above = split_above(many)
-    if above is None:
-        return cohort.join(many, "case_id", "left")
-    found = lookup_join(many, cohort, ["case_id"], "inner", above=above)
+    """Left join of cases to their many rows, where one case may own any share of them.
+
+    Spark splits a crowded key on the left of an inner join only, so cases without rows are added.
+    """
+    names = [*cohort.columns, *[c for c in many.columns if c != "case_id"]]
+    found = lookup_join(many, cohort, ["case_id"], "inner")
     alone = cohort.join(many, "case_id", "left_anti")
-    return found.unionByName(alone, allowMissingColumns=True)
+    return found.select(*names).unionByName(alone, allowMissingColumns=True)
 
 
 def note_frame(cohort: DataFrame, notes: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ if __name__ == "__main__":
     from cohortloom.session import get_session
 
     args = sys.argv[1:]
-    hot = {"spark.cohortloom.hotRows": os.environ["HOT_ROWS"]} if "HOT_ROWS" in os.environ else {}
+    hot = {"spark.cohortloom.rangeRows": os.environ["HOT_ROWS"]} if "HOT_ROWS" in os.environ else {}
     folder = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     spark = get_session("oracle", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false"}, **hot)
     spark.sparkContext.setLogLevel("ERROR")

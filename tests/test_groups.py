@@ -3,9 +3,11 @@ from __future__ import annotations
 import datetime as dt
 import random
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from conftest import rows
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom import operators as op
@@ -43,6 +45,7 @@ def test_ordered_rows_match_brute_force(spark, above):
     data = skewed()
     df = spark.createDataFrame(data, SCHEMA).repartition(5)
     out = ordered_rows(df, ["k"], ["ts", "id"], ["id", "v"], above)
+    assert out.columns == [*df.columns, "_rn", "_prev", "_first", "_many"]
     got = {r.id: (r["_rn"], r["_prev"] and tuple(r["_prev"]), tuple(r["_first"]), r["_many"]) for r in out.collect()}
     want = {}
     for g in by_key(data).values():
@@ -69,25 +72,52 @@ def test_running_totals_match_brute_force(spark, above):
 def test_hot_key_is_cut_into_bounded_ranges(spark):
     data = skewed(7, 3000)
     df = spark.createDataFrame(data, SCHEMA)
-    chunks = rows(skew.with_chunks(df, ["k"], ["ts", "id"], 100).groupBy("k", "_chunk").count(), "k", "_chunk", "count")
-    hot = [n for k, c, n in chunks if k == "hot"]
+    ranges = skew.with_ranges(df, ["k"], ["ts", "id"], 100).groupBy("k", F.col("_range.number").alias("r")).count()
+    hot = [n for k, _, n in rows(ranges, "k", "r", "count") if k == "hot"]
     assert len(hot) >= 8 and max(hot) < 250 and sum(hot) == 1000
-    small = Counter(r[1] for r in data)
-    assert all(c is None for k, c, _ in chunks if small[k] <= 100)
 
 
 def test_many_copies_of_one_date_are_cut_too(spark):
     df = spark.range(2000).select(F.lit("x").alias("k"), F.lit("2024-01-01").cast("timestamp").alias("ts"), "id")
-    sizes = [r["count"] for r in skew.with_chunks(df, ["k"], ["ts", "id"], 200).groupBy("_chunk").count().collect()]
+    sizes = [r["count"] for r in skew.with_ranges(df, ["k"], ["ts", "id"], 200).groupBy("_range").count().collect()]
     assert len(sizes) >= 8 and max(sizes) < 500
 
 
-@pytest.mark.parametrize("above", [None, 50])
-def test_group_values(spark, above):
+@pytest.mark.parametrize("desc", [False, True])
+@pytest.mark.parametrize("col", ["text", "number", "day", "amount"])
+def test_ranges_follow_the_window_order(spark, col, desc):
+    rnd = random.Random(2)
+    data = [
+        (i, "k" if i % 3 else None, rnd.choice([None, "a", "b", "é", ""]), rnd.choice([None, float("nan"), -0.0, 0.0, float("inf"), 1.5]),
+         rnd.choice([None, dt.date(2024, 1, 1), dt.date(1969, 5, 5)]), rnd.choice([None, Decimal("1.10"), Decimal("-2.00")]))
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(data, "id int, k string, text string, number double, day date, amount decimal(9,2)")
+    order = [(col, "desc") if desc else col, "id"]
+    whole = rows(op.priority_sort(df, ["k"], order), "id", "position")
+    spark.conf.set(skew.RANGE_ROWS_CONF, "10")
+    try:
+        assert rows(op.priority_sort(df, ["k"], order), "id", "position") == whole
+    finally:
+        spark.conf.unset(skew.RANGE_ROWS_CONF)
+    plain = Window.partitionBy("k").orderBy(*skew.order_columns(order))
+    assert rows(df.withColumn("p", F.row_number().over(plain)), "id", "p") == whole
+
+
+def test_one_lag_reads_its_input_twice_at_most(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).selectExpr("id", "id % 3 as k", "id as ts").write.parquet(path)
+    out = op.lag_score(spark.read.parquet(path), ["k"], ["ts", "id"], "ts")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") <= 2, plan
+
+
+def test_group_values(spark):
     data = skewed()
     df = spark.createDataFrame(data, SCHEMA).repartition(6)
     out = op.attach_group(
-        df, ["k"], {"n": F.count(F.lit(1)), "any": F.max(F.when(F.col("v") == 5, 1).otherwise(0))}, above
+        df, ["k"], {"n": F.count(F.lit(1)), "any": F.max(F.when(F.col("v") == 5, 1).otherwise(0))}
     )
     sizes = Counter(r[1] for r in data)
     fives = {r[1] for r in data if r[3] == 5}
@@ -103,11 +133,11 @@ def test_descending_and_missing_last(spark):
     want = [(1, 1), (2, 5), (3, 3), (4, 4), (5, 2)]
     order = [("f", "desc"), "d", "id"]
     assert rows(op.priority_sort(df, ["k"], order), "id", "position") == want
-    spark.conf.set(skew.HOT_ROWS_CONF, "2")
+    spark.conf.set(skew.RANGE_ROWS_CONF, "2")
     try:
         assert rows(op.priority_sort(df, ["k"], order), "id", "position") == want
     finally:
-        spark.conf.unset(skew.HOT_ROWS_CONF)
+        spark.conf.unset(skew.RANGE_ROWS_CONF)
     assert rows(op.first_per_group_priority(df, ["k"], order), "id") == [(1,)]
     assert rows(op.latest_per_group(df, ["k"], "d", "id"), "id") == [(1,)]
 
@@ -152,13 +182,13 @@ def test_day_gaps_and_running_days(spark):
     data = skewed(11)
     df = spark.createDataFrame(data, SCHEMA)
     for above in ("1000000", "30"):
-        spark.conf.set(skew.HOT_ROWS_CONF, above)
+        spark.conf.set(skew.RANGE_ROWS_CONF, above)
         try:
             lag = dict(rows(op.lag_days(df, ["k"], ["ts", "id"], "ts"), "id", "lag_days"))
             run = dict(rows(op.running_days(df, ["k"], ["ts", "id"], "ts"), "id", "running_days"))
             chg = dict(rows(op.lag_score(df, ["k"], ["ts", "id"], "v"), "id", "lag_score"))
         finally:
-            spark.conf.unset(skew.HOT_ROWS_CONF)
+            spark.conf.unset(skew.RANGE_ROWS_CONF)
         for g in by_key(data).values():
             total = 0
             for i, r in enumerate(g):
