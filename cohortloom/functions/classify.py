@@ -56,12 +56,13 @@ def bucket_collapse(c: Column, rules: Mapping, other: str, unknown: str, refused
     return F.coalesce(relabel(c, rules), F.when(gone, F.lit(unknown)).otherwise(F.lit(other)))
 
 
-def numeric_bands(c: Column, edges: Iterable[tuple], unknown: str) -> Column:
+def numeric_bands(c: Column, edges: Iterable[tuple], unknown: str, digits: int | None = 2) -> Column:
     """Label of the first inclusive ``(low, high, label)`` band; unreadable values are ``unknown``.
 
-    Text is read from its first two characters.
+    Text is read from its first ``digits`` characters, as the written rule has it; None reads the whole leading number.
     """
-    number = F.substring(c, 1, 2).try_cast("double")
+    text = F.regexp_extract(c, r"^\s*(\d+)", 1) if digits is None else F.substring(c, 1, digits)
+    number = text.try_cast("double")
     out = None
     for low, high, label in edges:
         cond = number >= low if high is None else (number >= low) & (number <= high)

@@ -133,51 +133,62 @@ def _tables(df: DataFrame, row: str, col: str, by: Iterable[str]) -> tuple[DataF
         (F.first("_two") & ~F.max("_third") & (F.count(F.lit(1)) > 1)).alias("_tested"),
         F.sum(F.expr(log_choose("total", "a"))).alias("_log_obs"),
     )
-    # The largest row is derived from the margins, so it adds nothing to the search space.
-    head = F.slice("_lines", 1, F.greatest(F.size("_lines") - 1, F.lit(0)))
-    tables = tables.withColumns(
-        {
-            "_log_obs": F.col("_log_obs") - F.expr(log_choose("_n", "_k")),
-            "_head": F.transform(
-                head, lambda x: F.struct(x["total"].alias("total"), F.least(x["total"], F.col("_k")).alias("cap"))
-            ),
-            "_last_total": F.element_at("_lines", -1)["total"],
-        }
+    return tables.withColumn("_log_obs", F.col("_log_obs") - F.expr(log_choose("_n", "_k"))), keys
+
+
+def _halves(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """Every way to fill the two halves (``side`` 0 and 1) of a table's rows: ``used`` and ``logw``.
+
+    A fill is weighted by binomial probabilities at the overall share, which differ from the table's weights by a factor
+    that depends on the margins only and can't overflow. Fills are numbered in mixed radix and expanded in two steps with
+    a shuffle in between, so that the fills of one stratum spread over the cluster.
+    """
+    sized = F.transform("_lines", lambda x: F.struct(x["total"].alias("total"), F.least(x["total"], F.col("_k")).alias("cap")))
+    tables = tables.withColumns({"_sized": F.array_sort(sized, lambda x, y: (x["cap"] - y["cap"]).cast("int"))})
+    logs = F.transform("_sized", lambda x: F.log(x["cap"] + 1.0))
+    upto = F.transform("_sized", lambda x, i: F.aggregate(F.slice(logs, 1, i + 1), F.lit(0.0), lambda a, v: a + v))
+    cut = F.size(F.filter(upto, lambda v: v <= F.element_at(upto, -1) / 2))
+    cut = F.greatest(F.lit(1), F.least(cut, F.size("_sized") - 1))
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), F.slice("_sized", F.lit(1), cut).alias("rows")),
+        F.struct(F.lit(1).alias("side"), F.slice("_sized", cut + 1, F.size("_sized")).alias("rows")),
     )
-    log_space = F.aggregate("_head", F.lit(0.0), lambda acc, x: acc + F.log(x["cap"] + 1.0))
-    return tables.withColumn("_log_space", log_space), keys
+    names = [*keys, "_n", "_k", "_log_obs"]
+    halves = tables.select(*names, F.inline(sides))
+    halves = halves.withColumn("_space", F.aggregate("rows", F.lit(1).cast("bigint"), lambda acc, x: acc * (x["cap"] + 1)))
+    blocks = halves.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_space") - 1) / BLOCK))))
+    last_id = F.least((F.col("_block") + 1) * BLOCK, F.col("_space")) - 1
+    ids = blocks.repartition(*keys, "side", "_block").withColumn("_id", F.explode(F.sequence(F.col("_block") * BLOCK, last_id)))
+    digit = "(acc.rest % (line.cap + 1))"
+    filled = F.expr(
+        "aggregate(rows, named_struct('rest', _id, 'used', 0L, 'logw', 0D), (acc, line) -> named_struct("
+        f"'rest', acc.rest div (line.cap + 1), 'used', acc.used + {digit}, 'logw', acc.logw + {log_choose('line.total', digit)}"
+        f" + {digit} * ln(_k / _n) + (line.total - {digit}) * ln(1 - _k / _n)))"
+    )
+    return ids.withColumn("_t", filled).select(*names, "side", F.col("_t.used").alias("used"), F.col("_t.logw").alias("logw"))
 
 
 def _exact_part(tables: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of probabilities of all tables no likelier than the observed one.
 
-    Candidate tables are numbered in mixed radix over the first-column counts of
-    all rows but the last; numbers are expanded in two steps with a shuffle in
-    between, so one stratum's candidates spread over the cluster.
+    One half asks, for each of its fills, for the weight of all fills of the other half that bring the column to
+    its total and the table to no more than the observed weight: a running sum of the other half's weights in order.
     """
-    space = F.aggregate("_head", F.lit(1).cast("bigint"), lambda acc, x: acc * (x["cap"] + 1))
-    tables = tables.withColumn("_space", space)
-    blocks = tables.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_space") - 1) / BLOCK)))
-    ).repartition(*keys, "_block")
-    last_id = F.least((F.col("_block") + 1) * BLOCK, F.col("_space")) - 1
-    ids = blocks.withColumn("_id", F.explode(F.sequence(F.col("_block") * BLOCK, last_id)))
-    digit = "(acc.rest % (line.cap + 1))"
-    filled = ids.withColumn(
-        "_t",
-        F.expr(
-            "aggregate(_head, named_struct('rest', _id, 'used', 0L, 'logw', 0D), (acc, line) -> named_struct("
-            f"'rest', acc.rest div (line.cap + 1), 'used', acc.used + {digit}, "
-            f"'logw', acc.logw + {log_choose('line.total', digit)}))"
-        ),
-    ).withColumn("_a", F.col("_k") - F.col("_t.used"))
-    fits = filled.filter((F.col("_a") >= 0) & (F.col("_a") <= F.col("_last_total")))
-    logp = F.col("_t.logw") + F.expr(f"{log_choose('_last_total', '_a')} - {log_choose('_n', '_k')}")
-    p = F.exp(logp)
-    counted = p <= F.exp(F.col("_log_obs")) * (1 + TIE_TOLERANCE)
+    fills = _halves(tables, keys)
+    share = (F.col("_k") / F.col("_n")).cast("double")
+    factor = F.col("_k") * F.log(share) + (F.col("_n") - F.col("_k")) * F.log(1 - share)
+    whole = F.expr(log_choose("_n", "_k")) + factor
+    limit = F.col("_log_obs") + whole + math.log1p(TIE_TOLERANCE)
+    asks = F.col("side") == 1
+    met = fills.select(
+        *keys, "_n", "side", "logw", whole.alias("_whole"), F.when(asks, F.col("_k") - F.col("used")).otherwise(F.col("used")).alias("_used"),
+        F.when(asks, limit - F.col("logw")).otherwise(F.col("logw")).alias("_at"),
+    )
+    upto = Window.partitionBy(*keys, "_used").orderBy("_at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    running = F.sum(F.when(F.col("side") == 0, F.exp("logw")).otherwise(0.0)).over(upto)
     return (
-        fits.groupBy(*keys)
-        .agg(F.sum(F.when(counted, p).otherwise(0.0)).alias("p"), F.first("_n").alias("n"))
+        met.withColumn("_below", running).filter(asks).groupBy(*keys)
+        .agg(F.sum(F.exp(F.col("logw") - F.col("_whole")) * F.col("_below")).alias("p"), F.first("_n").alias("n"))
         .select(*keys, "n", F.least("p", F.lit(1.0)).alias("p"), F.lit("exact").alias("method"))
     )
 
@@ -223,19 +234,20 @@ def _simulated_part(tables: DataFrame, keys: list[str], draws: int, seed: int) -
 
 
 def fisher_exact(
-    df: DataFrame, row: str, col: str, by: Iterable[str] = (), cap: int = 10**7, draws: int = 2000, seed: int = 1
+    df: DataFrame, row: str, col: str, by: Iterable[str] = (), method: str = "exact", draws: int = 2000, seed: int = 1
 ) -> DataFrame:
     """Exact test of an r x 2 table: n, p, method.
 
-    Strata whose candidate tables number at most ``cap`` are enumerated in full;
-    larger ones get a permutation estimate and say so. A table that has not two
-    column levels and at least two row levels has no p.
+    ``exact`` enumerates the two halves of the rows, so its work grows with the square root of the number of tables;
+    ``simulate`` estimates p from random tables. The caller chooses; the size never does. A table that has not two column
+    levels and at least two row levels has no p.
     """
+    if method not in ("exact", "simulate"):
+        raise ValueError(f"unknown method {method}")
     tables, keys = _tables(df, row, col, by)
-    small = F.col("_log_space") <= math.log(cap) + 1e-9
     untested = tables.filter(~F.col("_tested")).select(
         *keys, F.col("_n").alias("n"), F.lit(None).cast("double").alias("p"), F.lit("none").alias("method")
     )
-    exact = _exact_part(tables.filter(F.col("_tested") & small), keys)
-    drawn = _simulated_part(tables.filter(F.col("_tested") & ~small), keys, draws, seed)
-    return exact.unionByName(drawn).unionByName(untested).drop("_all")
+    tested = tables.filter(F.col("_tested"))
+    found = _exact_part(tested, keys) if method == "exact" else _simulated_part(tested, keys, draws, seed)
+    return found.unionByName(untested).drop("_all")

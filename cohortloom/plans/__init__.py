@@ -1,6 +1,7 @@
 from cohortloom.plans.cohorts import (
     characteristics,
     cohort_established,
+    cohort_forms,
     cohort_requests,
     cohort_treatment,
     people_view,
@@ -27,7 +28,7 @@ from cohortloom.plans.indicators import (
 )
 
 __all__ = [
-    "characteristics", "cohort_established", "cohort_requests", "cohort_scoring", "cohort_treatment",
+    "characteristics", "cohort_established", "cohort_forms", "cohort_requests", "cohort_scoring", "cohort_treatment",
     "connected_notes", "form_frame", "indicator_01", "indicator_02", "indicator_03", "indicator_04",
     "indicator_05", "indicator_06", "indicator_07", "indicator_08", "indicator_09", "indicator_11",
     "indicator_12", "indicator_assembly", "note_frame", "people_view", "score_totals", "scored_people",

@@ -43,7 +43,7 @@ from cohortloom.operators import (
     latest_per_group,
     left_join_fill,
 )
-from cohortloom.sources import null_or_ne, time_window, type_filter
+from cohortloom.sources import key_semi_join, null_or_ne, time_window, type_filter
 
 
 def characteristics(df: DataFrame) -> DataFrame:
@@ -190,12 +190,12 @@ def cohort_requests(cases: DataFrame, accounts: DataFrame, notes: DataFrame, p:
     # One row per case on both sides: no key can be crowded.
     requests = left_join_fill(
         cases, _notes_per_case(notes, p), "case_id",
-        {"connected_to_client": 0, "call_center_connection": 0, "scheduler_connection": 0}, above=None,
+        {"connected_to_client": 0, "call_center_connection": 0, "scheduler_connection": 0},
     )
     requests = first_per_group_priority(
         requests, ["account_id"], [("intake_and_risk", "desc"), "created_date", "case_id"]
     )
-    requests = inner_join(requests, _account_side(accounts, p), "account_id", above=None)
+    requests = inner_join(requests, _account_side(accounts, p), "account_id")
     phone = c("origin") == "Phone"
     inbound = c("origin").isNull() & (c("call_center_type") == P.INBOUND_CALL)
     requests = requests.withColumns(
@@ -224,6 +224,11 @@ def _contingency_per_case(forms: DataFrame) -> DataFrame:
     )
 
 
+def cohort_forms(forms: DataFrame, cases: DataFrame, p: P.CohortParams) -> DataFrame:
+    """Forms of the window that belong to a case of the cohort; what the form reports start from."""
+    return key_semi_join(time_window(forms, "created_date", p.start, p.end), "care_plan", cases.select(F.col("case_id").alias("care_plan")))
+
+
 def cohort_treatment(
     notes: DataFrame, cases: DataFrame, accounts: DataFrame, forms: DataFrame, p: P.CohortParams
 ) -> DataFrame:
@@ -268,7 +273,6 @@ def cohort_treatment(
     forms = time_window(forms, "created_date", p.start, p.end)
     tx = left_join_fill(
         tx, _contingency_per_case(forms), "case_id", {"contingency_plan": 0, "n_contingency_plans": 0},
-        above=None,
     )
     tx = tx.withColumn("crp_or_contingency", flag((c("crp") == 1) | (c("contingency_plan") == 1)))
     tx = characteristics(tx)

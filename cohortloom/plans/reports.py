@@ -210,9 +210,11 @@ def never_talked(talked: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def feedback_scores(forms: DataFrame, **options) -> DataFrame:
-    """Promoter and detractor frequencies of each case's latest feedback survey."""
-    latest = latest_per_group(type_filter(forms, "name", [P.FORM_FEEDBACK]), ["care_plan"], "created_date", "id")
-    return freq_multi(nps_flags(latest, "fss_nps_question", **options), ["fss_nps_question", "promoter", "detractor"])
+    """Answers of all feedback surveys; promoters and detractors by each case's latest survey."""
+    surveys = type_filter(forms, "name", [P.FORM_FEEDBACK])
+    latest = latest_per_group(surveys, ["care_plan"], "created_date", "id")
+    flags = freq_multi(nps_flags(latest, "fss_nps_question", **options), ["promoter", "detractor"])
+    return freq_multi(surveys, ["fss_nps_question"]).unionByName(flags)
 
 
 STORY_LABELS = {

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortloom.schema import entity_schema
 
@@ -58,14 +59,14 @@ def key_semi_join(
 
 
 def survey_scan(spark: SparkSession, path: str) -> DataFrame:
-    """Survey percentages from CSV with header; dotted column names become underscored."""
-    return (
-        spark.read.option("header", True)
-        .option("enforceSchema", True)
-        .option("mode", "FAILFAST")
-        .schema(entity_schema("survey"))
-        .csv(path)
-    )
+    """Survey percentages from CSV; dotted column names become underscored.
+
+    The header must name the columns in this order, or the read fails.
+    """
+    schema = entity_schema("survey")
+    dotted = T.StructType([T.StructField(f.name.replace("_", "."), f.dataType) for f in schema])
+    read = spark.read.option("header", True).option("enforceSchema", False).option("mode", "FAILFAST")
+    return read.schema(dotted).csv(path).toDF(*schema.names)
 
 
 def write_csv(df: DataFrame, path: str, null: str = "NA", mode: str = "errorifexists") -> None:

@@ -175,6 +175,12 @@ def test_feedback_stories_and_transcripts(spark):
     ])
     got = {(r.variable, r.kind, r.value): r.n for r in reports.feedback_scores(forms).collect()}
     assert got[("promoter", "value", "1")] == 1 and got[("detractor", "value", "0")] == 2
+    # Answers count in every survey, not in the latest only.
+    assert {v: n for (var, kind, v), n in got.items() if var == "fss_nps_question" and kind == "value"} == {"0": 1, "3": 1, "9": 1}
+    cohort = spark.createDataFrame([("a",)], "case_id string")
+    inside = plans.cohort_forms(forms, cohort, PARAMS)
+    assert rows(inside, "care_plan").count(("a",)) == 2 and not {r for r in rows(inside, "care_plan")} - {("a",)}
+    assert {r.variable for r in reports.feedback_scores(inside).collect()} == {"fss_nps_question", "promoter", "detractor"}
     out = reports.stories(forms)
     assert "Consent to share stories" in out.columns and out.count() == 4
     assert rows(out.groupBy("Consent to share stories").count(), "Consent to share stories", "count") == [("No", 3), ("Yes", 1)]

@@ -73,6 +73,9 @@ def test_age_bands_from_text(spark):
         "41 Years": "35 to 54 Years", "7 Years": P.UNKNOWN, "17 Years": P.UNKNOWN, "18 Years": "18 to 34 Years",
         "75 Years": "75+ Years", "99 Years": "75+ Years", "abc": P.UNKNOWN, "": P.UNKNOWN, None: P.UNKNOWN,
     }
+    whole = F.lit("101 Years")
+    bands = [fn.numeric_bands(whole, P.AGE_BANDS, P.UNKNOWN, d) for d in (2, None)]
+    assert tuple(spark.range(1).select(*bands).first()) == (P.UNKNOWN, "75+ Years")
 
 
 def test_free_text_yes_no_missing_sums_to_one(spark):

@@ -62,6 +62,9 @@ def test_survey_scan(spark, tmp_path):
     got = src.survey_scan(spark, str(path))
     assert got.columns == ["year", "question", "percentage", "se", "ci_lower", "ci_upper"]
     assert [tuple(r) for r in got.collect()] == [(2008, "Some question", 0.15, 0.07, 0.06, 0.41)]
+    path.write_text("Year,Question,SE,Percentage,CI.lower,CI.upper\n2008,Some question,0.15,0.07,0.06,0.41\n")
+    with pytest.raises(Exception, match="header"):
+        src.survey_scan(spark, str(path)).collect()
 
 
 def test_csv_sink_spells_missing(spark, tmp_path):

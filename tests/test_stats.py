@@ -188,9 +188,9 @@ def test_fisher_textbook_and_strata(spark):
 def test_fisher_simulation_is_close(spark):
     data = two_way(9, 4, 60)
     df = spark.createDataFrame(data, "r int, c int")
-    got = op.fisher_exact(df, "r", "c", cap=10, draws=4000).first()
+    got = op.fisher_exact(df, "r", "c", method="simulate", draws=4000).first()
     assert got.method == "simulated" and got.p == pytest.approx(brute_fisher(data), abs=0.04)
-    assert op.fisher_exact(df, "r", "c", cap=10, draws=4000).first().p == got.p
+    assert op.fisher_exact(df, "r", "c", method="simulate", draws=4000).first().p == got.p
 
 
 def test_fisher_large_counts(spark):
