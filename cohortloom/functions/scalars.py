@@ -78,8 +78,10 @@ def position(df: DataFrame, order: list) -> Column:
     for item in order:
         name, desc = (item, False) if isinstance(item, str) else (item[0], item[1] == "desc")
         c, kind = F.col(name), df.schema[name].dataType
-        if desc and isinstance(kind, (T.DateType, T.TimestampType)):
-            c = F.bitwise_not(F.unix_micros(c.cast("timestamp")))
+        if desc and isinstance(kind, T.DateType):
+            c = F.bitwise_not(F.datediff(c, F.lit("1970-01-01").cast("date")))
+        elif desc and isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            c = F.bitwise_not(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), c))
         elif desc and isinstance(kind, T.IntegralType):
             c = F.bitwise_not(c)
         elif desc:

@@ -177,6 +177,16 @@ ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
             "crp_firearms_loaded": f"CASE WHEN {V} % 5 < 3 THEN 'Yes' ELSE 'No' END",
         },
     ),
+    "surveys": (
+        "events",
+        {
+            "id": "CAST(event_id AS STRING)",
+            "care_plan": "CAST(user_id AS STRING)",
+            "name": f"CASE WHEN {V} % 6 = 0 THEN '{P.FORM_FOLLOWUP}' ELSE '{P.FORM_FEEDBACK}' END",
+            "created_date": "ts",
+            "fss_nps_question": f"CASE WHEN {V} % 7 = 0 THEN CAST(NULL AS INT) ELSE {V} % 11 END",
+        },
+    ),
 }
 
 _PLAIN_TIME = {"created_date", "last_connection_date_time", "interaction_date_time"}
