@@ -195,7 +195,8 @@ def describe_numeric(df: DataFrame, cols: Iterable[str], min_rows: int | None =
 
 
 def profile_table(df: DataFrame, top: int = 10) -> DataFrame:
-    """Whole-table profile: per column its type, counts and range, with its most frequent values as rows."""
+    """Whole-table profile: per column its type, counts and range, with its ``top`` most frequent values as rows and one
+    row without rank and value for all others (``value_n`` rows, ``n_values`` values)."""
     cols = df.columns
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
     counts = _long_counts(df, cols, "string")
@@ -212,16 +213,23 @@ def profile_table(df: DataFrame, top: int = 10) -> DataFrame:
     type_map = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
     # Missing last instead of filtered first, so that both tables share one aggregate.
     by_count = Window.partitionBy("variable").orderBy(F.col("value").isNull(), F.col("n").desc(), "value")
-    best = (
-        counts.withColumn("rank", F.row_number().over(by_count))
-        .filter((F.col("rank") <= top) & F.col("value").isNotNull())
-        .withColumnRenamed("n", "value_n")
+    best = counts.withColumn("rank", F.row_number().over(by_count)).filter(
+        (F.col("rank") <= top) & F.col("value").isNotNull()
     )
-    return (
-        F.broadcast(summary)  # one row per column of the table
-        .withColumn("type", type_map[F.col("variable")])
-        .join(best, "variable", "left")
+    row = F.struct("rank", "value", F.col("n").alias("value_n"), F.lit(1).cast("bigint").alias("n_values"))
+    best = best.groupBy("variable").agg(
+        F.sum("n").alias("_shown"), F.count(F.lit(1)).alias("_rows"), F.sort_array(F.collect_list(row)).alias("_best")
+    )
+    number, text = F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("value")
+    none = F.lit(None).cast("bigint")
+    others = F.struct(
+        number, text, (F.col("n_valid") - F.col("_shown")).alias("value_n"), (F.col("n_distinct") - F.col("_rows")).alias("n_values")
     )
+    more = F.when(F.col("n_distinct") > F.col("_rows"), F.array(others)).otherwise(F.array().cast("array<struct<rank:int,value:string,value_n:bigint,n_values:bigint>>"))
+    empty = F.array(F.struct(number, text, none.alias("value_n"), none.alias("n_values")))
+    out = summary.withColumn("type", type_map[F.col("variable")]).join(best, "variable", "left")
+    shown = F.when(F.col("_best").isNull(), empty).otherwise(F.concat("_best", more))
+    return out.select(*summary.columns, "type", F.inline(shown))
 
 
 def multi_flag_means(df: DataFrame, flags: Iterable[str], na: str = "skip") -> DataFrame:

@@ -138,8 +138,10 @@ def profile_sql(source: str, types: dict[str, str], top: int) -> str:
             min(v) AS min, max(v) AS max, round(sum(v * n) / sum(n) FILTER (v IS NOT NULL), 4) AS mean FROM x GROUP BY 1),
     r AS (SELECT variable, value, n AS value_n, CAST(row_number() OVER (PARTITION BY variable ORDER BY n DESC, value) AS INT)
             AS rank FROM c WHERE value IS NOT NULL)
-    SELECT s.*, k.type, r.value, r.value_n, r.rank FROM s JOIN ({kinds}) k USING (variable)
-    LEFT JOIN (SELECT * FROM r WHERE rank <= {top}) r USING (variable)"""
+    SELECT s.*, k.type, r.value, r.value_n, r.rank, r.n_values FROM s JOIN ({kinds}) k USING (variable)
+    LEFT JOIN (SELECT *, CAST(1 AS BIGINT) AS n_values FROM r WHERE rank <= {top}
+      UNION ALL SELECT variable, NULL, CAST(sum(value_n) AS BIGINT), NULL, count(*) FROM r WHERE rank > {top} GROUP BY 1) r
+      USING (variable)"""
 
 
 @query(
