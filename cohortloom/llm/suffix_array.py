@@ -3,12 +3,13 @@
 A difference cover of period ``v`` is a set of residues in which every difference modulo ``v`` occurs. So for any two
 suffixes there is a shift below ``v`` that brings both to sampled positions. The sampled suffixes are ranked once. A
 bucket is then sorted by its first ``v`` bytes only, and suffixes that tie there are told apart by the ranks at their
-common shift. Memory beyond the text is one bucket and the sample, however long the ties are.
+common shift; a tie of three residues or more that has no common shift is read on to ``depth``. Memory beyond the text is
+one bucket and the sample, however many suffixes tie.
 """
 
 from __future__ import annotations
 
-from functools import cmp_to_key, lru_cache
+from functools import lru_cache
 
 import numpy as np
 
@@ -37,8 +38,9 @@ def words_at(text: np.ndarray, at: np.ndarray, offset: int) -> np.ndarray:
 def _sorted_by_words(text: np.ndarray, at: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of suffixes by their first ``8 * n_words`` bytes, and the tie class of each in that order. Only suffixes
     that still tie are looked at again."""
-    order = np.argsort(words_at(text, at, 0), kind="stable")
-    first = words_at(text, at[order], 0)
+    first = words_at(text, at, 0)
+    order = np.argsort(first)
+    first = first[order]
     tie = np.cumsum(np.r_[True, first[1:] != first[:-1]]) - 1 if len(at) else np.empty(0, np.int64)
     for k in range(1, n_words):
         size = np.bincount(tie)
@@ -47,7 +49,10 @@ def _sorted_by_words(text: np.ndarray, at: np.ndarray, n_words: int) -> tuple[np
             break
         rows = order[open_]
         word = words_at(text, at[rows], 8 * k)
-        again = np.lexsort([word, tie[open_]])
+        by_word = np.argsort(word)
+        place = np.empty(len(word), np.int64)
+        place[by_word] = np.cumsum(np.r_[False, np.diff(word[by_word]) > 0])
+        again = np.argsort(tie[open_] * (len(word) + 1) + place)
         order[open_], word = rows[again], word[again]
         new = np.zeros(len(tie), bool)
         new[np.r_[True, tie[1:] != tie[:-1]]] = True
@@ -58,27 +63,25 @@ def _sorted_by_words(text: np.ndarray, at: np.ndarray, n_words: int) -> tuple[np
 
 
 class SuffixSorter:
-    """Sorts suffixes of a text by their first ``depth`` bytes or more. ``text`` ends in ``PADDING`` zero bytes."""
+    """Sorts suffixes of a text by their first ``depth`` bytes or more. ``text`` ends in ``PADDING`` zero bytes.
 
-    def __init__(self, text: np.ndarray, depth: int = 50, v: int = 32):
+    ``within`` marks the places less than ``v`` after a suffix that will be sorted; only these are sampled.
+    """
+
+    def __init__(self, text: np.ndarray, depth: int = 50, v: int = 32, within: np.ndarray | None = None):
         self.text, self.depth, self.v = text, depth, v
         self.cover = np.zeros(v, bool)
         self.cover[list(difference_cover(v))] = True
         size = len(text) - PADDING
         sample = np.flatnonzero(self.cover[np.arange(v)])
         sample = (np.arange(0, size + v, v)[:, None] + sample).ravel()
-        sample = sample[sample < size + v]
+        sample = sample[sample < size + v] if within is None else sample[sample < size][within[sample[sample < size]]]
         order, tie = _sorted_by_words(text, sample, -(-depth // 8))
         self.rank = np.zeros(size + 2 * v, np.uint32)
         self.rank[sample[order]] = tie
         # Bit d of shifts[r]: a position of residue r comes to a sampled one by the shift d.
         self.shifts = np.array([sum(1 << d for d in range(v) if self.cover[(r + d) % v]) for r in range(v)], np.uint64)
 
-    def _compare(self, a: int, b: int) -> int:
-        shared = int(self.shifts[a % self.v] & self.shifts[b % self.v])
-        shift = (shared & -shared).bit_length() - 1
-        return int(self.rank[a + shift]) - int(self.rank[b + shift])
-
     def sort(self, at: np.ndarray) -> np.ndarray:
         """One bucket: suffixes by their first ``v`` bytes, ties by cover ranks."""
         order, tie = _sorted_by_words(self.text, at, self.v // 8)
@@ -92,9 +95,12 @@ class SuffixSorter:
         shift = np.where(shared > 0, np.bitwise_count(low - np.uint64(1)), 0).astype(np.int64)
         sizes = np.diff(np.r_[opens, len(group)])
         order[tied] = rows[np.lexsort([self.rank[at[rows] + np.repeat(shift, sizes)], group])]
-        for k in np.flatnonzero(shared == 0).tolist():  # three residues or more without a common shift: pair by pair
-            part = tied[opens[k] : opens[k] + sizes[k]]
-            order[part] = sorted(order[part].tolist(), key=cmp_to_key(lambda x, y: self._compare(int(at[x]), int(at[y]))))
+        # Three residues or more may have no shift in common: their bytes are read on to the full depth.
+        rest = np.repeat(shared == 0, sizes)
+        if rest.any():
+            rows = order[tied[rest]]
+            words = [words_at(self.text, at[rows], k) for k in range(-(-self.depth // 8) * 8 - 8, self.v - 1, -8)]
+            order[tied[rest]] = rows[np.lexsort([*words, group[rest]])]
         return at[order]
 
     def buckets(self, at: np.ndarray, most: int = 1 << 18):

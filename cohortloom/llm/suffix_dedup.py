@@ -36,7 +36,7 @@ from cohortloom.llm.suffix_array import PADDING, SuffixSorter
 #: Bytes of an anchor; the windows of one anchor differ in start by fewer than ``length - ANCHOR + 1``.
 ANCHOR = 20
 #: Text bytes in a block of documents, in what a map task packs at a time, and in one call of the hash.
-BLOCK_BYTES, FLUSH_BYTES, SLICE_BYTES = 2 << 20, 16 << 20, 1 << 20
+BLOCK_BYTES, FLUSH_BYTES, SLICE_BYTES = 8 << 20, 8 << 20, 1 << 18
 #: Blocks from which on an anchor's windows are dealt one by one.
 HOT_BLOCKS = 512
 _PACKED = "key long, kind int, payload binary"
@@ -137,7 +137,8 @@ def runs(parts: list[tuple[int, int, bytes]], length: int):
     windows = np.diff(np.r_[first, len(of)])
     number = np.fromiter((p[0] for p in parts), np.int64, len(parts))[of[first]]
     offset = np.fromiter((p[1] for p in parts), np.int64, len(parts))[of[first]]
-    return number, at[first] - begins[of[first]] + offset, windows, anchor[first] - at[first], gram[anchor[first]]
+    # Anchors have small hashes; mixed again they spread evenly over the buckets.
+    return number, at[first] - begins[of[first]] + offset, windows, anchor[first] - at[first], _mix([gram[anchor[first]]])
 
 
 def _raw_texts(table: pa.Table, text_col: str) -> list[bytes]:
@@ -236,7 +237,7 @@ def _block(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table | None
 
 def _gather(joined: np.ndarray, at: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
     """Bytes from ``at`` on as rows of ``most`` bytes, zero beyond ``size``."""
-    rows = joined[at[:, None] + np.arange(most)]
+    rows = np.lib.stride_tricks.sliding_window_view(joined, most)[at]
     rows[np.arange(most) >= size[:, None]] = 0
     return rows
 
@@ -273,35 +274,45 @@ def _send_segments(table: pa.Table, length: int, buckets: int, id_col: str, text
     joined = np.frombuffer(b"".join(raws) + bytes(PADDING), np.uint8)
     begins = np.cumsum([0, *map(len, raws)])[:-1]
     most = -(-(2 * length - ANCHOR) // 8) * 8
-    # Windows of hot anchors become segments of one window.
-    cut = np.repeat(np.flatnonzero(is_hot), windows[is_hot])
-    step = np.arange(len(cut)) - np.repeat(np.cumsum(windows[is_hot]) - windows[is_hot], windows[is_hot])
-    cold = ~is_hot
-    number, first, place, code, windows, is_hot = (
-        np.r_[number[cold], number[cut]], np.r_[first[cold], first[cut] + step], np.r_[place[cold], place[cut] - step],
-        np.r_[code[cold], code[cut]], np.r_[windows[cold], np.ones(len(cut), np.int64)], np.r_[is_hot[cold], is_hot[cut]],
-    )
-    sizes = windows + length - 1
-    out, marks = [], []
-    for a in range(0, len(number), 1 << 17):
-        b = slice(a, a + (1 << 17))
-        rows = _gather(joined, begins[number[b]] + first[b], sizes[b], most)
-        own, covered = _distinct(rows, ids[number[b]])
-        marks.append((number[b][covered], first[b][covered], (first[b] + sizes[b])[covered]))
-        words = rows[own].view("<u8")
-        spread = np.where(is_hot[b][own], _mix([words[:, k] for k in range(words.shape[1])]), code[b][own])
+    out, marks, again = [], [], []
+
+    def collapsed(number, first, windows, place, code):
+        """Segments by the smallest id among equal ones, a bounded part at a time, with their bytes."""
+        by_code = np.argsort(code, kind="stable")
+        for a in range(0, len(number), 1 << 16):
+            b = by_code[a : a + (1 << 16)]
+            sizes = windows[b] + length - 1
+            rows = _gather(joined, begins[number[b]] + first[b], sizes, most)
+            own, covered = _distinct(rows, ids[number[b]])
+            marks.append((number[b][covered], first[b][covered], first[b][covered] + sizes[covered]))
+            b, sizes, rows = b[own], sizes[own], rows[own]
+            yield b, sizes, rows, number[b], first[b], windows[b], place[b], code[b]
+
+    def send(sizes, rows, number, first, windows, place, spread):
         goes = _dealt(spread, buckets)
         order = np.argsort(goes, kind="stable")
-        cuts = np.searchsorted(goes[order], np.arange(buckets + 1))
-        for k in np.flatnonzero(np.diff(cuts)).tolist():
-            sel = order[cuts[k] : cuts[k + 1]]
-            text = rows[own][sel]
-            flat = text[np.arange(most) < sizes[b][own][sel][:, None]]
+        sizes, rows, number, first, windows, place = (x[order] for x in (sizes, rows, number, first, windows, place))
+        inside = np.arange(most) < sizes[:, None]
+        for k, a, b in _stretches(goes[order]):
             out.append((k, 2, _pack(
-                doc=ids[number[b]][own][sel], number=number[b][own][sel].astype(np.uint32), first=first[b][own][sel].astype(np.uint32),
-                windows=windows[b][own][sel].astype(np.uint8), place=place[b][own][sel].astype(np.uint8),
-                home=np.full(len(sel), key, np.uint32), text=flat,
+                doc=ids[number[a:b]], number=number[a:b].astype(np.uint32), first=first[a:b].astype(np.uint32),
+                windows=windows[a:b].astype(np.uint8), place=place[a:b].astype(np.uint8), home=np.full(b - a, key, np.uint32),
+                text=rows[a:b][inside[a:b]],
             )))
+
+    for at, sizes, rows, *seg in collapsed(number, first, windows, place, code):
+        cold = ~is_hot[at]
+        send(sizes[cold], rows[cold], *[x[cold] for x in seg])
+        again.append([x[~cold] for x in seg])
+    # Segments of hot anchors are cut into their windows, which are dealt by their bytes.
+    number, first, windows, place, code = map(np.concatenate, zip(*again, strict=True)) if again else (np.empty(0, np.int64),) * 5
+    cut = np.repeat(np.arange(len(number)), windows)
+    step = np.arange(len(cut)) - np.repeat(np.cumsum(windows) - windows, windows)
+    for _, sizes, rows, number, first, windows, place, _ in collapsed(
+        number[cut], first[cut] + step, np.ones(len(cut), np.int64), place[cut] - step, code[cut]
+    ):
+        words = np.ascontiguousarray(rows).view("<u8")
+        send(sizes, rows, number, first, windows, place, _mix([words[:, k] for k in range(words.shape[1])]))
     number, start, stop = map(np.concatenate, zip(*marks, strict=True)) if marks else (np.empty(0, np.int64),) * 3
     if len(number):
         out.append((key, 1, _pack(number=number.astype(np.uint32), start=start.astype(np.uint32), stop=stop.astype(np.uint32))))
@@ -310,20 +321,26 @@ def _send_segments(table: pa.Table, length: int, buckets: int, id_col: str, text
 
 def _mark_suffixes(table: pa.Table, length: int, v: int) -> pa.Table:
     """Of one suffix bucket: marks for windows that also start in a smaller id's document, by block."""
+    if table.column("kind")[0].as_py() == 1:  # marks that are made already
+        return table
     segs = _together(table.column("payload").to_pylist())
     windows, place = segs["windows"].astype(np.int64), segs["place"].astype(np.int64)
     sizes = windows + length - 1
-    slot = -(-(2 * length - ANCHOR + v) // v) * v
-    base = np.arange(len(windows)) * slot + (-place) % v  # anchors at multiples of the period: equal windows, equal residues
-    text = np.zeros(len(windows) * slot + slot + PADDING, np.uint8)
+    slots = (sizes + 2 * v - 1) // v * v
+    base = np.cumsum(slots) - slots + (-place) % v  # anchors at multiples of the period: equal windows, equal residues
+    text = np.zeros(int(slots.sum()) + v + PADDING, np.uint8)
+    seg_of = np.repeat(np.arange(len(windows)), slots // v)
     inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     text[np.repeat(base, sizes) + inner] = segs["text"]
     of = np.repeat(np.arange(len(windows)), windows)
     step = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     marked = np.zeros(len(of), bool)
     start_of = np.cumsum(windows) - windows
-    for ordered, tie in SuffixSorter(text, length, v).classes(base[of] + step):
-        seg = ordered // slot
+    near = np.zeros(len(text), np.int8)
+    near[base] = 1
+    near[base + windows + v - 1] -= 1
+    for ordered, tie in SuffixSorter(text, length, v, np.cumsum(near, dtype=np.int8) > 0).classes(base[of] + step):
+        seg = seg_of[ordered // v]
         doc = segs["doc"][seg]
         opens = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]])
         least = np.minimum.reduceat(doc, opens)
@@ -405,7 +422,7 @@ def remove_repeats(
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = 1 + total // BLOCK_BYTES
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     home: Column = F.pmod(F.xxhash64(F.col(f"`{id_col}`"), text), F.lit(blocks)).cast("long").alias("_block")
     bare = docs.select(F.col(f"`{id_col}`"), text.alias(text_col), home)
 
@@ -416,10 +433,9 @@ def remove_repeats(
     again = written(anchors.groupBy("key").applyInArrow(_match_anchors, _PACKED), "anchors")
     _release(spark)
     met = texts(bare).union(again).groupBy("key")
-    segments = written(met.applyInArrow(lambda t: _send_segments(t, length, buckets, id_col, text_col), _PACKED), "segments")
-    _release(spark)
-    marks = segments.where("kind = 2").groupBy("key").applyInArrow(lambda t: _mark_suffixes(t, length, period), _PACKED)
-    marks = written(marks.union(segments.where("kind = 1")), "marks")
+    segments = met.applyInArrow(lambda t: _send_segments(t, length, buckets, id_col, text_col), _PACKED)
+    marks = segments.groupBy("kind", "key").applyInArrow(lambda t: _mark_suffixes(t, length, period), _PACKED)
+    marks = written(marks, "marks")
     _release(spark)
     whole = docs.select("*", home)
     fields = [f for f in docs.schema.fields if f.name != into]
