@@ -246,13 +246,18 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     )
 
 
-def table_masks(bits: int, tables: int, of: int = 128, seed: int = 5) -> list[tuple[int, int]]:
-    """For each table ``bits`` of the 128 index bits, drawn once and for all, as two words."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(tables):
-        pick = rng.choice(of, bits, replace=False).tolist()
-        out.append((sum(1 << b for b in pick if b < 64), sum(1 << (b - 64) for b in pick if b >= 64)))
-    return out
+def band_keys(hashes: np.ndarray, bands: int, rows: int = 5) -> np.ndarray:
+    """A key for each band of ``rows`` least values of distinct hashes, each under a mixing of its own.
+
+    Two sets share a key with probability J ** rows at Jaccard similarity J, however the change is spread.
+    """
+    rng = np.random.default_rng(5)
+    odd = rng.integers(0, 2**64, (bands * rows, 1), np.uint64) | np.uint64(1)
+    plus = rng.integers(0, 2**64, (bands * rows, 1), np.uint64)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        np.minimum(least, (hashes[at : at + (1 << 12)] * odd + plus).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), seed=42) for band in least.reshape(bands, rows)], np.uint64)
 
 
 def allowed_bits(similarity: float, bits: int = 128, slack: float = 2.0) -> int:
@@ -265,36 +270,31 @@ def allowed_bits(similarity: float, bits: int = 128, slack: float = 2.0) -> int:
 def similar_groups(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8, recall: float = 0.99, text_col: str = "text") -> DataFrame:
     """``key`` and ``group`` (the smallest key of its near-duplicate group) of every row of ``docs``.
 
-    Two texts are near-duplicates if 128-bit fingerprints of their ``size``-word shingles lie as near as those of sets at
-    ``similarity`` do. A second fingerprint, of the distinct words, deals them out: a change of one word changes ``size``
-    shingles but one word, so words keep near texts together in few bits. Each table takes some of its 128 bits as key;
-    the bits grow with the logarithm of the number of texts and the tables so that a pair at the limit is found with
-    probability ``recall``. ``key`` must be a unique long. Texts without words (null ones too) are copies of each other.
+    Two texts are near-duplicates if 128-bit fingerprints of their distinct ``size``-word shingles lie as near as those of
+    sets at ``similarity`` do. Bands of least shingle hashes deal them out: as many that a pair at the limit shares one
+    with probability ``recall``, whether one passage, a tail or scattered words differ, and at any number of texts.
+    ``key`` must be a unique long. Texts without words (null ones too) are copies of each other.
     """
+    bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**5)))
 
     def run(batches):
         for batch in batches:
-            out = []
+            codes, keys = [], []
             for text in batch.column("text").to_pylist():
-                words = lower_words(text)
-                shingles = shingle_hashes(words, size)
-                plain = np.array([xxhash.xxh64_intdigest(w, seed=42) for w in set(words)], np.uint64)
-                out.append([majority_bits(shingles), majority_bits(_mixed(shingles)), majority_bits(plain), majority_bits(_mixed(plain))])
-            codes = np.array(out, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), *[pa.array(codes[:, k].copy()) for k in range(4)]], ["key", "w0", "w1", "i0", "i1"])
+                shingles = np.unique(shingle_hashes(lower_words(text), size))
+                codes.append([majority_bits(shingles), majority_bits(_mixed(shingles))])
+                keys.append(band_keys(shingles, bands).view(np.int64))
+            codes = np.array(codes, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), *[pa.array(codes[:, k].copy()) for k in range(2)], pa.array(keys, pa.list_(pa.int64()))],
+                ["key", "w0", "w1", "bands"],
+            )
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(run, "key long, w0 long, w1 long, i0 long, i1 long")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(run, "key long, w0 long, w1 long, bands array<long>")
     rows = written(rows, "fingerprints")
-    codes = written(rows.groupBy("w0", "w1").agg(F.min("key").alias("name"), F.min_by(F.struct("i0", "i1"), "key").alias("i")), "codes")
-    bits = max(12, int(np.ceil(np.log2(max(codes.count(), 1)))) + 2)
-    changed = (1 - similarity) / (1 + similarity) / size * 2  # words changed for shingles that differ
-    same = 1 - np.arccos(1 - changed) / np.pi
-    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - same**bits)))
-    keys = [
-        F.xxhash64(F.col("i.i0").bitwiseAND(F.lit(signed(a))), F.col("i.i1").bitwiseAND(F.lit(signed(b))))
-        for a, b in table_masks(bits, tables)
-    ]
+    codes = written(rows.groupBy("w0", "w1").agg(F.min("key").alias("name"), F.min_by("bands", "key").alias("bands")), "codes")
+    keys = [F.col("bands")[k] for k in range(bands)]
     roots = connected(links(codes, keys, allowed_bits(similarity), words=2))
     named = codes.join(roots, codes["name"] == roots["node"], "left").select("w0", "w1", F.coalesce("root", "name").alias("group"))
     return rows.join(named, ["w0", "w1"]).select(F.col("key").alias(key), "group")

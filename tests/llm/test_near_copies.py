@@ -121,3 +121,45 @@ def test_similar_groups_find_near_copies_and_leave_others(spark):
             truth.append(g)
     groups = {r.key: r.group for r in simhash.similar_groups(spark.createDataFrame(rows, "key long, text string"), "key").collect()}
     assert [groups[k] for k in range(len(rows))] == [5 * g for g in truth]
+
+
+def shingle_set(text, size=5):
+    words = text.split()
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b)
+
+
+def changed_pairs(rng, words, kind, low, high, n):
+    """Pairs of texts of 80-400 words whose five-word Jaccard lies in a range."""
+    pairs = []
+    while len(pairs) < n:
+        base = [rng.choice(words) for _ in range(rng.randint(80, 400))]
+        copy, share = list(base), (1 - (low + high) / 2) / (1 + (low + high) / 2)
+        if kind == "passage":
+            k = round(len(base) * share)
+            at = rng.randrange(len(base) - k)
+            copy[at : at + k] = [rng.choice(words) for _ in range(k)]
+        elif kind == "tail":
+            copy += [rng.choice(words) for _ in range(round(len(base) * (1 / ((low + high) / 2) - 1)))]
+        else:
+            for at in rng.sample(range(len(base)), max(1, round(len(base) * share / 5))):
+                copy[at] = rng.choice(words)
+        pair = " ".join(base), " ".join(copy)
+        if low <= jaccard(*pair) < high:
+            pairs.append(pair)
+    return pairs
+
+
+@pytest.mark.parametrize("others", [0, 4000])
+@pytest.mark.parametrize("kind", ["passage", "tail", "scattered"])
+def test_similar_groups_find_every_kind_of_change(spark, kind, others):
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    pairs = changed_pairs(rng, words, kind, 0.80, 0.85, 300)
+    texts = [t for pair in pairs for t in pair] + [" ".join(rng.choices(words, k=100)) for _ in range(others)]
+    groups = {r.key: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), "key").collect()}
+    assert sum(groups[2 * k] == groups[2 * k + 1] for k in range(len(pairs))) >= 0.95 * len(pairs)
