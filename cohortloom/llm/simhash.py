@@ -267,12 +267,165 @@ def allowed_bits(similarity: float, bits: int = 128, slack: float = 2.0) -> int:
     return int(round(bits * share + slack * np.sqrt(bits * share * (1 - share))))
 
 
+def close_pairs(codes: np.ndarray, group: np.ndarray, radius: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within ``radius``: all pairs of a group of up to ``small`` rows; in a larger one each row with the
+    first of up to 64 pivots that it is close to, so that pairs grow with the rows. ``group`` must be sorted."""
+    opens = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.r_[opens[1:], len(group)]
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, small):
+        a = np.arange(max(len(group) - step, 0))
+        size = np.repeat(ends - opens, ends - opens)
+        a = a[(group[a] == group[a + step]) & (size[a] <= small)]
+        a = a[np.bitwise_count(codes[a] ^ codes[a + step]).sum(axis=1) <= radius]
+        left.append(a)
+        right.append(a + step)
+    for start, end in zip(opens.tolist(), ends.tolist(), strict=True):
+        free = np.arange(start, end) if end - start > small else []
+        for _ in range(64):
+            if len(free) < 2:
+                break
+            close = np.bitwise_count(codes[free[1:]] ^ codes[free[0]]).sum(axis=1) <= radius
+            right.append(free[1:][close])
+            left.append(np.full(int(close.sum()), free[0]))
+            free = free[1:][~close]
+    return np.concatenate(left), np.concatenate(right)
+
+
+def whole_keys(batches, flush, block: int):
+    """Tables of whole (``mask``, ``bits``) keys, from sorted batches, each given to ``flush`` with its group numbers."""
+    held, count = [], 0
+
+    def made(part: pa.Table):
+        mask, bits = part.column("mask").to_numpy(), part.column("bits").to_numpy()
+        return flush(part, np.cumsum(np.r_[0, (mask[1:] != mask[:-1]) | (bits[1:] != bits[:-1])]))
+
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= block:
+            rows = pa.Table.from_batches(held)
+            mask, bits = rows.column("mask").to_numpy(), rows.column("bits").to_numpy()
+            other = np.flatnonzero((mask != mask[-1]) | (bits != bits[-1]))
+            if len(other):
+                cut = int(other[-1]) + 1
+                yield made(rows.slice(0, cut))
+                held = rows.slice(cut).combine_chunks().to_batches()
+                count = len(rows) - cut
+    if count:
+        yield made(pa.Table.from_batches(held))
+
+
+def alike(shared, a, b, similarity: float):
+    """Whether sets of sizes ``a`` and ``b`` with ``shared`` members in common have the Jaccard similarity."""
+    return shared >= similarity * (a + b - shared) - 1e-9
+
+
+def set_links(sets: list[np.ndarray], root: np.ndarray, similarity: float) -> tuple[list[int], list[int]]:
+    """Links by exact Jaccard similarity that connect one group's rows as all its links would; ``root`` tells what is
+    connected already. Rows of the largest part are not compared with each other."""
+    sizes = np.array([len(s) for s in sets])
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    _, part = np.unique(root, return_inverse=True)
+    ask = np.flatnonzero(part != np.argmax(np.bincount(part)))
+    mine, a, b = np.zeros(len(values), bool), [], []
+    for row in ask.tolist():
+        own = flat[starts[row] : starts[row] + sizes[row]]
+        mine[own] = True
+        shared = np.add.reduceat(mine[flat].astype(np.int64), starts)
+        mine[own] = False
+        met = np.flatnonzero(alike(shared, sizes[row], sizes, similarity) & (part != part[row]))
+        for other in met[np.unique(part[met], return_index=True)[1]].tolist():
+            a.append(row)
+            b.append(other)
+            part[part == part[other]] = part[row]
+    return a, b
+
+
+def shingle_sets(docs: DataFrame, key: str, size: int, text_col: str) -> DataFrame:
+    """``key`` and ``set``, the bytes of the sorted distinct shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(lower_words(t), size)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "set"])
+
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    return docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(run, "key long, set binary")
+
+
+def exact_links(dealt: DataFrame, sets_of, radius: int, similarity: float) -> DataFrame:
+    """Edges ``a``, ``b`` of exact Jaccard ``similarity`` that connect what all such pairs of one (``mask``, ``bits``) key do.
+
+    ``dealt`` has ``mask``, ``bits``, ``name``, ``w0`` and ``w1``; ``sets_of`` gives ``key`` and ``set`` of a frame of names.
+    Candidates within ``radius`` come first, in numbers that grow with the rows, and are checked one by one. Crowded keys
+    that these leave in several parts are then searched whole, part against part.
+    """
+
+    def candidates(batches):
+        def flush(part: pa.Table, group: np.ndarray):
+            codes = np.column_stack([part.column(c).to_numpy().view(np.uint64) for c in ("w0", "w1")])
+            mask, bits, name = (part.column(c).to_numpy() for c in ("mask", "bits", "name"))
+            a, b = close_pairs(codes, group, radius)
+            crowd = np.flatnonzero(np.bincount(group)[group] > 8)
+            a, b = np.minimum(name[a], name[b]), np.maximum(name[a], name[b])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.r_[np.full(len(a), -1), mask[crowd]].astype(np.int32)),
+                 pa.array(np.r_[a, name[crowd]]), pa.array(np.r_[b, bits[crowd]])],
+                ["mask", "a", "b"],
+            )
+
+        return whole_keys(batches, flush, 200_000)
+
+    def checked(batches):
+        for batch in batches:
+            kept = []
+            for left, right in zip(batch.column("sa"), batch.column("sb"), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
+                kept.append(bool(alike(len(np.intersect1d(x, y, True)), len(x), len(y), similarity)))
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    def crowded(batches):
+        def flush(part: pa.Table, group: np.ndarray):
+            name, root = part.column("name").to_numpy(), part.column("root").to_numpy()
+            sets, a, b = part.column("set"), [], []
+            for start, end in zip(*(lambda o: (o, np.r_[o[1:], len(group)]))(np.flatnonzero(np.r_[True, group[1:] != group[:-1]])), strict=True):
+                mine = [np.frombuffer(s.as_buffer(), np.uint64) for s in sets.slice(start, end - start)]
+                left, right = set_links(mine, root[start:end], similarity)
+                a.extend(name[start + np.array(left, int)].tolist())
+                b.extend(name[start + np.array(right, int)].tolist())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        return whole_keys(batches, flush, 4_000)
+
+    def by_key(rows):
+        return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "name")
+
+    found = written(by_key(dealt).mapInArrow(candidates, "mask int, a long, b long"), "candidates")
+    pairs = found.where("mask < 0").select("a", "b").distinct()
+    crowd = found.where("mask >= 0").select("mask", F.col("b").alias("bits"), F.col("a").alias("name"))
+    names = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(crowd.select("name")).distinct()
+    sets = written(sets_of(names), "shingle-sets")
+    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    edges = written(both.select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long"), "links")
+    if crowd.isEmpty():
+        return edges
+    roots = connected(edges)
+    parts = crowd.join(roots, crowd["name"] == roots["node"], "left").select("mask", "bits", "name", F.coalesce("root", "name").alias("root"))
+    parts = written(parts, "parts")
+    several = parts.groupBy("mask", "bits").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    asked = parts.join(several, ["mask", "bits"], "left_semi").join(sets.toDF("name", "set"), "name")
+    return edges.union(by_key(asked).mapInArrow(crowded, "a long, b long"))
+
+
 def similar_groups(docs: DataFrame, key: str, size: int = 5, similarity: float = 0.8, recall: float = 0.99, text_col: str = "text") -> DataFrame:
     """``key`` and ``group`` (the smallest key of its near-duplicate group) of every row of ``docs``.
 
-    Two texts are near-duplicates if 128-bit fingerprints of their distinct ``size``-word shingles lie as near as those of
-    sets at ``similarity`` do. Bands of least shingle hashes deal them out: as many that a pair at the limit shares one
-    with probability ``recall``, whether one passage, a tail or scattered words differ, and at any number of texts.
+    Two texts are near-duplicates if their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or
+    more. Bands of least shingle hashes deal them out: as many that a pair at the limit shares one with probability
+    ``recall``, whether one passage, a tail or scattered words differ, and at any number of texts. Pairs whose 128-bit
+    fingerprints of the distinct shingles lie near are then checked on the sets; only checked links connect.
     ``key`` must be a unique long. Texts without words (null ones too) are copies of each other.
     """
     bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**5)))
@@ -294,7 +447,12 @@ def similar_groups(docs: DataFrame, key: str, size: int = 5, similarity: float =
     rows = docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(run, "key long, w0 long, w1 long, bands array<long>")
     rows = written(rows, "fingerprints")
     codes = written(rows.groupBy("w0", "w1").agg(F.min("key").alias("name"), F.min_by("bands", "key").alias("bands")), "codes")
-    keys = [F.col("bands")[k] for k in range(bands)]
-    roots = connected(links(codes, keys, allowed_bits(similarity), words=2))
+    dealt = codes.select("name", "w0", "w1", F.posexplode("bands").alias("mask", "bits"))
+
+    def sets_of(names: DataFrame) -> DataFrame:
+        return shingle_sets(docs.join(names.withColumnRenamed("key", key), key, "left_semi"), key, size, text_col)
+
+    # Four deviations, so that hardly a pair at the limit is lost before its check.
+    roots = connected(exact_links(dealt, sets_of, allowed_bits(similarity, slack=4.0), similarity))
     named = codes.join(roots, codes["name"] == roots["node"], "left").select("w0", "w1", F.coalesce("root", "name").alias("group"))
     return rows.join(named, ["w0", "w1"]).select(F.col("key").alias(key), "group")

@@ -163,3 +163,40 @@ def test_similar_groups_find_every_kind_of_change(spark, kind, others):
     texts = [t for pair in pairs for t in pair] + [" ".join(rng.choices(words, k=100)) for _ in range(others)]
     groups = {r.key: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), "key").collect()}
     assert sum(groups[2 * k] == groups[2 * k + 1] for k in range(len(pairs))) >= 0.95 * len(pairs)
+
+
+def test_similar_groups_join_nothing_below_the_similarity(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    pairs = changed_pairs(rng, words, "scattered", 0.70, 0.78, 100) + changed_pairs(rng, words, "tail", 0.70, 0.78, 100)
+    texts = [t for pair in pairs for t in pair]
+    groups = {r.key: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), "key").collect()}
+    assert [groups[k] for k in range(len(texts))] == list(range(len(texts)))
+
+
+def test_similar_groups_of_one_template_are_those_of_exact_pairs(spark):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(150)]
+    texts = []
+    for _ in range(250):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.randint(1, 9)):
+            copy[at] = rng.choice(words)
+        texts.append(" ".join(copy))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = plain_components(len(texts), linked)
+    groups = {r.key: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "key long, text string"), "key").collect()}
+    assert all(want[k] == want[groups[k]] for k in range(len(texts)))
+    assert len(set(want)) > 5 and sum(want[k] == groups[k] for k in range(len(texts))) >= 0.98 * len(texts)
+
+
+def test_set_links_connect_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < rng.uniform(0, 0.25), rng.integers(0, 2**63, 60, dtype=np.uint64), base)) for _ in range(120)]
+    linked = [(i, j) for i in range(120) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    done = linked[::3]
+    a, b = simhash.set_links(sets, np.array(plain_components(120, done)), 0.8)
+    assert set(zip(a, b, strict=True)) <= {p for i, j in linked for p in ((i, j), (j, i))}
+    assert plain_components(120, done + list(zip(a, b, strict=True))) == plain_components(120, linked)
