@@ -89,7 +89,7 @@ class GrayTree:
     def near(self, radius: int, queries: np.ndarray, most: int = 2_000_000):
         """Yields pairs of rows (places in the sorted order) of one group within ``radius``; a bounded part at a time."""
         sizes = np.bincount(self.group)[self.group[queries]]
-        cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + most, most))
+        cuts = np.r_[np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum(), most)), len(queries)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             for q in np.array_split(queries[a:b], max(1, -(-int(sizes[a:b].sum()) // most))):
                 if len(q):

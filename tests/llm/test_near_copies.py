@@ -200,3 +200,11 @@ def test_set_links_connect_as_all_pairs_do():
     a, b = simhash.set_links(sets, np.array(plain_components(120, done)), 0.8)
     assert set(zip(a, b, strict=True)) <= {p for i, j in linked for p in ((i, j), (j, i))}
     assert plain_components(120, done + list(zip(a, b, strict=True))) == plain_components(120, linked)
+
+
+@pytest.mark.parametrize("most", [7, 10, 50, 100, 2_000_000])
+def test_tree_asks_every_row_whatever_the_part(most):
+    codes = np.zeros((10, 1), np.uint64)
+    tree = simhash.GrayTree(codes, np.zeros(10, np.int64))
+    pairs = [p for a, b in tree.near(0, np.arange(10), most) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert sorted(pairs) == [(i, j) for i in range(10) for j in range(10) if i != j]
