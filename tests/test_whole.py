@@ -50,3 +50,19 @@ def test_equity_tests_run_on_every_group(spark):
         assert row.p is not None
         assert row.p_exact == pytest.approx(exact_two_rows(table), abs=1e-9)
     assert "report_equity_tests_all" in WHOLE
+
+
+@pytest.mark.parametrize(("name", "at_least"), [("cohort_requests", 160), ("cohort_established", 160), ("cohort_treatment", 160)])
+def test_cohorts_return_every_column(spark, name, at_least):
+    whole, narrow = entry.queries()[f"{name}_all"](spark, FOLDER), workload.QUERIES[name](spark, FOLDER)
+    assert len(whole.columns) == len(set(whole.columns)) >= at_least
+    full = whole.collect()  # every column is computed
+    shared = [tuple(r[c] for c in narrow.columns) for r in full]
+    assert full and sorted(shared, key=repr) == sorted(map(tuple, narrow.collect()), key=repr)
+
+
+def test_rates_cover_every_flag_and_scores_every_date(spark):
+    rates = entry.queries()["report_treatment_rates_all"](spark, FOLDER).collect()
+    assert {r.flag for r in rates} == set(reports.TREATMENT_FLAGS)
+    scores = entry.queries()["indicator_assembly_all"](spark, FOLDER)
+    assert {f"d{n}" for n in ("01", "02", "03", "04", "05a", "05b", "07", "08", "09", "11", "12")} <= set(scores.columns)
