@@ -189,8 +189,8 @@ def _trajectory(
     rows = forms.filter(F.col(name).isin(list(types)))
     if complete is not None:
         rows = rows.filter(complete)
-    rows = rows.join(baseline, rows[key].eqNullSafe(baseline["_base_key"]), "left_semi")
-    rows = ordered_rows(rows, [key], [ts, tie], [ts, *scores], min_rows)
+    wanted = rows.join(baseline, rows[key].eqNullSafe(baseline["_base_key"]), "left_semi")
+    rows = ordered_rows(wanted, [key], [ts, tie], [ts, *scores], min_rows)
     rows = rows.withColumns({"days_between": lag_days_expr(ts), "days_from_first": running_days_expr(ts)})
     rows = rows.withColumns(
         {
@@ -201,15 +201,26 @@ def _trajectory(
     )
     rows = rows.withColumns({f"{c}_bdiff": F.col(c) - F.col(f"{c}_base") for c in scores})
     # A week holds seven day offsets at most, so the week sum runs over tiny groups.
-    sizes = rows.groupBy("days_from_first").agg(F.count(F.lit(1)).alias("n_per_day"))
-    by_week = Window.partitionBy(_weeks(F.col("days_from_first")))
+    sizes = _day_sizes(wanted, key, ts)
+    by_week = Window.partitionBy(_weeks(F.col("_day")))
     sizes = sizes.withColumn("n_per_week", F.sum("n_per_day").over(by_week))
-    sizes = sizes.withColumnRenamed("days_from_first", "_day")
     # Day offsets are few, so Spark broadcasts the sizes; if ever not, it splits the crowded days.
     rows = rows.join(sizes, rows["days_from_first"].eqNullSafe(sizes["_day"]), "left").drop("_day")
     return rows.withColumnRenamed("_rn", "session_number")
 
 
+def _day_sizes(rows: DataFrame, key: str, ts: str) -> DataFrame:
+    """Rows per day offset from the group's first date, which is its smallest: no order is needed for the counts.
+
+    Of a group without any date the first row is at day 0, the others have no offset.
+    """
+    first = rows.groupBy(key).agg(F.min(ts).alias("_ts0"))
+    days = attach(rows.select(key, ts), first, [key]).select(days_between(F.col(ts), F.col("_ts0")).alias("_day"), F.lit(1).alias("_n"))
+    moved = F.expr("inline(array(named_struct('_day', 0, '_n', 1), named_struct('_day', int(null), '_n', -1)))")
+    counts = days.unionByName(first.filter(F.col("_ts0").isNull()).select(moved)).groupBy("_day").agg(F.sum("_n").alias("n_per_day"))
+    return counts.filter("n_per_day > 0")
+
+
 def _weeks(days: Column) -> Column:
     return F.ceil(days / 7).cast("int")
 

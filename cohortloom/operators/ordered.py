@@ -5,37 +5,41 @@ A group may be any share of the data: see ``skew.with_ranges``. All derived colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from cohortloom.operators.skew import order_columns, range_rows, with_ranges
+from cohortloom.operators.skew import order_names, order_sql, quoted, range_rows, with_ranges
 
 
 def _per_range(
-    df: DataFrame, keys: list[str], order: list, rows: int, local: dict[str, Column], carried: dict[str, Column],
-    also: list[str] | None = None,
+    df: DataFrame, keys: list[str], order: list, rows: int, local: dict[str, str], carried: dict[str, str],
+    needs: list[str], out: dict[str, str],
 ) -> DataFrame:
-    """Rows with the ``local`` window columns of their range and what earlier ranges of the key carry on.
+    """Rows of ``df`` with the columns ``out``, which read ``local`` and ``carried``; all are SQL texts by name.
 
-    ``carried`` is taken over the last row of each earlier range, in order; it is missing in the first range.
+    ``local`` are window functions over a row's range (``w``; ``upto`` ends at the row), ``carried`` aggregates over the last
+    row of each earlier range of the key (``w``), missing in the first range. ``_next`` and ``_later`` tell whether a row
+    follows in the range and in a later one. ``needs`` are the columns that ``local`` reads. Only keys with a cut inside have
+    summaries: one per range of theirs, so fewer than two per cut, whatever the number of keys and rows.
     """
-    dealt = with_ranges(df, keys, order, rows, also).repartition("_range")
-    window = Window.partitionBy("_range").orderBy(*order_columns(order))
-    numbered = dealt.select(
-        "*", *[c.over(_frame(window, name)).alias(name) for name, c in local.items()],
-        F.lead(F.lit(True)).over(window).alias("_next"),
+    dealt = with_ranges(df, keys, order, rows)
+    windows = f"""WINDOW w AS (PARTITION BY _range ORDER BY {order_sql(order)}),
+        upto AS (PARTITION BY _range ORDER BY {order_sql(order)} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    found = ", ".join([*[f"{sql} AS {name}" for name, sql in local.items()], "lead(true) OVER w AS _next"])
+    wanted = ", ".join(quoted(n) for n in dict.fromkeys([*order_names(order), *needs]))
+    before = "(PARTITION BY _range.key ORDER BY _range.number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = ", ".join(f"{sql} OVER {before} AS {name}" for name, sql in carried.items())
+    final = {**{n: f"r.{quoted(n)}" for n in df.columns}, **out}
+    return df.sparkSession.sql(
+        f"""
+        SELECT /*+ BROADCAST(s) */ {', '.join(f'{sql} AS {quoted(name)}' for name, sql in final.items())}
+        FROM (SELECT * EXCEPT (_split), {found} FROM {{dealt}} {windows}) r
+        LEFT JOIN (
+          SELECT _range AS _of, lead(true) OVER (PARTITION BY _range.key ORDER BY _range.number) AS _later, {carry}
+          FROM (SELECT *, {found} FROM (SELECT _range, {wanted} FROM {{dealt}} WHERE _split) {windows})
+          WHERE _next IS NULL
+        ) s ON r._range = s._of""",
+        dealt=dealt,
     )
-    # The condition reads every column, so that rows and summaries need the same exchange and Spark runs it once.
-    whole = F.xxhash64(*dealt.columns) >= F.lit(-(2**63))
-    last = numbered.filter(F.col("_next").isNull() & whole)
-    earlier = Window.partitionBy("_range.key").orderBy("_range.number").rowsBetween(Window.unboundedPreceding, -1)
-    summary = last.select(F.col("_range").alias("_of"), *[c.over(earlier).alias(name) for name, c in carried.items()])
-    summary = summary.filter(F.col("_of.number") > 0)
-    return numbered.join(summary, numbered["_range"] == summary["_of"], "left").drop("_of", "_range")
-
-
-def _frame(window, name: str):
-    return window.rowsBetween(Window.unboundedPreceding, 0) if name.startswith("_sum_") else window
 
 
 def ordered_rows(
@@ -46,31 +50,30 @@ def ordered_rows(
     ``_prev`` is missing on the first row of a group; ``_many`` tells whether the group has more than one row.
     ``min_rows`` sets the rows of a range.
     """
-    row = F.struct(*carry)
-    out = _per_range(
+    row = f"struct({', '.join(quoted(c) for c in carry)})"
+    return _per_range(
         df, keys, order, range_rows(df, min_rows),
-        {"_rn": F.row_number(), "_prev": F.lag(row), "_first": F.first(row)},
-        {"_before": F.sum("_rn"), "_range_prev": F.last(row), "_range_first": F.first("_first")},
-    )
-    # The first range of a key that is cut at all holds two rows or more.
-    follows = F.col("_before").isNotNull()
-    out = out.withColumns(
+        {"_rn": "row_number() OVER w", "_prev": f"lag({row}) OVER w", "_first": f"first({row}) OVER w"},
+        {"_before": "sum(_rn)", "_range_prev": f"last({row})", "_range_first": "first(_first)"},
+        carry,
         {
-            "_prev": F.when((F.col("_rn") == 1) & follows, F.col("_range_prev")).otherwise(F.col("_prev")),
-            "_first": F.when(follows, F.col("_range_first")).otherwise(F.col("_first")),
-            "_many": follows | (F.col("_rn") > 1) | F.col("_next").isNotNull(),
-            "_rn": (F.col("_rn") + F.coalesce("_before", F.lit(0))).cast("bigint"),
-        }
+            "_rn": "bigint(_rn + coalesce(_before, 0))",
+            "_prev": "if(_rn = 1 AND _before IS NOT NULL, _range_prev, _prev)",
+            "_first": "if(_before IS NOT NULL, _range_first, _first)",
+            "_many": "_before IS NOT NULL OR _rn > 1 OR _next IS NOT NULL OR _later IS NOT NULL",
+        },
     )
-    return out.drop("_next", "_before", "_range_prev", "_range_first")
 
 
 def running_totals(
     df: DataFrame, keys: list[str], order: list, sums: dict[str, str], min_rows: int | None = None
 ) -> DataFrame:
     """Add running sums, ``{new column: summed column}``, up to and including each row."""
-    local = {f"_sum_{name}": F.sum(col) for name, col in sums.items()}
-    carried = {f"_carry_{name}": F.sum(f"_sum_{name}") for name in sums}
-    out = _per_range(df, keys, order, range_rows(df, min_rows), local, carried, list(sums.values()))
-    totals = {name: F.col(f"_sum_{name}") + F.coalesce(f"_carry_{name}", F.lit(0)) for name in sums}
-    return out.withColumns(totals).drop("_next", *local, *carried)
+    numbered = list(enumerate(sums.items()))
+    return _per_range(
+        df, keys, order, range_rows(df, min_rows),
+        {f"_sum_{i}": f"sum({quoted(col)}) OVER upto" for i, (_, col) in numbered},
+        {f"_carry_{i}": f"sum(_sum_{i})" for i, _ in numbered},
+        list(sums.values()),
+        {name: f"_sum_{i} + coalesce(_carry_{i}, 0)" for i, (name, _) in numbered},
+    )
