@@ -10,12 +10,15 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.operators.skew import quoted
+
 TIE_TOLERANCE = 1e-7  # fixed value: relative slack when comparing table probabilities
-BLOCK = 4096  # candidate tables generated per row of the second expansion
+BLOCK = 4096  # fills of the smallest rows generated per row of the second expansion
 
 
 def _strata(df: DataFrame, row: str, col: str, by: Iterable[str]) -> tuple[DataFrame, list[str]]:
@@ -136,61 +139,219 @@ def _tables(df: DataFrame, row: str, col: str, by: Iterable[str]) -> tuple[DataF
     return tables.withColumn("_log_obs", F.col("_log_obs") - F.expr(log_choose("_n", "_k"))), keys
 
 
-def _halves(tables: DataFrame, keys: list[str]) -> DataFrame:
-    """Every way to fill the two halves (``side`` 0 and 1) of a table's rows: ``used`` and ``logw``.
+STEPS = 4  # rows that are filled one by one, before the two largest ones
+CHILDREN = 1 << 19  # fills that a task holds at a time
+TOTALS = [f"_t{i}" for i in range(STEPS + 2)]
+NODE = {"_limit": "double", **dict.fromkeys(["_n", "_k", *TOTALS, "m"], "bigint"), "past": "double", "mass": "double"}
+
+
+def _log_fact(n: np.ndarray) -> np.ndarray:
+    """ln(n!) by Stirling's series eight steps up, where its error is below 1e-13."""
+    x = n + 9.0
+    y = (x - 4.5) ** 2
+    up = (y - 0.25) * (y - 2.25) * (y - 6.25) * (y - 12.25)
+    series = 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7) + 1 / (1188 * x**9)
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - np.log(up)
+
+
+def _log_ways(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return _log_fact(n) - _log_fact(k) - _log_fact(n - k)
+
+
+def _best_fill(totals: list[np.ndarray], m: np.ndarray) -> np.ndarray:
+    """Upper bounds of the log weight of any fill of rows with these totals whose counts add up to ``m``.
 
-    A fill is weighted by binomial probabilities at the overall share, which differ from the table's weights by a factor
-    that depends on the margins only and can't overflow. Fills are numbered in mixed radix and expanded in two steps with
-    a shuffle in between, so that the fills of one stratum spread over the cluster.
+    The sum of the best single terms at the multiplier that belongs to the share of ``m``; no fill weighs more.
     """
-    sized = F.transform("_lines", lambda x: F.struct(x["total"].alias("total"), F.least(x["total"], F.col("_k")).alias("cap")))
-    tables = tables.withColumns({"_sized": F.array_sort(sized, lambda x, y: (x["cap"] - y["cap"]).cast("int"))})
-    logs = F.transform("_sized", lambda x: F.log(x["cap"] + 1.0))
-    upto = F.transform("_sized", lambda x, i: F.aggregate(F.slice(logs, 1, i + 1), F.lit(0.0), lambda a, v: a + v))
-    cut = F.size(F.filter(upto, lambda v: v <= F.element_at(upto, -1) / 2))
-    cut = F.greatest(F.lit(1), F.least(cut, F.size("_sized") - 1))
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.slice("_sized", F.lit(1), cut).alias("rows")),
-        F.struct(F.lit(1).alias("side"), F.slice("_sized", cut + 1, F.size("_sized")).alias("rows")),
+    whole = sum(totals)
+    share = m / np.maximum(whole, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where((m > 0) & (m < whole), np.log(share / (1 - share)), 0.0)
+    best = -m * slope
+    for t in totals:
+        b = np.minimum(t, np.floor((t + 1) * share))
+        best = best + _log_ways(t, b) + b * slope
+    return best
+
+
+def _span(total: np.ndarray, rest: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last count that a row can take if ``m`` are left for it and the ``rest``.
+
+    Counts more than 20 roots from the mean have a share below exp(-800) (Hoeffding), which is no double.
+    """
+    mean = total * (m / np.maximum(total + rest, 1))
+    reach = 20 * np.sqrt(np.minimum(np.minimum(m, total), np.minimum(rest, total + rest - m))) + 2
+    low = np.maximum(np.maximum(0, m - rest), np.floor(mean - reach))
+    return low.astype(np.int64), np.minimum(np.minimum(total, m), np.ceil(mean + reach)).astype(np.int64)
+
+
+def _parts(sizes: np.ndarray):
+    """Slices of rows of which each makes ``CHILDREN`` fills or so."""
+    group = (np.cumsum(sizes) - sizes) // CHILDREN
+    edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(sizes) else []
+    yield from (slice(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+
+def _choices(low: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and count of every choice."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, low[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _with(batch: pa.RecordBatch, rows: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    picked = batch.take(pa.array(rows))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[n], picked.schema.field(n).type) if n in columns else picked.column(n) for n in picked.schema.names], picked.schema.names
     )
-    names = [*keys, "_n", "_k", "_log_obs"]
-    halves = tables.select(*names, F.inline(sides))
-    halves = halves.withColumn("_space", F.aggregate("rows", F.lit(1).cast("bigint"), lambda acc, x: acc * (x["cap"] + 1)))
-    blocks = halves.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col("_space") - 1) / BLOCK))))
-    last_id = F.least((F.col("_block") + 1) * BLOCK, F.col("_space")) - 1
-    ids = blocks.repartition(*keys, "side", "_block").withColumn("_id", F.explode(F.sequence(F.col("_block") * BLOCK, last_id)))
-    digit = "(acc.rest % (line.cap + 1))"
-    filled = F.expr(
-        "aggregate(rows, named_struct('rest', _id, 'used', 0L, 'logw', 0D), (acc, line) -> named_struct("
-        f"'rest', acc.rest div (line.cap + 1), 'used', acc.used + {digit}, 'logw', acc.logw + {log_choose('line.total', digit)}"
-        f" + {digit} * ln(_k / _n) + (line.total - {digit}) * ln(1 - _k / _n)))"
+
+
+def _read(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def _filled(step: int):
+    """Fill row ``step`` of every open node; a node's closed children become one row with their ``mass``."""
+
+    def run(batches):
+        for whole in batches:
+            is_open = whole.column("mass").is_null().to_numpy(zero_copy_only=False)
+            yield whole.filter(pa.array(~is_open))
+            batch = whole.filter(pa.array(is_open))
+            n, k, limit, m, past = _read(batch, "_n", "_k", "_limit", "m", "past")
+            totals = _read(batch, *TOTALS[step:])
+            low, high = _span(totals[0], sum(totals[1:]), m)
+            for part in _parts(high - low + 1):
+                row, a = _choices(low[part], (high - low + 1)[part])
+                row = row + part.start
+                rest, left = [t[row] for t in totals[1:]], m[row] - a
+                logw = past[row] + _log_ways(totals[0][row], a)
+                closed = logw + _best_fill(rest, left) <= limit[row]
+                share = np.exp(logw + _log_ways(sum(rest), left) - _log_ways(n[row], k[row])) * closed
+                parents = np.arange(part.start, part.stop)
+                mass = np.bincount(row - part.start, share, len(parents))
+                yield _with(batch, parents, mass=mass)
+                yield _with(batch, row[~closed], m=left[~closed], past=logw[~closed])
+
+    return run
+
+
+def _started(batches):
+    """Fills of the rows beyond the ``STEPS + 2`` largest: ``_id`` counts through all of them in mixed radix."""
+    for batch in batches:
+        heads = batch.column("_head").to_pylist()
+        rest, limit_k = (x.copy() for x in _read(batch, "_id", "_k"))
+        past, left = np.zeros(len(rest)), limit_k
+        for i in range(max(map(len, heads), default=0)):
+            total = np.array([h[i] if i < len(h) else 0 for h in heads])
+            digit = rest % (total + 1)
+            rest, left, past = rest // (total + 1), left - digit, past + _log_ways(total, digit)
+        size = sum(_read(batch, *TOTALS))
+        names = [n for n in batch.schema.names if n not in ("_head", "_id")]
+        out = pa.RecordBatch.from_arrays([batch.column(n) for n in names], names)
+        yield _with(out, np.flatnonzero((left >= 0) & (left <= size)), **{
+            c: v[(left >= 0) & (left <= size)] for c, v in (("m", left), ("past", past))
+        })
+
+
+def _sized(tables: DataFrame, keys: list[str]) -> DataFrame:
+    """Per table the totals of its six largest rows, ascending (zero where it has fewer), ``_head`` with those of any smaller
+    rows, and the log weight ``_limit`` up to which tables count."""
+    last = len(TOTALS)
+    tail = f"slice(concat(array_repeat(0L, {last}), _lines.total), -{last}, {last})"
+    return tables.selectExpr(
+        *[quoted(k) for k in keys], f"_log_obs + {log_choose('_n', '_k')} + {math.log1p(TIE_TOLERANCE)!r}D AS _limit", "_n", "_k",
+        *[f"{tail}[{i}] AS {t}" for i, t in enumerate(TOTALS)], "0L AS m", "0D AS past", "CAST(null AS DOUBLE) AS mass",
+        f"slice(_lines.total, 1, greatest(size(_lines) - {last}, 0)) AS _head",
     )
-    return ids.withColumn("_t", filled).select(*names, "side", F.col("_t.used").alias("used"), F.col("_t.logw").alias("logw"))
+
+
+def _schema(df: DataFrame, keys: list[str], more: dict[str, str]) -> str:
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    return ", ".join(f"{quoted(n)} {t}" for n, t in {**{k: types[k] for k in keys}, **more}.items())
+
+
+def _open_fills(sized: DataFrame, keys: list[str]) -> DataFrame:
+    """Fills of all rows but the two largest: count ``m`` left for those, log weight ``past``, and ``mass``.
+
+    Rows are filled one by one, smallest first. A partial fill is closed as soon as even its best completion is no likelier
+    than the observed table: then all completions count, and ``mass`` is their share of all tables. Open fills (``mass``
+    missing) go on. Of more than six rows the smallest are first filled in every way.
+    """
+    schema = _schema(sized, keys, NODE)
+    space = "aggregate(_head, 1L, (acc, t) -> acc * (t + 1))"
+    nodes = sized.selectExpr("*", f"explode(sequence(0L, floor(({space} - 1) / {BLOCK}))) AS _block", f"{space} AS _space")
+    nodes = nodes.repartition(*keys, "_block").selectExpr("*", f"explode(sequence(_block * {BLOCK}, least((_block + 1) * {BLOCK}, _space) - 1)) AS _id")
+    nodes = nodes.drop("_block", "_space").mapInArrow(_started, schema)
+    for step in range(STEPS):
+        nodes = nodes.mapInArrow(_filled(step), schema)
+        if step:
+            # One table starts as one row; its open fills must spread.
+            nodes = nodes.repartition(*keys, "m", "past")
+    return nodes
+
+
+def _left_for_two(batches):
+    """The counts that open fills can leave for the two largest rows, by the bounds of both parts."""
+    for batch in batches:
+        heads = batch.column("_head").to_pylist()
+        k, limit = _read(batch, "_k", "_limit")
+        totals = _read(batch, *TOTALS)
+        for i, head in enumerate(heads):
+            free, pair = [*head, *[int(t[i]) for t in totals[:-2]]], [int(t[i]) for t in totals[-2:]]
+            m = np.arange(max(0, int(k[i]) - sum(free)), min(int(k[i]), sum(pair)) + 1)
+            as_rows = lambda values: [np.full(len(m), v) for v in values]
+            bound = _best_fill(as_rows(free), k[i] - m) + _best_fill(as_rows(pair), m)
+            m = m[bound > limit[i] - 1e-6]
+            yield _with(batch, np.full(len(m), i), m=m)
+
+
+def _sums_of_two(batches):
+    """Every fill of the two largest rows with its log weight ``at`` and its share of those with the same count."""
+    for batch in batches:
+        (m,) = _read(batch, "m")
+        one, two = _read(batch, *TOTALS[-2:])
+        low, high = _span(one, two, m)
+        names = [c for c in batch.schema.names if c not in (*NODE, "_head") or c in ("_n", "m")]
+        plain = pa.RecordBatch.from_arrays([batch.column(c) for c in names], names)
+        for part in _parts(high - low + 1):
+            row, a = _choices(low[part], (high - low + 1)[part])
+            row = row + part.start
+            at = _log_ways(one[row], a) + _log_ways(two[row], m[row] - a)
+            share = np.exp(at - _log_ways(one[row] + two[row], m[row]))
+            out = plain.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at), pa.array(share)], [*names, "at", "share"])
+
+
+def _asking(batches):
+    """Open fills as questions: the log weight that is left to the two largest rows, and the fill's share of all tables."""
+    for batch in batches:
+        n, k, limit, m, past = _read(batch, "_n", "_k", "_limit", "m", "past")
+        one, two = _read(batch, *TOTALS[-2:])
+        share = np.exp(past + _log_ways(one + two, m) - _log_ways(n, k))
+        names = [c for c in batch.schema.names if c not in NODE or c in ("_n", "m")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(limit - past), pa.array(share)], [*names, "at", "share"])
 
 
 def _exact_part(tables: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of probabilities of all tables no likelier than the observed one.
 
-    One half asks, for each of its fills, for the weight of all fills of the other half that bring the column to
-    its total and the table to no more than the observed weight: a running sum of the other half's weights in order.
+    Closed fills bring their share. An open one asks for the weight of all fills of the two largest rows that bring the
+    column to its total and the table to no more than the observed weight: a running sum of those rows' weights in order,
+    which all open fills with the same remaining count share.
     """
-    fills = _halves(tables, keys)
-    share = (F.col("_k") / F.col("_n")).cast("double")
-    factor = F.col("_k") * F.log(share) + (F.col("_n") - F.col("_k")) * F.log(1 - share)
-    whole = F.expr(log_choose("_n", "_k")) + factor
-    limit = F.col("_log_obs") + whole + math.log1p(TIE_TOLERANCE)
-    asks = F.col("side") == 1
-    met = fills.select(
-        *keys, "_n", "side", "logw", whole.alias("_whole"), F.when(asks, F.col("_k") - F.col("used")).otherwise(F.col("used")).alias("_used"),
-        F.when(asks, limit - F.col("logw")).otherwise(F.col("logw")).alias("_at"),
-    )
-    upto = Window.partitionBy(*keys, "_used").orderBy("_at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(F.when(F.col("side") == 0, F.exp("logw")).otherwise(0.0)).over(upto)
-    return (
-        met.withColumn("_below", running).filter(asks).groupBy(*keys)
-        .agg(F.sum(F.exp(F.col("logw") - F.col("_whole")) * F.col("_below")).alias("p"), F.first("_n").alias("n"))
-        .select(*keys, "n", F.least("p", F.lit(1.0)).alias("p"), F.lit("exact").alias("method"))
+    sized = _sized(tables, keys)
+    fills = _open_fills(sized, keys)
+    schema = _schema(sized, keys, {"_n": "bigint", "m": "bigint", "at": "double", "share": "double"})
+    names = [quoted(k) for k in keys]
+    asked = fills.filter("mass IS NULL").mapInArrow(_asking, schema).selectExpr("*", "1 AS side")
+    left = sized.mapInArrow(_left_for_two, _schema(sized, keys, {**NODE, "_head": "array<bigint>"}))
+    given = left.repartition(*keys, "m").mapInArrow(_sums_of_two, schema).selectExpr("*", "0 AS side")
+    upto = Window.partitionBy(*keys, "m").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    met = given.unionByName(asked).withColumn("_below", F.sum(F.when(F.col("side") == 0, F.col("share")).otherwise(0.0)).over(upto))
+    found = fills.filter("mass IS NOT NULL").selectExpr(*names, "_n", "mass AS _p").unionByName(
+        met.filter("side = 1").selectExpr(*names, "_n", "share * _below AS _p")
     )
+    return found.groupBy(*keys).agg(F.first("_n").alias("n"), F.least(F.sum("_p"), F.lit(1.0)).alias("p")).withColumn("method", F.lit("exact"))
 
 
 DRAWS_PER_TASK = 100
@@ -238,8 +399,9 @@ def fisher_exact(
 ) -> DataFrame:
     """Exact test of an r x 2 table: n, p, method.
 
-    ``exact`` enumerates the two halves of the rows, so its work grows with the square root of the number of tables;
-    ``simulate`` estimates p from random tables. The caller chooses; the size never does. A table that has not two column
+    ``exact`` fills the rows one by one and closes every partial fill that its bounds settle, so it visits the partial tables
+    likelier than the observed one in all rows but two; ``simulate`` estimates p from random tables. The caller chooses; the
+    size never does. A table that has not two column
     levels and at least two row levels has no p.
     """
     if method not in ("exact", "simulate"):

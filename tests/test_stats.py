@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from itertools import product
 
+import numpy as np
 import numpy as np
 import pytest
 from conftest import rows
@@ -13,6 +14,7 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import functions as F
 
 from cohortloom import operators as op
+from cohortloom.operators import significance
 from cohortloom.operators.significance import chi2_tail
 
 
@@ -169,7 +171,7 @@ def brute_fisher(data):
     return sum(x for x in every if x <= p(seen) * (1 + 1e-7))
 
 
-@pytest.mark.parametrize("levels,n", [(2, 40), (3, 45), (4, 36)])
+@pytest.mark.parametrize("levels,n", [(2, 40), (3, 45), (4, 36), (5, 40), (7, 21), (8, 18)])
 def test_fisher_matches_enumeration(spark, levels, n):
     data = two_way(levels, levels, n)
     df = spark.createDataFrame(data, "r int, c int")
@@ -177,6 +179,21 @@ def test_fisher_matches_enumeration(spark, levels, n):
     assert (got.method, got.n) == ("exact", n) and got.p == pytest.approx(brute_fisher(data), rel=1e-9)
 
 
+def test_fisher_far_from_chance(spark):
+    data = [(i % 3, int((i % 3 == 0) ^ (i % 31 == 0))) for i in range(150)]
+    df = spark.createDataFrame(data, "r int, c int")
+    got = op.fisher_exact(df, "r", "c").first().p
+    assert 0 < got < 1e-12 and got == pytest.approx(brute_fisher(data), rel=1e-9)
+
+
+def test_parts_and_choices_cover_every_fill():
+    low, size = np.array([3, 0, 7, 1]), np.array([2, 1, 4, 3])
+    row, a = significance._choices(low, size)
+    assert list(zip(row, a, strict=True)) == [(i, low[i] + j) for i in range(4) for j in range(size[i])]
+    big = np.full(5, significance.CHILDREN // 2)
+    assert [i for s in significance._parts(big) for i in range(s.start, s.stop)] == list(range(5))
+
+
 def test_fisher_textbook_and_strata(spark):
     tea = [("tea", 0, 0)] * 3 + [("tea", 0, 1)] + [("tea", 1, 0)] + [("tea", 1, 1)] * 3
     flat = [("flat", 0, 0)] * 3 + [("flat", 1, 0)] * 2
