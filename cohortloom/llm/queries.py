@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import byte_bpe, chat, hard_negatives, neighbours, outliers, packing, prefix_trie, quality, simhash, suffix_dedup, token_counts, token_files
+from cohortloom.llm import byte_bpe, chat, hard_negatives, neighbours, outliers, packing, prefix_trie, quality, simhash, suffix_dedup, token_counts, token_files, toxicity
 from cohortloom.llm.common import scratch_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,9 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
     return hard_negatives.hard_negatives(rows.select("vec_id", label.alias("label"), whole.alias("vec")), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_chain_toxicity")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, folder, "labels")), threshold=0.3)
