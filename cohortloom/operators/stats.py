@@ -133,25 +133,83 @@ def crosstab_subset(df: DataFrame, row: str, col: str, cond: Column) -> DataFram
     return crosstab(na_subset(df, [row, col], cond), row, col)
 
 
-def _quantiles(counts: DataFrame, probs: dict[str, float], min_rows: int | None) -> DataFrame:
-    """Interpolated quantiles per variable of a (variable, value, n) table of present values.
+LOG_BINS = 1024  # first round: bins per doubling
+LINE_BINS = 1 << 22  # second and third round: bins between the least and the largest value of a bin
 
-    Order statistics are read off running counts, so no task ever holds a column.
+
+def _log_bin(value: Column) -> Column:
+    """A whole number that never falls as the value grows: 1,024 bins per doubling on both sides of zero, NaN last."""
+    size = F.abs(value)
+    bin_ = (F.floor(F.log2(size) * LOG_BINS) + 1_200_000) * F.signum(value).cast("bigint")
+    return F.when(F.isnan(value), F.lit(1 << 41)).when(size == float("inf"), F.signum(value).cast("bigint") * (1 << 40)).when(value == 0, F.lit(0)).otherwise(bin_)
+
+
+def _line_bin(value: Column, low: Column, high: Column) -> Column:
+    return F.when(low < high, F.floor((value - low) / (high - low) * LINE_BINS)).otherwise(F.lit(0)).cast("bigint")
+
+
+def _narrowed(rows: DataFrame, keys: list[str], name: str, carried: list[str]) -> DataFrame:
+    """One histogram over ``name`` within ``keys``: the bins that hold a wanted rank, with the ranks counted in them.
+
+    ``_wanted`` (name, side, share, rank) belongs to the keys and is grouped by, so that it needs no join back.
+    """
+    low, high = F.min("value").alias(f"{name}_low"), F.max("value").alias(f"{name}_high")
+    hist = rows.groupBy(*keys, *carried, name).agg(F.count(F.lit(1)).alias("_n"), low, high)
+    upto = F.sum("_n").over(Window.partitionBy(*keys).orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+    hist = hist.withColumns({"_upto": upto, "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+    return hist
+
+
+def _in_bin(hist: DataFrame, wanted: str) -> DataFrame:
+    """Keep of ``wanted`` what lies in the bin, ranks counted from its start."""
+    start = "(_upto - _n)"
+    inside = f"filter({wanted}, t -> t.rank >= {start} AND t.rank < _upto)"
+    found = f"transform({inside}, t -> named_struct('name', t.name, 'side', t.side, 'share', t.share, 'rank', t.rank - {start}))"
+    return hist.withColumn("_wanted", F.expr(found)).filter("size(_wanted) > 0").drop("_n", "_upto", "_all")
+
+
+def _quantiles(values: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles per variable of a (variable, value) table of present values.
+
+    Every wanted order statistic is narrowed down by three histograms, each one map-side aggregate: bins of equal ratio, then
+    bins between the least and the largest value of the bin that holds the rank, twice. A bin of the third is one double: a
+    first bin spans fewer than 2^43 of them. Only rows of the few bins that hold a rank go into the later rounds; the windows
+    run over bins.
+    """
+    values = values.withColumn("_b1", _log_bin(F.col("value")))
+    first = _narrowed(values, ["variable"], "_b1", [])
+    ranks = ", ".join(
+        f"named_struct('name', '{name}', 'side', '{side}', 'share', (_all - 1) * {p}D - floor((_all - 1) * {p}D), 'rank', {side}((_all - 1) * {p}D))"
+        for name, p in probs.items() for side in ("floor", "ceil")
+    )
+    bins = _in_bin(first, f"array({ranks})")
+    keys, ends = ["variable", "_b1"], ["_b1_low", "_b1_high"]
+    for name in ("_b2", "_b3"):
+        # Two bins per variable and quantile at most.
+        rows = values.join(F.broadcast(bins), ["variable", "_b1"])
+        if name == "_b3":
+            rows = rows.filter(F.col("_b2") == _line_bin(F.col("value"), F.col("_b1_low"), F.col("_b1_high")))
+        rows = rows.withColumn(name, _line_bin(F.col("value"), F.col(ends[-2]), F.col(ends[-1])))
+        bins = _in_bin(_narrowed(rows, keys, name, [*ends, "_wanted"]), "_wanted")
+        keys, ends = [*keys, name], [*ends, f"{name}_low", f"{name}_high"]
+    found = bins.select("variable", F.col("_b3_low").alias("value"), F.inline("_wanted"))
+
+    def at(name, side):
+        return F.max(F.when((F.col("name") == name) & (F.col("side") == side), F.col("value")))
+
+    def share(name):
+        return F.max(F.when(F.col("name") == name, F.col("share")))
+
+    return found.groupBy("variable").agg(*[
+        (at(n, "floor") + F.when(share(n) > 0, (at(n, "ceil") - at(n, "floor")) * share(n)).otherwise(0.0)).alias(n) for n in probs
+    ])
+
+
+def describe_numeric(df: DataFrame, cols: Iterable[str]) -> DataFrame:
+    """Descriptives, one row per column: moments, quartiles, MAD, IQR, CV, valid share.
+
+    The input is read once for the moments and three times each for the quartiles and the MAD, by map-side aggregates only.
     """
-    sizes = F.broadcast(counts.groupBy("variable").agg(F.sum("n").alias("_n")))
-    cum = running_totals(counts, ["variable"], ["value"], {"_cum": "n"}, min_rows).join(sizes, "variable")
-    aggs = []
-    for name, p in probs.items():
-        at = (F.col("_n") - 1) * p
-        lo = F.min(F.when(F.col("_cum") > F.floor(at), F.col("value")))
-        hi = F.min(F.when(F.col("_cum") > F.ceil(at), F.col("value")))
-        share = F.first(at - F.floor(at))
-        aggs.append((lo + (hi - lo) * share).alias(name))
-    return cum.groupBy("variable").agg(*aggs)
-
-
-def describe_numeric(df: DataFrame, cols: Iterable[str], min_rows: int | None = None) -> DataFrame:
-    """Descriptives, one row per column: moments, quartiles, MAD, IQR, CV, valid share."""
     cols = list(cols)
     moments = {
         "mean": F.avg, "std_dev": F.stddev_samp, "min": F.min, "max": F.max,
@@ -176,14 +234,11 @@ def describe_numeric(df: DataFrame, cols: Iterable[str], min_rows: int | None =
             )
         )
     )
-    counts = _long_counts(df, cols, "double").filter(F.col("value").isNotNull())
-    quartiles = _quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, min_rows)
-    spread = (
-        counts.join(F.broadcast(quartiles.select("variable", "median")), "variable")
-        .groupBy("variable", F.abs(F.col("value") - F.col("median")).alias("value"))
-        .agg(F.sum("n").alias("n"))
-    )
-    mad = _quantiles(spread, {"mad": 0.5}, min_rows)
+    plain = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    values = plain.unpivot([], cols, "variable", "value").filter(F.col("value").isNotNull())
+    quartiles = _quantiles(values, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    off = F.abs(F.col("value") - F.col("median")).alias("value")
+    mad = _quantiles(values.join(F.broadcast(quartiles.select("variable", "median")), "variable").select("variable", off), {"mad": 0.5})
     out = per_col.join(F.broadcast(quartiles), "variable", "left").join(F.broadcast(mad), "variable", "left")
     return out.withColumns(
         {
@@ -194,17 +249,29 @@ def describe_numeric(df: DataFrame, cols: Iterable[str], min_rows: int | None =
     )
 
 
+HEAD = 64  # characters of a value that its profile is grouped and ordered by
+
+
 def profile_table(df: DataFrame, top: int = 10) -> DataFrame:
     """Whole-table profile: per column its type, counts and range, with its ``top`` most frequent values as rows and one
-    row without rank and value for all others (``value_n`` rows, ``n_values`` values)."""
+    row without rank and value for all others (``value_n`` rows, ``n_values`` values).
+
+    Values are counted by their beginning and a 128-bit digest, so long texts are not shuffled; only those of the most frequent
+    digests are read again. Equal counts are ordered by the first ``HEAD`` characters, then by digest.
+    """
     cols = df.columns
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
-    counts = _long_counts(df, cols, "string")
-    number = F.when(F.col("variable").isin(sorted(numeric)), F.col("value").try_cast("double"))
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "variable", "value")
+    digest = {"_d1": F.xxhash64("value"), "_d2": F.xxhash64(F.lit(1), "value")}
+    key = ["variable", "_there", "_d1", "_d2"]
+    long = long.withColumns({**digest, "_there": F.col("value").isNotNull()})
+    counts = long.select(*key, F.substring("value", 1, HEAD).alias("_head")).groupBy(*key, "_head").agg(F.count(F.lit(1)).alias("n"))
+    number = F.when(F.col("variable").isin(sorted(numeric)), F.col("_head").try_cast("double"))
+    there = F.col("_there")
     summary = counts.groupBy("variable").agg(
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("n_valid"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-        F.count("value").alias("n_distinct"),
+        F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)).alias("n_valid"),
+        F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count_if(there).alias("n_distinct"),
         F.min(number).alias("min"),
         F.max(number).alias("max"),
         F.try_divide(F.sum(number * F.col("n")), F.sum(F.when(number.isNotNull(), F.col("n")))).alias("mean"),
@@ -212,10 +279,11 @@ def profile_table(df: DataFrame, top: int = 10) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     type_map = F.create_map(*[F.lit(x) for pair in types.items() for x in pair])
     # Missing last instead of filtered first, so that both tables share one aggregate.
-    by_count = Window.partitionBy("variable").orderBy(F.col("value").isNull(), F.col("n").desc(), "value")
-    best = counts.withColumn("rank", F.row_number().over(by_count)).filter(
-        (F.col("rank") <= top) & F.col("value").isNotNull()
-    )
+    by_count = Window.partitionBy("variable").orderBy(F.col("_there").desc(), F.col("n").desc(), "_head", "_d1", "_d2")
+    best = counts.withColumn("rank", F.row_number().over(by_count)).filter((F.col("rank") <= top) & there)
+    # ``top`` rows per column: small enough to send to every task.
+    texts = long.filter(there).join(F.broadcast(best.select(*key, "rank", "n")), key)
+    best = texts.groupBy("variable", "rank", "n").agg(F.min("value").alias("value"))
     row = F.struct("rank", "value", F.col("n").alias("value_n"), F.lit(1).cast("bigint").alias("n_values"))
     best = best.groupBy("variable").agg(
         F.sum("n").alias("_shown"), F.count(F.lit(1)).alias("_rows"), F.sort_array(F.collect_list(row)).alias("_best")

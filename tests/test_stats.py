@@ -5,7 +5,6 @@ import random
 from collections import Counter
 from itertools import product
 
-import numpy as np
 import numpy as np
 import pytest
 from conftest import rows
@@ -14,7 +13,7 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import functions as F
 
 from cohortloom import operators as op
-from cohortloom.operators import significance
+from cohortloom.operators import significance, stats
 from cohortloom.operators.significance import chi2_tail
 
 
@@ -68,13 +67,12 @@ def test_crosstab_margins(spark):
         assert sum(r.row_pct for r in out if (r.by, r.r, r.margin) == (by, level, "cell")) == pytest.approx(100)
 
 
-@pytest.mark.parametrize("above", [None, 20])
-def test_describe_matches_numpy(spark, above):
+def test_describe_matches_numpy(spark):
     rnd = np.random.default_rng(4)
     x = np.round(rnd.exponential(10, 501), 1)
     data = [(float(v) if i % 10 else None, i) for i, v in enumerate(x)]
     df = spark.createDataFrame(data, "x double, i int")
-    got = {r.variable: r for r in op.describe_numeric(df, ["x", "i"], above).collect()}
+    got = {r.variable: r for r in op.describe_numeric(df, ["x", "i"]).collect()}
     kept = np.array([v for v, _ in data if v is not None])
     r = got["x"]
     q1, med, q3 = np.quantile(kept, [0.25, 0.5, 0.75])
@@ -88,6 +86,40 @@ def test_describe_matches_numpy(spark, above):
     assert got["i"].median == 250
 
 
+def test_quantiles_of_odd_numbers_are_exact(spark):
+    """Neighbouring doubles, many magnitudes, both signs, zeros, infinities, one value, few values, ties."""
+    rnd = np.random.default_rng(9)
+    close = [1.0]
+    while len(close) < 400:
+        close.append(float(np.nextafter(close[-1], 2)))
+    columns = {
+        "close": rnd.permutation(close).tolist(), "wide": (rnd.choice([-1, 1], 400) * 10.0 ** rnd.uniform(-300, 300, 400)).tolist(),
+        "ties": rnd.integers(-2, 3, 400).astype(float).tolist(), "one": [7.25] * 400, "signs": [-0.0, 0.0, 5e-324, -5e-324] * 100,
+        "ends": [float("inf"), float("-inf"), 3.0, 4.0] * 100,
+    }
+    data = [(name, v) for name, values in columns.items() for v in values] + [("single", -3.5), ("pair", 1.0), ("pair", 2.0)]
+    columns |= {"single": [-3.5], "pair": [1.0, 2.0]}
+    df = spark.createDataFrame(data, "variable string, value double").repartition(7)
+    got = {r.variable: r for r in stats._quantiles(df, {"low": 0.25, "mid": 0.5, "third": 1 / 3, "end": 1.0}).collect()}
+    for name, values in columns.items():
+        values = sorted(values)
+        for label, p in (("low", 0.25), ("mid", 0.5), ("third", 1 / 3), ("end", 1.0)):
+            at = (len(values) - 1) * p
+            a, b, share = values[math.floor(at)], values[math.ceil(at)], at - math.floor(at)
+            assert repr(got[name][label] + 0.0) == repr((a + (b - a) * share if share else a) + 0.0), (name, label)
+
+
+def test_profile_never_shuffles_long_texts(spark):
+    df = spark.createDataFrame([("x" * 100 + str(i % 7), i) for i in range(200)], "t string, n int")
+    out = op.profile_table(df, 3)
+    got = {r.value: r.value_n for r in out.filter("variable = 't' AND rank IS NOT NULL").collect()}
+    assert len(got) == 3 and all(len(v) == 101 and n in (28, 29) for v, n in got.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(value" in plan
+    counted = [line for line in plan.splitlines() if "Aggregate [variable" in line and "count(1)" in line]
+    assert counted and not any("value#" in line for line in counted)
+
+
 def test_profile(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 2)], "s string, n int")
     got = rows(op.profile_table(df, 1), "variable", "type", "n_valid", "n_missing", "n_distinct", "mean", "value", "value_n", "n_values")
