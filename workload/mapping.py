@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom import params as P
+from cohortloom.plans.reports import RISK_NOTE_COLUMNS
 
 K = "CAST(floor(o_totalprice / 1000) AS INT)"
 A = "CAST(floor(abs(c_acctbal) / 10) AS INT)"
@@ -30,6 +31,9 @@ def free_text(key: str, mod: int) -> str:
     )
 
 
+#: Columns of a risk note that are taken over as they are.
+RISK_FACTORS = RISK_NOTE_COLUMNS[RISK_NOTE_COLUMNS.index("note_risk_level") + 1 :]
+
 ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
     "cases": (
         "orders",
@@ -84,6 +88,9 @@ ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
                 part: f"CASE WHEN {K} % {i + 2} = 0 THEN CAST(NULL AS STRING) ELSE 'recorded' END"
                 for i, part in enumerate(P.PLAN_PARTS)
             },
+            "utm_campaign": f"CASE {K} % 4 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'spring' ELSE 'autumn' END",
+            "utm_content": f"CASE WHEN {K} % 3 = 0 THEN 'video' ELSE CAST(NULL AS STRING) END",
+            "utm_term": f"CAST({K} % 6 AS STRING)",
             "last_connection_date_time": f"CAST(CAST('2024-01-01' AS DATE) + {K} AS TIMESTAMP)",
         },
     ),
@@ -106,6 +113,7 @@ ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
                     "WHEN 4 THEN 'Black or African American' ELSE 'Asian' END",
             "ethnicity": "CASE c_nationkey % 5 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'Hispanic or Latino' "
                          "WHEN 2 THEN 'Prefer Not to Say' ELSE 'Not Hispanic or Latino' END",
+            "assigned_sex_at_birth": f"CASE {A} % 3 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'Female' ELSE 'Male' END",
             "service_status": "CASE c_nationkey % 7 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'Active Duty' "
                               "WHEN 2 THEN 'Army Reserve;Retired' WHEN 3 THEN 'Discharged (any status)' "
                               "WHEN 4 THEN 'National Guard' ELSE 'Veteran' END",
@@ -177,6 +185,57 @@ ENTITIES: dict[str, tuple[str, dict[str, str]]] = {
             "crp_firearms_loaded": f"CASE WHEN {V} % 5 < 3 THEN 'Yes' ELSE 'No' END",
         },
     ),
+    "sheets": (
+        "events",
+        {
+            "id": "CAST(event_id AS STRING)",
+            "care_plan": "CAST(user_id AS STRING)",
+            "name": "CASE CAST(event_id % 9 AS INT) "
+                    + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate([*P.FORM_SESSIONS, P.FORM_BASELINE, P.FORM_FOLLOWUP, P.FORM_COGNITION,
+                                                                           P.FORM_INTAKE_LITE, P.FORM_FEEDBACK]))
+                    + f" ELSE '{P.FORM_BASELINE}' END",
+            "created_date": "ts",
+            **{c: f"CASE WHEN {V} % 10 = {i} THEN CAST(NULL AS INT) ELSE ({V} + {i}) % 5 + 1 END" for i, c in enumerate(P.SESSION_RATINGS)},
+            **{c: f"CASE WHEN {V} % 11 = {i} THEN CAST(NULL AS INT) ELSE ({V} + {i}) % 5 END" for i, c in enumerate([*P.WELLBEING_ITEMS, *P.COGNITION_ITEMS])},
+            "coq_b_talked_about_suicide": yes_no(V, 3),
+            "coq_b_talked_about_suicide_who": f"CASE {V} % 4 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'Friend/s;Family member/s' ELSE 'Other;' END",
+            "coq_b_talked_about_suicide_other": f"CASE WHEN {V} % 5 = 0 THEN 'someone' ELSE CAST(NULL AS STRING) END",
+            "coq_fleeting_thoughts": yes_no(V, 6),
+            "coq_current_thoughts": yes_no(V, 7),
+            "fss_nps_question": f"CASE WHEN {V} % 7 = 0 THEN CAST(NULL AS INT) ELSE {V} % 11 END",
+            "coq_f_consent_for_attempt_details": yes_no(V, 4),
+            "fss_consent_to_share": yes_no(V, 5),
+            "coq_f_prevent_attempt": yes_no(V, 25),
+            **{c: f"CASE WHEN {V} % {m} = 0 THEN CAST(NULL AS STRING) ELSE 'answer ' || CAST({V} % {m} AS STRING) END"
+               for c, m in (("coq_f_prevent_attempt_details", 3), ("fss_share_with_others_txt", 5), ("fss_learned_from_txt", 7), ("fss_improvement_txt", 4))},
+        },
+    ),
+    "owners": (
+        "nation",
+        {"id": "CAST(n_nationkey AS STRING)", "name": "n_name", "username": "lower(n_name)"},
+    ),
+    "calls": (
+        "part",
+        {"id": "'call-' || CAST(p_partkey AS STRING)", "transcript": "p_name || ' said'"},
+    ),
+    "risk_sheets": (
+        "lineitem",
+        {
+            "id": "CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '-' || "
+                  "CAST(l_partkey AS STRING) || '-' || CAST(l_suppkey AS STRING)",
+            "case": "CAST(l_orderkey AS STRING)",
+            "interaction_date_time": "l_shipdate",
+            "case_note_type": "CASE WHEN l_linenumber = 5 THEN 'Supervisor' WHEN l_returnflag = 'A' THEN 'Session' "
+                              "WHEN l_returnflag = 'N' THEN 'General' ELSE 'RRBC' END",
+            "overall_risk_level": "CASE WHEN l_tax < 0.015 THEN 'HRC' WHEN l_tax < 0.035 THEN 'MRC' "
+                                  "WHEN l_tax < 0.045 THEN 'LRC' WHEN l_tax < 0.065 THEN CAST(NULL AS STRING) ELSE 'Unrated' END",
+            "lookup_primary_phone_call": "CASE WHEN l_linenumber = 1 THEN CAST(NULL AS STRING) ELSE 'call-' || CAST(l_partkey AS STRING) END",
+            "lookup_secondary_phone_call": "CASE WHEN l_linenumber > 3 THEN 'call-' || CAST(l_suppkey AS STRING) ELSE CAST(NULL AS STRING) END",
+            "lookup_tertiary_phone_call": "CAST(NULL AS STRING)",
+            **{c: f"CASE l_linenumber % {i % 4 + 2} WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'Yes' ELSE 'No' END"
+               for i, c in enumerate(RISK_FACTORS)},
+        },
+    ),
     "surveys": (
         "events",
         {
