@@ -36,3 +36,21 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def n_bytes(text: Column) -> Column:
     return F.octet_length(text).cast("long")
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A helper column name that ``df`` does not have, whatever the case of its own names."""
+    taken, name = {c.lower() for c in df.columns}, f"_{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def shielded(df: DataFrame, reserved: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns that bear a ``reserved`` name renamed, and the renaming that turns them back."""
+    back = {}
+    for name in df.columns:
+        if name.lower() in reserved:
+            back[free_name(df, f"kept_{name}")] = name
+            df = df.withColumnRenamed(name, next(reversed(back)))
+    return df, back

@@ -198,10 +198,20 @@ def nearest(
         scores, wanted = queries @ table.T, min(k + 1 + 8, len(member_ids))
         top = np.argpartition(-scores, wanted - 1, axis=1)[:, :wanted]
         exact = (queries[:, None, :] * table[top]).sum(axis=2)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(query_ids, wanted)), pa.array(member_ids[top].ravel()), pa.array(exact.ravel())],
-            ["asked", "member", "score"],
-        )
+        asked_ids, found, values = [np.repeat(query_ids, wanted)], [member_ids[top].ravel()], [exact.ravel()]
+        if wanted < len(member_ids):
+            # Rows whose last place is shared by more members than were taken: all that reach it, up to rounding.
+            last = np.partition(scores, -(k + 1), axis=1)[:, -(k + 1)]
+            slack = 1e-12 * np.sqrt((queries**2).sum(axis=1) * (table**2).sum(axis=1).max())
+            near = scores >= (last - slack)[:, None]
+            for i in np.flatnonzero(near.sum(axis=1) > wanted):
+                tied = np.flatnonzero(near[i])
+                score = (queries[i] * table[tied]).sum(axis=1)
+                first = np.lexsort((member_ids[tied], -score))[: k + 1]
+                asked_ids.append(np.repeat(query_ids[i], len(first)))
+                found.append(member_ids[tied[first]])
+                values.append(score[first])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (asked_ids, found, values)], ["asked", "member", "score"])
 
     scored = met.mapInArrow(score, "asked long, member long, score double")
     scored = scored.groupBy("asked", "member").agg(F.max("score").alias("score"))

@@ -162,6 +162,15 @@ def test_neighbours_of_copies_and_odd_vectors(spark):
     assert neighbours.nearest(none, none).count() == 0
 
 
+def test_neighbours_break_ties_by_id(spark):
+    """1,900 different vectors with one score: the smallest ids are found although a leaf keeps few members."""
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0] + [0.0] * 8)] + [(i, [0.5, *rng.standard_normal(8).round(3).tolist()]) for i in rng.permutation(np.arange(1, 1901)).tolist()]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = neighbours.nearest(vectors, vectors.where("vec_id = 0"), k=20, probes=100_000).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 0.5) for i in range(1, 21)]
+
+
 def test_chat_round_trip(spark):
     odd = ["", None, "<|end|>", "\\<|", "<\\|text|>\\\\", "<|turn|>user<|text|>hi<|end|>", "a<", "|b", "é🙂\n"]
     rows = [(1, i, ["user", "assistant", None][i % 3], t) for i, t in enumerate(odd)] + [(None, 0, "assistant", "x"), (2, None, "<|user|>", "y")]
