@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from cohortloom.llm import packing, vocab
 
 
@@ -36,3 +38,31 @@ def test_stages_keep_columns_and_follow_decisions(spark):
         mine = [p for p in pieces if p.doc_id == doc_id]
         assert sum(p.length for p in mine) == n == mine[0].doc_tokens and len(mine) == len(packing.piece_lengths(n, 2048))
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
+
+
+def test_stages_keep_columns_with_helper_names(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = ["_key", "_KEY_", "_outlier", "_repeats", "_block", "_fit", "_fit_lang", "_fit_source"]
+    marked = docs.withColumns({name: F.concat(F.lit(name), F.col("doc_id")) for name in odd})
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        out, plain = stage(spark, marked, ""), stage(spark, docs, "")
+        assert out.columns == marked.columns, name
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.select("doc_id").collect())
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in odd)
+
+
+def test_stages_on_odd_documents(spark):
+    """Null and empty texts, repeated rows and ids, null ids, and an empty table."""
+    good = "The quick brown fox jumps over a lazy dog near the old river bank while seven small birds watch it from above today."
+    data = [(1, good, "en", "a"), (1, good, "en", "a"), (None, good, None, None), (2, None, "en", "a"), (3, "", "en", "a"), (4, "one", "en", "a")]
+    docs = spark.createDataFrame([(*r, 5) for r in data], "doc_id long, text string, lang string, source string, n_chars long")
+    _, screen = corpus_pipeline.STAGES[1]
+    assert all(r.text == good for r in screen(spark, docs, "").collect())
+    _, near = corpus_pipeline.STAGES[2]
+    kept = near(spark, docs, "").collect()
+    assert [r.doc_id for r in kept if r.text == good] == [1]
+    _, repeats = corpus_pipeline.STAGES[3]
+    assert sorted(r.text or "" for r in repeats(spark, docs.filter("doc_id IN (2, 3, 4)"), "").collect()) == ["", "", "one"]
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs.limit(0), "").count() == 0
