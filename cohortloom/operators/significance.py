@@ -11,7 +11,7 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,24 +34,30 @@ def _strata(df: DataFrame, row: str, col: str, by: Iterable[str]) -> tuple[DataF
     return counts, by
 
 
-@F.pandas_udf(T.DoubleType())
-def chi2_tail(stat: pd.Series, dof: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution for whole degrees of freedom."""
-
-    def tail(x, k):
-        if not (x >= 0 and k >= 1):
-            return None
-        h, k = x / 2.0, int(k)
-        if h == 0.0:
-            return 1.0
-        # Q(k/2, h) by its finite recurrence, from Q(1, h) or Q(1/2, h).
-        total, a = (math.exp(-h), 1.0) if k % 2 == 0 else (math.erfc(math.sqrt(h)), 0.5)
-        while a < k / 2.0 - 0.25:
-            total += math.exp(a * math.log(h) - h - math.lgamma(a + 1.0))
-            a += 1.0
-        return min(total, 1.0)
-
-    return pd.Series([tail(x, k) for x, k in zip(stat, dof, strict=True)], dtype="float64")
+def _log_gamma_half(k: str) -> str:
+    """SQL text for ln Gamma(k / 2 + 1) of a whole ``k``, by Stirling's series eight steps up."""
+    x = f"({k} / 2D + 9)"
+    up = " * ".join(f"({x} - {i})" for i in range(1, 9))
+    series = f"1 / (12 * {x}) - 1 / (360 * pow({x}, 3)) + 1 / (1260 * pow({x}, 5)) - 1 / (1680 * pow({x}, 7)) + 1 / (1188 * pow({x}, 9))"
+    return f"(({x} - 0.5D) * ln({x}) - {x} + {0.5 * math.log(2 * math.pi)!r}D + {series} - ln({up}))"
+
+
+def chi2_tail(stat: str, dof: str) -> Column:
+    """Upper tail of the chi-square distribution for whole degrees of freedom: the regularised incomplete gamma function.
+
+    Below the mean its power series, above it its continued fraction, read from the far end; both are folds over a list of
+    steps. The steps grow with the root of the argument, which is enough for doubles.
+    """
+    a, h = f"({dof} / 2D)", f"({stat} / 2D)"
+    scale = f"exp({a} * ln({h}) - {h} - {_log_gamma_half(dof)})"
+    steps = f"(200 + CAST(10 * sqrt({h} + {a}) AS INT))"
+    series = f"aggregate(sequence(1, {steps}), named_struct('term', 1D, 'sum', 1D), (_f, _i) -> named_struct('term', _f.term * {h} / ({a} + _i), 'sum', _f.sum + _f.term * {h} / ({a} + _i))).sum"
+    fraction = f"aggregate(sequence({steps}, 1, -1), {h} + 2 * {steps} + 3 - {a}, (_f, _i) -> {h} + 2 * _i - 1 - {a} - _i * (_i - {a}) / _f)"
+    low, high = f"1 - {scale} * {series}", f"{scale} * {a} / ({fraction})"
+    return F.expr(
+        f"CASE WHEN {stat} IS NULL OR {dof} < 1 OR isnan({stat}) OR {stat} < 0 THEN CAST(null AS DOUBLE) WHEN {stat} = 0 THEN 1D "
+        f"WHEN {h} < {a} + 1 THEN greatest(0D, least(1D, {low})) ELSE greatest(0D, least(1D, {high})) END"
+    )
 
 
 def chi_square(df: DataFrame, row: str, col: str, by: Iterable[str] = ()) -> DataFrame:

@@ -160,6 +160,21 @@ def test_chi2_tail_values(spark):
     assert [r[0] for r in df.select(chi2_tail("s", "d")).collect()] == pytest.approx([0.05] * 5, rel=1e-9)
 
 
+def test_chi2_tail_far_and_near(spark):
+    """Against the finite sum for even degrees of freedom and the error function for one, over many magnitudes."""
+    cases = [(x, k) for x in (1e-9, 0.01, 0.7, 3.0, 9.9, 40.0, 300.0, 1200.0) for k in (1, 2, 4, 8, 50, 400)] + [(0.0, 3)]
+    df = spark.createDataFrame(cases, "s double, d bigint").coalesce(1)
+    for (x, k), row in zip(cases, df.select(chi2_tail("s", "d")).collect(), strict=True):
+        h = x / 2
+        if k == 1:
+            want = math.erfc(math.sqrt(h))
+        elif k == 3:
+            want = 1.0
+        else:
+            want = math.fsum(math.exp(i * math.log(h) - h - math.lgamma(i + 1)) for i in range(k // 2))
+        assert row[0] == pytest.approx(want, rel=1e-8, abs=1e-13), (x, k)
+
+
 def two_way(seed, levels, n):
     rnd = random.Random(seed)
     return [(rnd.randrange(levels), rnd.randrange(2)) for _ in range(n)]

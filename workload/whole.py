@@ -30,11 +30,12 @@ def _(s, d):
 
 @query(
     "report_treatment_rates_all",
-    TREATMENT_CTES + f""", people AS (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY t.account_id
+    TREATMENT_CTES.replace("treatment AS (", "treatment AS MATERIALIZED (") + f""", people AS MATERIALIZED (SELECT * FROM (SELECT t.*, row_number() OVER (PARTITION BY t.account_id
         ORDER BY k.created_date DESC, t.case_id) AS rn FROM treatment t JOIN (SELECT id, created_date FROM cases) k
         ON k.id = t.case_id) WHERE rn = 1),
-    l AS ({" UNION ALL ".join(f"SELECT '{f}' AS flag, initial_risk, CAST({f} AS VARCHAR) AS level FROM people" for f in reports.TREATMENT_FLAGS)}),
-    g AS (SELECT flag, initial_risk, level, count(*) AS n, grouping(initial_risk) AS gr, grouping(level) AS gk FROM l
+    l AS MATERIALIZED (SELECT unnest([{", ".join(f"'{f}'" for f in reports.TREATMENT_FLAGS)}]) AS flag, initial_risk,
+        unnest([{", ".join(f"CAST({f} AS VARCHAR)" for f in reports.TREATMENT_FLAGS)}]) AS level FROM people),
+    g AS MATERIALIZED (SELECT flag, initial_risk, level, count(*) AS n, grouping(initial_risk) AS gr, grouping(level) AS gk FROM l
           GROUP BY GROUPING SETS ((flag, initial_risk, level), (flag, initial_risk), (flag, level), (flag)))
     SELECT a.flag, a.initial_risk, a.level, a.n, round(a.n * 100.0::DOUBLE / b.n, 6) AS row_pct,
       CASE WHEN a.gr = 0 AND a.gk = 0 THEN 'cell' WHEN a.gr = 0 THEN 'row_total' WHEN a.gk = 0 THEN 'col_total'
