@@ -174,37 +174,70 @@ def _account_side(accounts: DataFrame, p: P.CohortParams) -> DataFrame:
     return drop_test_names(accounts, "name", p.test_tokens, "test_account")
 
 
-def cohort_requests(cases: DataFrame, accounts: DataFrame, notes: DataFrame, p: P.CohortParams) -> DataFrame:
-    """New help requests in the window, one row per person.
-
-    The person's earliest case with intake and risk assigned is kept, or else
-    the earliest case. Account rules hold for all of a person's cases or none,
-    so the pick comes first and the account join meets one row per person.
-    """
+def _requested(cases: DataFrame, p: P.CohortParams) -> DataFrame:
+    """Cases of the window that ask for help for oneself and are not ruled out."""
     c = F.col
     cases = time_window(cases, "created_date", p.start, p.end).withColumnRenamed("id", "case_id")
     cases = conj_filter(cases, c("account_id").isNotNull(), c("i_am") == P.SELF_REQUEST)
-    cases = exclude_list(cases, "status_change_reason", (*P.THIRD_PARTY_REASONS, *P.INELIGIBLE_REASONS))
+    return exclude_list(cases, "status_change_reason", (*P.THIRD_PARTY_REASONS, *P.INELIGIBLE_REASONS))
+
+
+def _contacts(notes: DataFrame, p: P.CohortParams) -> DataFrame:
+    """Notes of the window that belong to a case and are no duplicate calls."""
     notes = time_window(notes, "interaction_date_time", p.start, p.end)
-    notes = notes.filter(null_or_ne(c("call_center_type"), P.DUPLICATE_CALL) & c("case").isNotNull())
-    # One row per case on both sides: no key can be crowded.
-    requests = left_join_fill(
-        cases, _notes_per_case(notes, p), "case_id",
-        {"connected_to_client": 0, "call_center_connection": 0, "scheduler_connection": 0},
-    )
-    requests = first_per_group_priority(
-        requests, ["account_id"], [("intake_and_risk", "desc"), "created_date", "case_id"]
-    )
-    requests = inner_join(requests, _account_side(accounts, p), "account_id")
+    return notes.filter(null_or_ne(F.col("call_center_type"), P.DUPLICATE_CALL) & F.col("case").isNotNull())
+
+
+def _with_contacts(cases: DataFrame, notes: DataFrame, p: P.CohortParams) -> DataFrame:
+    """Requested cases with their contact flags; cases without notes have none. One row per case on both sides."""
+    fill = {"connected_to_client": 0, "call_center_connection": 0, "scheduler_connection": 0}
+    return left_join_fill(_requested(cases, p), _notes_per_case(_contacts(notes, p), p), "case_id", fill)
+
+
+def _derived(requests: DataFrame) -> DataFrame:
+    c = F.col
     phone = c("origin") == "Phone"
     inbound = c("origin").isNull() & (c("call_center_type") == P.INBOUND_CALL)
-    requests = requests.withColumns(
+    return requests.withColumns(
         {
             "origin": recode_value(c("origin"), [(phone | inbound, "Call Center")]),
             "month_created": F.month("created_date"),
         }
     )
-    return characteristics(requests)
+
+
+def _one_per_person(requests: DataFrame) -> DataFrame:
+    return first_per_group_priority(requests, ["account_id"], [("intake_and_risk", "desc"), "created_date", "case_id"])
+
+
+def cohort_requests(cases: DataFrame, accounts: DataFrame, notes: DataFrame, p: P.CohortParams) -> DataFrame:
+    """New help requests in the window, one row per person.
+
+    The person's earliest case with intake and risk assigned is kept, or else
+    the earliest case. Account rules hold for all of a person's cases or none,
+    so the pick comes first and the account join meets one row per person.
+    """
+    picked = _one_per_person(_with_contacts(cases, notes, p))
+    return characteristics(_derived(inner_join(picked, _account_side(accounts, p), "account_id")))
+
+
+def request_cases(cases: DataFrame, accounts: DataFrame, notes: DataFrame, p: P.CohortParams) -> DataFrame:
+    """New help requests in the window, one row per case, before one case per person is picked.
+
+    Write it once: ``reports.request_case_report`` and ``request_people`` both read it.
+    """
+    return _derived(inner_join(_with_contacts(cases, notes, p), _account_side(accounts, p), "account_id"))
+
+
+def request_people(per_case: DataFrame) -> DataFrame:
+    """``cohort_requests`` from the written frame of ``request_cases``."""
+    return characteristics(_one_per_person(per_case))
+
+
+def request_notes(cases: DataFrame, accounts: DataFrame, notes: DataFrame, p: P.CohortParams) -> DataFrame:
+    """Notes of the requested cases of real accounts."""
+    kept = inner_join(_requested(cases, p), _account_side(accounts, p), "account_id")
+    return key_semi_join(_contacts(notes, p), "case", kept, "case_id")
 
 
 def cohort_established(requests: DataFrame, reasons=P.NOT_ESTABLISHED_REASONS) -> DataFrame:

@@ -53,6 +53,16 @@ def characteristics_report(cohort: DataFrame, cols: Iterable[str] = tuple(REQUES
     return freq_multi(cohort, cols)
 
 
+def request_case_report(per_case: DataFrame) -> DataFrame:
+    """Frequency tables of closing reason, origin, contacts and connections over cases."""
+    return freq_multi(per_case, ["status_change_reason", "origin", "n_notes", "connected_to_client", "call_center_connection", "scheduler_connection"])
+
+
+def request_note_report(notes: DataFrame) -> DataFrame:
+    """Frequency tables of the contacts of requested cases."""
+    return freq_multi(notes, ["call_center_type", "connection_outcome", "case_note_type", "session_type"])
+
+
 def connected_by_month(requests: DataFrame, months: Iterable[int]) -> DataFrame:
     """Connection frequencies of the cases created in the given calendar months."""
     return freq_multi(requests.filter(F.col("month_created").isin(list(months))), ["connected_to_client"])

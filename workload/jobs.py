@@ -14,7 +14,7 @@ from cohortloom import plans
 from cohortloom.plans import reports
 from cohortloom.plans.indicators import scored_people
 from cohortloom.sources import survey_scan, write_csv
-from workload.cohorts import CARE, LEVELS, REQUEST_CTES, SCORING_CTES, TRAITS, TREATMENT_CTES, requests, scoring, treatment, window
+from workload.cohorts import CARE, LEVELS, REQUEST_CTES, REQUEST_NAMES, REQUESTS, SCORING_CTES, TRAITS, TREATMENT_CTES, requests, scoring, treatment, window
 from workload.groups import base, trajectory_sql
 from workload.mapping import RISK_FACTORS, cte, view
 from workload.registry import query, rounded, table
@@ -55,6 +55,44 @@ def _(s, d):
     return rounded(reports.connected_by_month(requests(s, d), [12, 1, 2]), *PCT)
 
 
+PER_CASE = ["account_id", "case_id", "origin", "status_change_reason", "n_notes", "connected_to_client", "call_center_connection",
+            "scheduler_connection", "intake_and_risk", "initial_risk", "month_created"]
+CASE_COLUMNS = ["status_change_reason", "origin", "n_notes", "connected_to_client", "call_center_connection", "scheduler_connection"]
+
+
+def request_cases(s, d):
+    return plans.request_cases(view(s, d, "cases"), view(s, d, "accounts"), view(s, d, "notes"), REQUESTS)
+
+
+@query(
+    "cohort_request_cases",
+    REQUEST_CTES + """ SELECT account_id, case_id, origin_ AS origin, status_change_reason, n_notes, connected_to_client, call_center_connection,
+      scheduler_connection, intake_and_risk, initial_risk, CAST(month(case_created) AS INT) AS month_created FROM joined""",
+)
+def _(s, d):
+    return request_cases(s, d).select(*PER_CASE)
+
+
+@query("cohort_request_people", REQUEST_CTES + " SELECT * FROM requests")
+def _(s, d):
+    return plans.request_people(request_cases(s, d)).select(*REQUEST_NAMES)
+
+
+@query("report_request_cases", REQUEST_CTES + f" SELECT * FROM ({freq_sql('joined', {c: {'origin': 'origin_'}.get(c, c) for c in CASE_COLUMNS}, True)})")
+def _(s, d):
+    return rounded(reports.request_case_report(request_cases(s, d)), *PCT)
+
+
+@query(
+    "report_request_notes",
+    REQUEST_CTES + f""", asked AS (SELECT * FROM nn WHERE "case" IN (SELECT case_id FROM base))
+    SELECT * FROM ({freq_sql('asked', {c: c for c in ("call_center_type", "connection_outcome", "case_note_type", "session_type")}, True)})""",
+)
+def _(s, d):
+    notes = plans.request_notes(view(s, d, "cases"), view(s, d, "accounts"), view(s, d, "notes"), REQUESTS)
+    return rounded(reports.request_note_report(notes), *PCT)
+
+
 # --- people in care ----------------------------------------------------------------------------
 
 PEOPLE = TREATMENT_CTES + """, people AS (SELECT * FROM (SELECT t.*, k.owner_id, k.case_number, row_number() OVER (PARTITION BY t.account_id
