@@ -301,3 +301,30 @@ def test_points_read_off_the_curve(spark):
     assert rows(out, "target", "value", "pct_change") == [(4.0, 12.0, 20.0), (8.0, 5.0, -50.0)]
     scaled = op.pct_change_points(df, "x", "y", 0, [8], scale=5)
     assert rows(scaled, "pct_change") == [(100.0,)]
+
+
+def test_trend_band_matches_least_squares(spark):
+    """Weights, residual variance and standard errors against dense matrices over all rows."""
+    rnd = np.random.default_rng(6)
+    x = rnd.integers(0, 25, 160).astype(float)
+    y = np.sin(x / 5) + rnd.normal(0, 0.3, 160)
+
+    def weights(at):
+        d = np.abs(x - at)
+        order = np.sort(d)
+        h = order[int(np.floor(160 * 0.75 + 1e-5)) - 1]
+        w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0)
+        basis = np.vander((x - at) / h, 3, increasing=True)
+        return np.linalg.solve(basis.T @ (basis * w[:, None]), (basis * w[:, None]).T)[0]
+
+    smoother = np.array([weights(v) for v in x])
+    rest = np.eye(160) - smoother
+    variance = ((rest @ y) ** 2).sum() / np.trace(rest @ rest.T)
+    df = spark.createDataFrame([("a", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("few", 1.0, 1.0), ("few", 2.0, 3.0), (None, None, 1.0)], "k string, x double, y double")
+    got = op.local_trend(df, "x", "y", by=["k"], grid=20, se=True).collect()
+    plain = {(r.k, r.grid_index): r.y for r in op.local_trend(df, "x", "y", by=["k"], grid=20).collect()}
+    for r in (r for r in got if r.k == "a"):
+        part = weights(r.x)
+        assert r.y == pytest.approx(part @ y, rel=1e-8) and r.y == pytest.approx(plain["a", r.grid_index], rel=1e-8)
+        assert r.se == pytest.approx(math.sqrt(variance * (part**2).sum()), rel=1e-7)
+    assert all(r.y is None and r.se is None for r in got if r.k != "a") and sum(r.k == "a" for r in got) == 20

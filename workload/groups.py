@@ -355,3 +355,27 @@ def _(s, d):
 def _(s, d):
     curve = op.local_trend(weeks_since_first(s, d), "week", "price")
     return rounded(curve, "week", "price", places=4)
+
+
+@query(
+    "local_trend_band",
+    f"""
+    WITH p AS (SELECT CAST(week AS DOUBLE) AS x, count(*) AS n, sum(price) AS sy, sum(price * price) AS syy FROM {WEEKLY} GROUP BY 1),
+    b AS (SELECT min(x) AS lo, max(x) AS hi, sum(n) AS total FROM p),
+    g AS (SELECT 'grid' AS kind, CAST(i AS DOUBLE) AS i, lo + (hi - lo) * i / 79.0 AS x0, total FROM b, (SELECT unnest(range(80)) AS i)
+      UNION ALL SELECT 'week', x, x, total FROM p, b),
+    d AS (SELECT g.*, x, n, sy, abs(x - x0) AS d, sum(n) OVER (PARTITION BY kind, i ORDER BY abs(x - x0), x) AS within FROM g, p),
+    h AS (SELECT *, min(d) FILTER (within >= floor(total * 0.75 + 1e-5)) OVER (PARTITION BY kind, i) AS h FROM d),
+    w AS (SELECT *, (x - x0) / h AS u, CASE WHEN d < h THEN pow(1 - pow(d / h, 3), 3) ELSE 0 END AS w FROM h),
+    m AS (SELECT kind, i, sum(w * n) AS a, sum(w * n * u) AS b, sum(w * n * u * u) AS c, sum(w * n * pow(u, 3)) AS d3, sum(w * n * pow(u, 4)) AS e
+      FROM w GROUP BY 1, 2),
+    l AS (SELECT w.kind, w.i, x0, x, n, sy, w * ((c * e - d3 * d3) + (c * d3 - b * e) * u + (b * d3 - c * c) * u * u)
+        / (a * (c * e - d3 * d3) + b * (c * d3 - b * e) + c * (b * d3 - c * c)) AS l FROM w JOIN m ON m.kind = w.kind AND m.i = w.i),
+    f AS (SELECT kind, i, x0, sum(l * sy) AS fit, sum(n * l * l) AS norm, max(l) FILTER (x = x0) AS own FROM l GROUP BY 1, 2, 3),
+    v AS (SELECT sum(syy - 2 * fit * sy + n * fit * fit) / (sum(n) - 2 * sum(n * own) + sum(n * norm)) AS v FROM f JOIN p ON p.x = f.x0 WHERE kind = 'week')
+    SELECT CAST(i AS INT) AS grid_index, round(x0, 4) AS week, round(fit / 100, 2) AS price, round(sqrt(v * norm) / 100, 2) AS se FROM f, v WHERE kind = 'grid'""",
+)
+def _(s, d):
+    band = op.local_trend(weeks_since_first(s, d), "week", "price", se=True)
+    band = band.withColumns({"price": F.col("price") / 100, "se": F.col("se") / 100})
+    return rounded(rounded(band, "week", places=4), "price", "se", places=2)
