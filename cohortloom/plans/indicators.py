@@ -9,6 +9,9 @@ it has crisis dates.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import mul
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -343,14 +346,54 @@ def _first_notes(notes: DataFrame) -> DataFrame:
     )
 
 
+def tie_counts(cohort: DataFrame, forms: DataFrame, notes: DataFrame, ip: P.IndicatorParams) -> DataFrame:
+    """``case_id`` and ``n_rows``: how often a case would stand in the result if every indicator kept its tied records.
+
+    An indicator keeps the records of its earliest date, a ramp those of its largest value and then of its earliest date; the
+    case stands there as often as the product of these numbers. Records are counted per case and date, then per case, by
+    map-side aggregates; no record meets another. The storage indicator keeps its one latest plan.
+    """
+    c = F.col
+    free, bound = _phrases(ip)
+    alive = survived_30(c(LAST), c("crisis_date_crisis_occurred"))
+    rules = {"01": free | (bound & alive), **{n: r & alive for n, r in _dated_rules(ip).items()}, **_plain_rules(ip)}
+    ramps = {
+        "07": _screen_ramp(c(LAST), c("created_date")),
+        "08": F.when(_cognition_positive(), ramp(c(LAST), c("created_date"), P.COGNITION_RAMP)),
+    }
+    # All positive values of one ramp, case and date are equal.
+    per_date = form_frame(cohort, forms).groupBy("case_id", "created_date").agg(
+        *[F.count_if(r).alias(f"n{n}") for n, r in rules.items()], *[F.count_if(v > 0).alias(f"n{n}") for n, v in ramps.items()],
+        *[F.max(v).alias(f"v{n}") for n, v in ramps.items()],
+    )
+    first = {n: F.when(c(f"n{n}") > 0, F.struct(F.lit(0.0).alias("v"), c("created_date").alias("d"))) for n in rules}
+    first |= {n: F.when(c(f"n{n}") > 0, F.struct((-c(f"v{n}")).alias("v"), c("created_date").alias("d"))) for n in ramps}
+    per_case = per_date.groupBy("case_id").agg(*[F.min_by(f"n{n}", order).alias(f"n{n}") for n, order in first.items()])
+    level, since = c("overall_risk_level"), c("note_created_date")
+    risk = F.when(level == "HRC", ramp(c(LAST), since, P.HIGH_RAMP)).when(level == "MRC", ramp(c(LAST), since, P.MODERATE_RAMP))
+    noted = note_frame(cohort, notes).withColumn("_v", risk).filter(c("_v") > 0).groupBy("case_id", "_v", since.alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    noted = noted.groupBy("case_id").agg(F.min_by("_n", F.struct((-c("_v")).alias("v"), c("_d").alias("d"))).alias("n09"))
+    names = [f"n{n}" for n in [*first, "09"]]
+    rows = reduce(mul, [F.greatest(F.coalesce(n, F.lit(1)), F.lit(1)).cast("long") for n in names])
+    return per_case.join(noted, "case_id", "full").select("case_id", rows.alias("n_rows"))
+
+
 def indicator_assembly(
-    cohort: DataFrame, forms: DataFrame, notes: DataFrame, ip: P.IndicatorParams = P.IndicatorParams()
+    cohort: DataFrame, forms: DataFrame, notes: DataFrame, ip: P.IndicatorParams = P.IndicatorParams(), ties: str = "one"
 ) -> DataFrame:
     """One row per case: every indicator, the score and its date.
 
     ``notes`` are the connected notes. An attempt without impact zeroes the
-    ramp and storage indicators; death zeroes the score.
+    ramp and storage indicators; death zeroes the score. With ``ties='keep'`` a
+    case has one row for every combination of its tied records (``tie_counts``).
     """
+    if ties not in ("one", "keep"):
+        raise ValueError(f"unknown ties {ties!r}")
+    if ties == "keep":
+        once = indicator_assembly(cohort, forms, notes, ip)
+        counted = once.join(tie_counts(cohort, forms, notes, ip), "case_id", "left")
+        times = F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("n_rows", F.lit(1)).cast("long"))).alias("_time")
+        return counted.select(*once.columns, times).drop("_time")
     case_cols = [
         "account_id", "account_created_date", "case_id", "case_created_date", "status_change_reason", LAST,
         *HIGH_ITEMS, *MODERATE_ITEMS,

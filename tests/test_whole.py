@@ -6,6 +6,7 @@ from collections import Counter
 from math import comb
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import workload
@@ -66,3 +67,28 @@ def test_rates_cover_every_flag_and_scores_every_date(spark):
     assert {r.flag for r in rates} == set(reports.TREATMENT_FLAGS)
     scores = entry.queries()["indicator_assembly_all"](spark, FOLDER)
     assert {f"d{n}" for n in ("01", "02", "03", "04", "05a", "05b", "07", "08", "09", "11", "12")} <= set(scores.columns)
+
+
+def test_kept_ties_multiply(spark):
+    """Every form twice, under two ids: a case stands there twice as often for each indicator that comes from forms."""
+    from cohortloom import plans
+    from workload import cohorts as w
+    from workload.mapping import view
+
+    folder = "/root/testdata/sf0.01"
+    cohort, notes = w.scoring(spark, folder), plans.connected_notes(view(spark, folder, "notes"), w.CARE)
+    forms = view(spark, folder, "forms")
+    twice = forms.unionByName(forms.withColumn("id", F.concat("id", F.lit("-copy"))))
+    once = {r.case_id: r for r in plans.indicator_assembly(cohort, forms, notes, w.INTENDED).collect()}
+    single = Counter(r.case_id for r in plans.indicator_assembly(cohort, forms, notes, w.INTENDED, ties="keep").select("case_id").collect())
+    double = Counter(r.case_id for r in plans.indicator_assembly(cohort, twice, notes, w.INTENDED, ties="keep").select("case_id").collect())
+    assert single.keys() == double.keys() == once.keys()
+    grown = 0
+    for case, row in once.items():
+        if row.i05b is None:
+            found = sum(row[f"i{n}"] is not None for n in ("01", "02", "03", "04", "05a", "07", "08", "12"))
+            assert double[case] == single[case] * 2**found
+            grown += found > 0
+    assert grown > 0
+    with pytest.raises(ValueError):
+        plans.indicator_assembly(cohort, forms, notes, w.INTENDED, ties="some")

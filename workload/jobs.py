@@ -13,8 +13,11 @@ from cohortloom import params as P
 from cohortloom import plans
 from cohortloom.plans import reports
 from cohortloom.plans.indicators import scored_people
-from cohortloom.sources import survey_scan, write_csv
-from workload.cohorts import CARE, LEVELS, REQUEST_CTES, REQUEST_NAMES, REQUESTS, SCORING_CTES, TRAITS, TREATMENT_CTES, requests, scoring, treatment, window
+from cohortloom.sources import survey_scan, time_window, write_csv
+from workload.cohorts import (
+    ASSEMBLY, CARE, HIGH, INTENDED, LEVELS, MODERATE, REQUEST_CTES, REQUEST_NAMES, REQUESTS, SCORE_NAMES, SCORING_CTES, SINGLE, TRAITS,
+    TREATMENT_CTES, requests, scoring, treatment, window,
+)
 from workload.groups import base, trajectory_sql
 from workload.mapping import RISK_FACTORS, cte, view
 from workload.registry import query, rounded, table
@@ -266,6 +269,37 @@ def _(s, d):
     return scored_people(scoring(s, d)).select("account_id", "case_id", "case_created_date")
 
 
+TIED = {n: SINGLE[n].split(" WHERE ", 1)[1].rsplit(" GROUP BY", 1)[0] for n in ("01", "02", "03", "04", "12")}
+TIED |= {"05a": "recent_suicide_attempt = 'Yes' AND impact = 'Yes'", "05b": "recent_suicide_attempt = 'Yes' AND impact <> 'No'"}
+TIES = "".join(
+    f",\nk{n} AS (SELECT case_id FROM (SELECT case_id, rank() OVER (PARTITION BY case_id ORDER BY created_date) AS rk FROM frame WHERE {cond}) WHERE rk = 1)"
+    for n, cond in TIED.items()
+)
+RAMPS = {n: SINGLE[n].split("SELECT case_id, last_at, ", 1)[1].rsplit(" FROM frame) WHERE v > 0", 1)[0].removesuffix(" AS v") for n in ("07", "08")}
+TIES += "".join(
+    f",\nk{n} AS (SELECT case_id FROM (SELECT case_id, rank() OVER (PARTITION BY case_id ORDER BY round(v, 12) DESC, created_date) AS rk FROM"
+    f" (SELECT case_id, created_date, {v} AS v FROM frame) WHERE v > 0) WHERE rk = 1)"
+    for n, v in RAMPS.items()
+)
+TIES += f""",
+k09 AS (SELECT case_id FROM (SELECT case_id, rank() OVER (PARTITION BY case_id ORDER BY round(v, 12) DESC, note_created_date) AS rk FROM
+  (SELECT case_id, note_created_date, CASE WHEN overall_risk_level = 'HRC' THEN {HIGH} WHEN overall_risk_level = 'MRC' THEN {MODERATE} END AS v FROM
+    (SELECT c.case_id, n.note_created_date, n.overall_risk_level,
+       date_diff('day', CAST(n.note_created_date AS DATE), CAST(c.last_connection_date_time AS DATE)) / 30.0::DOUBLE AS m
+     FROM cohort c JOIN linked n USING (case_id))) WHERE v > 0) WHERE rk = 1)"""
+
+
+@query(
+    "indicator_assembly_ties",
+    ASSEMBLY + TIES + f""" SELECT {', '.join(f't.{n}' for n in SCORE_NAMES)}, round(CASE WHEN i06 = 1 THEN 0.0 ELSE top END, 6) AS score FROM t
+      {' '.join(f'LEFT JOIN k{n} ON k{n}.case_id = t.case_id' for n in [*TIED, *RAMPS, '09'])}""",
+)
+def _(s, d):
+    forms = time_window(view(s, d, "forms"), "created_date", CARE.start, CARE.end)
+    out = plans.indicator_assembly(scoring(s, d), forms, plans.connected_notes(view(s, d, "notes"), CARE), INTENDED, ties="keep")
+    return rounded(out.select(*SCORE_NAMES, "score"), "i07", "i08", "i09", "score")
+
+
 # --- CSV ------------------------------------------------------------------------------------------
 
 
