@@ -65,29 +65,34 @@ class _Shard:
 
     def __init__(self, number: int, block_ids: int, bits: bool, level: int):
         self.number, self.block_ids, self.bits, self.level = number, block_ids, bits, level
-        self.parts, self.held, self.pieces, self.chunk, self.first, self.row, self.total = [], 0, [], 0, 0, 0, 0
+        self.parts, self.held, self.chunk, self.first, self.row, self.total = [], 0, 0, 0, 0, 0
+        self.pieces: list[list] = [[] for _ in _ARROW_PIECE]
 
     def add(self, doc_id: int | None, ids: bytes):
-        """Yields the blocks that become full."""
+        """Yields the blocks that become full, each as a batch of one row."""
         n, done = len(ids) // 4, 0
         at, self.total = self.total, self.total + n
         while done < n:
             take = min(n - done, self.block_ids - self.held)
             self.parts.append(ids[4 * done : 4 * (done + take)])
-            self.pieces.append({"row": self.row, "doc_id": doc_id, "at": at, "n_tokens": n, "from": done, "n": take})
+            for values, value in zip(self.pieces, (self.row, doc_id, at, n, done, take), strict=True):
+                values.append(value)
             self.held, done = self.held + take, done + take
             if self.held == self.block_ids:
                 yield self.block()
         self.row += 1
 
-    def block(self) -> dict:
+    def block(self) -> pa.RecordBatch:
         planes = to_planes(np.frombuffer(b"".join(self.parts), "<u4"), self.bits, self.level)
-        out = {
-            "shard": self.number, "chunk": self.chunk, "first": self.first, "n_ids": self.held, "planes": planes,
-            "plane_bytes": [len(p) for p in planes], "bits": self.bits, "pieces": self.pieces,
-        }
+        columns = [pa.array(v, f.type) for v, f in zip(self.pieces, _ARROW_PIECE, strict=True)]
+        pieces = pa.StructArray.from_arrays(columns, fields=list(_ARROW_PIECE))
+        row = [
+            [self.number], [self.chunk], [self.first], [self.held], [planes], [[len(p) for p in planes]], [self.bits],
+            pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces),
+        ]
+        out = pa.RecordBatch.from_arrays([pa.array(v, f.type) if isinstance(v, list) else v for v, f in zip(row, _ARROW_CHUNK, strict=True)], schema=_ARROW_CHUNK)
         self.first, self.chunk = self.first + self.held, self.chunk + 1
-        self.parts, self.held, self.pieces = [], 0, []
+        self.parts, self.held, self.pieces = [], 0, [[] for _ in _ARROW_PIECE]
         return out
 
 
@@ -113,10 +118,9 @@ def write_token_files(
         shard = _Shard(TaskContext.get().partitionId(), block_ids, bits, level)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for block in shard.add(doc_id, vocab.encode_packed(path, text) + end):
-                    yield pa.RecordBatch.from_pylist([block], _ARROW_CHUNK)
+                yield from shard.add(doc_id, vocab.encode_packed(path, text) + end)
         if shard.held:
-            yield pa.RecordBatch.from_pylist([shard.block()], _ARROW_CHUNK)
+            yield shard.block()
 
     order = ["doc_id", F.xxhash64("text")]
     texts = id_and_text(docs, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
@@ -146,22 +150,26 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     travel, to be joined."""
     schema = "shard int, row long, doc_id long, at long, n_tokens long, from long, crc long, part binary"
     names = ["shard", "row", "doc_id", "at", "n_tokens", "from", "crc", "part"]
-    kinds = [pa.int32(), *[pa.int64()] * 6, pa.binary()]
 
     def decode(batches):
         for batch in batches:
-            for chunk in batch.to_pylist():
-                raw = from_planes(chunk["planes"], chunk["n_ids"], chunk["bits"]).tobytes()
-                rows, pos = [], 0
-                for p in chunk["pieces"]:
-                    part = raw[4 * pos : 4 * (pos + p["n"])]
-                    pos += p["n"]
-                    whole = p["n"] == p["n_tokens"]
-                    rows.append((
-                        chunk["shard"], p["row"], p["doc_id"], p["at"], p["n_tokens"], p["from"],
-                        zlib.crc32(part) if whole else None, None if whole else part,
-                    ))
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            lists = batch.column("pieces")
+            for k in range(batch.num_rows):
+                chunk = {f: batch.column(f)[k].as_py() for f in ("shard", "n_ids", "planes", "bits")}
+                raw = memoryview(from_planes(chunk["planes"], chunk["n_ids"], chunk["bits"]).tobytes())
+                pieces = lists[k].values
+                n, tokens = (pieces.field(f).to_numpy() for f in ("n", "n_tokens"))
+                ends = 4 * np.cumsum(n, dtype=np.int64)
+                bounds = zip((ends - 4 * n.astype(np.int64)).tolist(), ends.tolist(), (n == tokens).tolist(), strict=True)
+                crcs, parts = [], []
+                for start, end, whole in bounds:
+                    crcs.append(zlib.crc32(raw[start:end]) if whole else None)
+                    parts.append(None if whole else bytes(raw[start:end]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(pieces), chunk["shard"], np.int32)),
+                    *[pieces.field(f) for f in ("row", "doc_id", "at", "n_tokens", "from")],
+                    pa.array(crcs, pa.int64()), pa.array(parts, pa.binary()),
+                ], names)
 
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(f"{folder}/chunks")
     pieces = chunks.select("shard", "n_ids", "planes", "bits", "pieces").mapInArrow(decode, schema)

@@ -15,8 +15,7 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-from array import array
+import struct
 from functools import lru_cache
 
 #: White space of the pattern's ``\s``, as a character class without its brackets (fixed values: Unicode White_Space).
@@ -26,8 +25,8 @@ _RARE_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f
 _TAIL = ".,!?;:#$%&*|\"')>"
 #: Letters below this have the same class in every Unicode version and are stable under NFC.
 _SAFE_BELOW = "ɐ"
-#: Chunks (and words) kept by one worker's caches, and the longest chunk kept.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 48
+#: Chunks kept by one generation of a worker's cache (there are two), and the longest chunk kept.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 48
 
 
 @lru_cache(maxsize=1)
@@ -68,75 +67,74 @@ def plain_chunks(text: str) -> bool:
     return text.isascii() or not _RARE_WHITE.search(text)
 
 
+def plain_word(word: str) -> bool:
+    """Whether a word is of letters only that normalisation leaves alone."""
+    return word.isalpha() and (word.isascii() or max(word) < _SAFE_BELOW)
+
+
 class ChunkTable(dict):
-    """What ``value`` makes of a chunk's ids, by chunk. Without ``lead`` chunks are encoded as they stand; with it a
-    chunk stands for itself after one space, unless it starts with a newline."""
+    """The value of each chunk. Without ``lead`` chunks are encoded as they stand; with it a chunk stands for itself after
+    one space, unless it starts with a newline.
+
+    A bounded cache of two generations: a full table becomes the old one, and chunks that are met again move back.
+    """
 
     def __init__(self, encoder: ChunkEncoder, lead: bool):
-        self.encoder, self.lead = encoder, lead
+        self.encoder, self.lead, self.old = encoder, lead, {}
 
     def __missing__(self, chunk: str):
-        text = " " + chunk if self.lead and chunk[:1] != "\n" else chunk
-        value = self.encoder.value(self.encoder.chunk_ids(text))
+        value = self.old.get(chunk)
+        if value is None:
+            value = self.encoder.chunk_value(chunk, self)
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = self.copy()
                 self.clear()
             self[chunk] = value
         return value
 
 
 class ChunkEncoder:
-    """Encodes texts chunk by chunk. ``value`` turns the ids of a chunk into what is kept for it."""
+    """Encodes texts chunk by chunk. ``value`` turns a list of ids into what is kept; the value of two lists in a row must
+    be the sum of their values, as with packed bytes or lengths."""
 
     def __init__(self, tokenizer, word_level: bool, value):
         self.tokenizer, self.model, self.word_level, self.value = tokenizer, tokenizer.model, word_level, value
         self.exact, self.spaced = ChunkTable(self, False), ChunkTable(self, True)
-        self.words: dict[str, list[int]] = {}
+        self.words = self.exact, self.spaced
+        self.marks: dict = {}
 
-    def library_ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids if text else []
+    def library_value(self, text: str):
+        return self.value(self.tokenizer.encode(text, add_special_tokens=False).ids if text else [])
 
-    def chunk_ids(self, chunk: str) -> list[int]:
+    def chunk_value(self, chunk: str, table: ChunkTable):
         """A chunk is often a word with trailing punctuation: the word is one pre-token for the model, and the
         punctuation after a letter is always a pre-token of its own."""
+        lead = table.lead and chunk[:1] != "\n"
+        word = chunk.lower() if self.word_level else chunk
+        if plain_word(word):
+            shown = word if word.isascii() else to_byte_characters(word)  # ASCII letters stand for themselves
+            return self.value([t.id for t in self.model.tokenize(_SPACE + shown if lead else shown)])
         core = chunk.rstrip(_TAIL)
-        tail = chunk[len(core):]
-        head = ""
+        tail, head = chunk[len(core):], ""
         if core[:1] == "\n" and not self.word_level:
             head, core = "\n", core[1:]
-        word = core[1:] if core[:1] == " " else core
-        if self.word_level:
-            word = core = word.lower()
-        if not word.isalpha() or not (word.isascii() or max(word) < _SAFE_BELOW):
-            return self.library_ids(chunk)
-        ids = self.word_ids(core)
+        if core[:1] == " ":
+            lead, core = True, core[1:]
+        if not plain_word(core.lower() if self.word_level else core):
+            return self.library_value(" " + chunk if table.lead and chunk[:1] != "\n" else chunk)
+        value = self.words[lead][core]
         if head:
-            ids = self.mark_ids(head) + ids
-        return ids + self.mark_ids(tail) if tail else ids
-
-    def word_ids(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            if word.isascii():  # letters stand for themselves
-                shown = _SPACE + word[1:] if word[0] == " " else word
-            else:
-                shown = to_byte_characters(word)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            self.keep(word, ids)
-        return ids
-
-    def mark_ids(self, marks: str) -> list[int]:
-        ids = self.words.get(marks)
-        if ids is None:
-            ids = self.library_ids(marks)
-            self.keep(marks, ids)
-        return ids
-
-    def keep(self, text: str, ids: list[int]) -> None:
-        if len(text) <= CACHE_CHARS:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            self.words[text] = ids
+            value = self.mark_value(head) + value
+        return value + self.mark_value(tail) if tail else value
+
+    def mark_value(self, marks: str):
+        value = self.marks.get(marks)
+        if value is None:
+            value = self.library_value(marks)
+            if len(marks) <= CACHE_CHARS and len(self.marks) < CACHE_ENTRIES:
+                self.marks[marks] = value
+        return value
 
     def values(self, text: str):
         """The kept values of a text's chunks, in order."""
@@ -157,11 +155,13 @@ def _after(first, rest):
     return chain((first,), rest)
 
 
+_PACKERS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def pack(ids: list[int]) -> bytes:
-    packed = array("I", ids)
-    if sys.byteorder == "big":
-        packed.byteswap()
-    return packed.tobytes()
+    """Ids as little-endian unsigned 32-bit integers."""
+    n = len(ids)
+    return _PACKERS[n](*ids) if n < 64 else struct.pack(f"<{n}I", *ids)
 
 
 @lru_cache(maxsize=4)
