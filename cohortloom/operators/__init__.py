@@ -54,6 +54,7 @@ from cohortloom.operators.stats import (
     numeric_totals,
     profile_table,
 )
+from cohortloom.operators.spline import spline_trend
 from cohortloom.operators.trend import local_trend, nearest_point, pct_change_points, weekly_mean
 
 __all__ = [
@@ -66,6 +67,6 @@ __all__ = [
     "min_date_ties", "multi_flag_means", "na_subset", "na_subset_freq", "nearest_point",
     "note_detail_join", "nps_flags", "nps_score", "null_safe_join", "numeric_totals",
     "pct_change_points", "priority_sort", "profile_table", "project", "regroup_sizes",
-    "rename_labels", "running_days", "session_number", "strict_group_max", "trajectory_multi",
+    "rename_labels", "running_days", "session_number", "spline_trend", "strict_group_max", "trajectory_multi",
     "trajectory_score", "weekly_mean",
 ]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators.skew import attach
+from cohortloom.operators.spline import spline_trend
 
 
 def weekly_mean(df: DataFrame, week: str, measures: Iterable[str]) -> DataFrame:
@@ -24,7 +25,8 @@ def weekly_mean(df: DataFrame, week: str, measures: Iterable[str]) -> DataFrame:
 
 
 def local_trend(
-    df: DataFrame, x: str, y: str, by: Iterable[str] = (), span: float = 0.75, grid: int = 80, se: bool = False
+    df: DataFrame, x: str, y: str, by: Iterable[str] = (), span: float = 0.75, grid: int = 80, se: bool = False,
+    method: str = "local",
 ) -> DataFrame:
     """Local quadratic regression of ``y`` on a whole-number ``x``, on an even grid over its range.
 
@@ -32,9 +34,14 @@ def local_trend(
     grid. The bandwidth of a grid point is the distance within which the nearest
     ``span`` share of all rows lies; weights are tricube. Fewer than three
     distinct x, or a degenerate neighbourhood, give no value. With ``se`` there is a column ``se``, the standard error of
-    each value (see ``trend_band``).
+    each value (see ``trend_band``). ``method="spline"`` gives the penalised spline of ``spline_trend`` instead; the caller
+    chooses, never the size of the data.
     """
     by = list(by)
+    if method not in ("local", "spline"):
+        raise ValueError("method must be local or spline")
+    if method == "spline":
+        return spline_trend(df, x, y, by, grid=grid, se=se)
     if se:
         return trend_band(df, x, y, by, span, grid)
     if not by:

@@ -328,3 +328,69 @@ def test_trend_band_matches_least_squares(spark):
         assert r.y == pytest.approx(part @ y, rel=1e-8) and r.y == pytest.approx(plain["a", r.grid_index], rel=1e-8)
         assert r.se == pytest.approx(math.sqrt(variance * (part**2).sum()), rel=1e-7)
     assert all(r.y is None and r.se is None for r in got if r.k != "a") and sum(r.k == "a" for r in got) == 20
+
+
+def dense_spline(x, y, grid, pieces=10):
+    """The same spline from dense matrices over all rows; the basis by recursion over its degree."""
+    from cohortloom.operators.spline import PENALTIES
+
+    lo, hi, m = x.min(), x.max(), pieces + 3
+
+    def design(v):
+        s = (v - lo) / (hi - lo) * pieces
+        knots = np.arange(-3, pieces + 4)
+        b = ((s[:, None] >= knots[:-1]) & (s[:, None] < knots[1:])).astype(float)
+        for d in range(1, 4):
+            b = (s[:, None] - knots[: -d - 1]) / d * b[:, :-1] + (knots[d + 1 :] - s[:, None]) / d * b[:, 1:]
+        return b[:, :m]
+
+    basis = design(x)
+    # Second derivatives are linear on an interval: Simpson's rule is exact for their products.
+    form = np.zeros((m, m))
+    second = np.diff(np.eye(m), 2, axis=0)
+    for k in range(pieces):
+        ends = second[k], (second[k] + second[k + 1]) / 2, second[k + 1]
+        form += sum(w * np.outer(e, e) for w, e in zip((1 / 6, 4 / 6, 1 / 6), ends, strict=True))
+    own = np.trace(basis.T @ basis) / np.trace(form)
+    best = None
+    for p in PENALTIES:
+        pen = 10**p * own
+        a = basis.T @ basis + pen * form
+        c = np.linalg.solve(a, basis.T @ y)
+        left = ((y - basis @ c) ** 2).sum() + pen * c @ form @ c
+        score = (len(x) - 2) * np.log(left) + np.linalg.slogdet(a)[1] - (m - 2) * np.log(pen)
+        if best is None or score <= best[0]:
+            best = score, c, left, a
+    at = design(np.nextafter(lo + (hi - lo) * np.arange(grid) / (grid - 1), -np.inf).clip(lo))
+    variance = best[2] / (len(x) - 2)
+    return at @ best[1], np.sqrt(variance * np.einsum("ij,ji->i", at, np.linalg.solve(best[3], at.T)))
+
+
+def test_spline_trend_matches_dense_least_squares(spark):
+    rnd = np.random.default_rng(8)
+    x = rnd.integers(0, 40, 600).astype(float)
+    wave = 50 + 5 * np.sin(x / 5) + rnd.normal(0, 1, 600)
+    line = 3 - 0.2 * x + rnd.normal(0, 2, 600)
+    sparse = np.where(x < 10, x, np.where(x > 30, x, np.nan))  # a gap: intervals without rows
+    data = [("wave", float(a), float(b)) for a, b in zip(x, wave, strict=True)]
+    data += [("line", float(a), float(b)) for a, b in zip(x, line, strict=True)]
+    data += [("gap", float(a), float(b)) for a, b in zip(sparse, wave, strict=True) if a == a]
+    data += [("few", 1.0, 1.0), ("few", 2.0, 3.0), ("one", 5.0, 1.0), ("flat", 1.0, 7.0), ("flat", 2.0, 7.0), ("flat", 4.0, 7.0)]
+    data += [("wave", None, 1.0), ("wave", 3.0, None), (None, None, None)]
+    df = spark.createDataFrame(data, "k string, x double, y double")
+    got = {}
+    for r in op.local_trend(df, "x", "y", by=["k"], grid=21, se=True, method="spline").collect():
+        got.setdefault(r.k, {})[r.grid_index] = r
+    held = ~np.isnan(sparse)
+    for k, (a, b) in {"wave": (x, wave), "line": (x, line), "gap": (sparse[held], wave[held])}.items():
+        fit, se = dense_spline(a, b, 21)
+        assert [got[k][i].y for i in range(21)] == pytest.approx(fit, rel=1e-6)
+        assert [got[k][i].se for i in range(21)] == pytest.approx(se, rel=1e-5)
+    assert all(r.y is None and r.se is None for k in ("few", "one") for r in got[k].values())
+    assert [r.y for r in got["flat"].values()] == pytest.approx([7.0] * 21)
+    assert None not in got
+    plain = op.spline_trend(df.where("k = 'line'"), "x", "y", grid=21).collect()
+    assert {r.grid_index: r.y for r in plain} == pytest.approx({i: r.y for i, r in got["line"].items()})
+    assert op.spline_trend(df.limit(0), "x", "y").count() == 0
+    with pytest.raises(ValueError):
+        op.local_trend(df, "x", "y", method="loess")

@@ -379,3 +379,46 @@ def _(s, d):
     band = op.local_trend(weeks_since_first(s, d), "week", "price", se=True)
     band = band.withColumns({"price": F.col("price") / 100, "se": F.col("se") / 100})
     return rounded(rounded(band, "week", places=4), "price", "se", places=2)
+
+
+@query(
+    "spline_trend",
+    f"""
+    WITH RECURSIVE p AS (SELECT CAST(week AS DOUBLE) AS x, count(*) AS n, sum(price) AS sy, sum(price * price) AS syy FROM {WEEKLY} GROUP BY 1),
+    b AS (SELECT min(x) AS lo, max(x) AS hi, sum(n) AS total, sum(sy) / sum(n) AS mean FROM p),
+    left_over AS (SELECT sum(syy - 2 * mean * sy + n * mean * mean) AS ss FROM p, b),
+    places AS (SELECT 'week' AS kind, x AS spot, (x - lo) / (hi - lo) * 10 AS s, n, sy - n * mean AS rest FROM p, b
+      UNION ALL SELECT 'grid', CAST(i AS DOUBLE), i / 79.0 * 10, 0, 0 FROM (SELECT unnest(range(80)) AS i)),
+    u AS (SELECT *, least(CAST(floor(s) AS INT), 9) AS seg, s - least(CAST(floor(s) AS INT), 9) AS u FROM places),
+    v AS (SELECT kind, spot, n, rest, seg + k AS i, CASE k WHEN 0 THEN pow(1 - u, 3) / 6 WHEN 1 THEN (3 * pow(u, 3) - 6 * u * u + 4) / 6
+        WHEN 2 THEN (-3 * pow(u, 3) + 3 * u * u + 3 * u + 1) / 6 ELSE pow(u, 3) / 6 END AS v FROM u, (SELECT unnest(range(4)) AS k)),
+    gram AS (SELECT a.i, b.i AS j, sum(a.n * a.v * b.v) AS g FROM v a JOIN v b ON a.spot = b.spot WHERE a.kind = 'week' AND b.kind = 'week' GROUP BY 1, 2),
+    side AS (SELECT i, sum(rest * v) AS r FROM v WHERE kind = 'week' GROUP BY 1),
+    d2 AS (SELECT p, p + k AS i, CASE k WHEN 1 THEN -2.0 ELSE 1.0 END AS v FROM (SELECT unnest(range(11)) AS p), (SELECT unnest(range(3)) AS k)),
+    bend AS (SELECT a.i, b.i AS j, sum(a.v * b.v * CASE WHEN a.p <> b.p THEN 1.0 / 6 WHEN a.p IN (0, 10) THEN 1.0 / 3 ELSE 2.0 / 3 END) AS w
+      FROM d2 a JOIN d2 b ON abs(a.p - b.p) <= 1 GROUP BY 1, 2),
+    pens AS (SELECT k / 4.0 AS power, pow(10, k / 4.0) * (SELECT sum(g) FROM gram WHERE i = j) / (SELECT sum(w) FROM bend WHERE i = j) AS pen
+      FROM (SELECT unnest(range(-24, 25)) AS k)),
+    cells AS (SELECT i, j FROM (SELECT unnest(range(13)) AS i), (SELECT unnest(range(27)) AS j)),
+    solve AS (
+      SELECT 0 AS k, power, pen, c.i, c.j, CAST(CASE WHEN c.j < 13 THEN coalesce(g, 0) + pen * coalesce(w, 0) WHEN c.j = 13 THEN coalesce(r, 0)
+          WHEN c.j = 14 + c.i THEN 1 ELSE 0 END AS DOUBLE) AS v
+      FROM pens, cells c LEFT JOIN gram ON gram.i = c.i AND gram.j = c.j LEFT JOIN bend ON bend.i = c.i AND bend.j = c.j LEFT JOIN side ON side.i = c.i
+      UNION ALL
+      SELECT t.k + 1, t.power, t.pen, t.i, t.j, CASE WHEN t.i = t.k THEN t.v / p.v ELSE t.v - c.v * r.v / p.v END
+      FROM solve t JOIN solve p ON p.power = t.power AND p.i = t.k AND p.j = t.k JOIN solve c ON c.power = t.power AND c.i = t.i AND c.j = t.k
+      JOIN solve r ON r.power = t.power AND r.i = t.k AND r.j = t.j WHERE t.k < 13),
+    pivots AS (SELECT power, sum(ln(v)) AS log_det FROM solve WHERE i = k AND j = k GROUP BY 1),
+    done AS (SELECT power, pen, ss - sum(v * coalesce(r, 0)) AS rest FROM solve LEFT JOIN side USING (i), left_over WHERE k = 13 AND j = 13 GROUP BY 1, 2, ss),
+    best AS (SELECT power, rest FROM done JOIN pivots USING (power), b ORDER BY (total - 2) * ln(rest) + log_det - 11 * ln(pen), power DESC LIMIT 1),
+    coef AS (SELECT i, j, v FROM solve WHERE k = 13 AND j >= 13 AND power = (SELECT power FROM best)),
+    fit AS (SELECT spot, sum(v.v * coef.v) AS fit FROM v JOIN coef ON coef.i = v.i AND coef.j = 13 WHERE kind = 'grid' GROUP BY 1),
+    spread AS (SELECT a.spot, sum(a.v * coef.v * b.v) AS w FROM v a JOIN v b ON a.spot = b.spot AND b.kind = 'grid' JOIN coef ON coef.i = a.i AND coef.j = 14 + b.i
+      WHERE a.kind = 'grid' GROUP BY 1)
+    SELECT CAST(spot AS INT) AS grid_index, round(lo + (hi - lo) * spot / 79.0, 4) AS week, round((mean + fit) / 100, 2) AS price,
+      round(sqrt(rest / (total - 2) * w) / 100, 2) AS se FROM fit JOIN spread USING (spot), b, best""",
+)
+def _(s, d):
+    curve = op.local_trend(weeks_since_first(s, d), "week", "price", se=True, method="spline")
+    curve = curve.withColumns({"price": F.col("price") / 100, "se": F.col("se") / 100})
+    return rounded(rounded(curve, "week", places=4), "price", "se", places=2)
