@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from cohortloom.llm import vocab
 from cohortloom.llm.common import id_and_text
 
+#: Texts whose pieces a worker holds at once.
+_SLICE_ROWS = 512
 #: Bits of a sequence id below the length's exponent: the task's number and the piece's number in the task.
 _TASK_BITS, _PIECE_BITS = 26, 32
 
@@ -50,7 +52,7 @@ def pack_documents(
         if task >> _TASK_BITS:
             raise ValueError("too many partitions for sequence ids")
         seen = [0] * (longest.bit_length() + 1)
-        for batch in batches:
+        for batch in (b.slice(at, _SLICE_ROWS) for b in batches for at in range(0, b.num_rows, _SLICE_ROWS)):
             out, pieces = {f: [] for f in fields}, []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids, start = vocab.encode_packed(path, text) + end, 0
