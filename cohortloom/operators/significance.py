@@ -145,10 +145,13 @@ def _tables(df: DataFrame, row: str, col: str, by: Iterable[str]) -> tuple[DataF
     return tables.withColumn("_log_obs", F.col("_log_obs") - F.expr(log_choose("_n", "_k"))), keys
 
 
-STEPS = 4  # rows that are filled one by one, before the two largest ones
+STEPS = 2  # rows that are filled one by one, before the four largest ones
 CHILDREN = 1 << 19  # fills that a task holds at a time
-TOTALS = [f"_t{i}" for i in range(STEPS + 2)]
+WIDTH = 64  # counts of the lower pair that make one row of work
+HELD = 1 << 22  # entries of pair tables that a task keeps
+TOTALS = [f"_t{i}" for i in range(STEPS + 4)]
 NODE = {"_limit": "double", **dict.fromkeys(["_n", "_k", *TOTALS, "m"], "bigint"), "past": "double", "mass": "double"}
+WORK = {**NODE, "c": "bigint", "width": "bigint"}
 
 
 def _log_fact(n: np.ndarray) -> np.ndarray:
@@ -242,7 +245,7 @@ def _filled(step: int):
 
 
 def _started(batches):
-    """Fills of the rows beyond the ``STEPS + 2`` largest: ``_id`` counts through all of them in mixed radix."""
+    """Fills of the rows beyond the ``STEPS + 4`` largest: ``_id`` counts through all of them in mixed radix."""
     for batch in batches:
         heads = batch.column("_head").to_pylist()
         rest, limit_k = (x.copy() for x in _read(batch, "_id", "_k"))
@@ -277,7 +280,7 @@ def _schema(df: DataFrame, keys: list[str], more: dict[str, str]) -> str:
 
 
 def _open_fills(sized: DataFrame, keys: list[str]) -> DataFrame:
-    """Fills of all rows but the two largest: count ``m`` left for those, log weight ``past``, and ``mass``.
+    """Fills of all rows but the four largest: count ``m`` left for those, log weight ``past``, and ``mass``.
 
     Rows are filled one by one, smallest first. A partial fill is closed as soon as even its best completion is no likelier
     than the observed table: then all completions count, and ``mass`` is their share of all tables. Open fills (``mass``
@@ -290,73 +293,98 @@ def _open_fills(sized: DataFrame, keys: list[str]) -> DataFrame:
     nodes = nodes.drop("_block", "_space").mapInArrow(_started, schema)
     for step in range(STEPS):
         nodes = nodes.mapInArrow(_filled(step), schema)
-        if step:
-            # One table starts as one row; its open fills must spread.
-            nodes = nodes.repartition(*keys, "m", "past")
     return nodes
 
 
-def _left_for_two(batches):
-    """The counts that open fills can leave for the two largest rows, by the bounds of both parts."""
-    for batch in batches:
-        heads = batch.column("_head").to_pylist()
-        k, limit = _read(batch, "_k", "_limit")
-        totals = _read(batch, *TOTALS)
-        for i, head in enumerate(heads):
-            free, pair = [*head, *[int(t[i]) for t in totals[:-2]]], [int(t[i]) for t in totals[-2:]]
-            m = np.arange(max(0, int(k[i]) - sum(free)), min(int(k[i]), sum(pair)) + 1)
-            as_rows = lambda values: [np.full(len(m), v) for v in values]
-            bound = _best_fill(as_rows(free), k[i] - m) + _best_fill(as_rows(pair), m)
-            m = m[bound > limit[i] - 1e-6]
-            yield _with(batch, np.full(len(m), i), m=m)
-
-
-def _sums_of_two(batches):
-    """Every fill of the two largest rows with its log weight ``at`` and its share of those with the same count."""
-    for batch in batches:
-        (m,) = _read(batch, "m")
-        one, two = _read(batch, *TOTALS[-2:])
-        low, high = _span(one, two, m)
-        names = [c for c in batch.schema.names if c not in (*NODE, "_head") or c in ("_n", "m")]
-        plain = pa.RecordBatch.from_arrays([batch.column(c) for c in names], names)
-        for part in _parts(high - low + 1):
-            row, a = _choices(low[part], (high - low + 1)[part])
-            row = row + part.start
-            at = _log_ways(one[row], a) + _log_ways(two[row], m[row] - a)
-            share = np.exp(at - _log_ways(one[row] + two[row], m[row]))
-            out = plain.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(at), pa.array(share)], [*names, "at", "share"])
+def _paired(batches):
+    """Deal the count of an open fill to the lower and the upper pair of the four largest rows. Counts whose best completion is
+    no likelier than the observed table are closed into ``mass``; runs of open counts of the lower pair, up to ``WIDTH``
+    from ``c`` on, become rows of work."""
+    for whole in batches:
+        names = [*whole.schema.names, "c", "width"]
 
+        def sent(rows, c, width, names=names):
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(c, pa.int64()), pa.array(width, pa.int64())], names)
 
-def _asking(batches):
-    """Open fills as questions: the log weight that is left to the two largest rows, and the fill's share of all tables."""
-    for batch in batches:
+        is_open = whole.column("mass").is_null().to_numpy(zero_copy_only=False)
+        done, batch = whole.filter(pa.array(~is_open)), whole.filter(pa.array(is_open))
+        yield sent(done, np.zeros(len(done), np.int64), np.zeros(len(done), np.int64))
         n, k, limit, m, past = _read(batch, "_n", "_k", "_limit", "m", "past")
-        one, two = _read(batch, *TOTALS[-2:])
-        share = np.exp(past + _log_ways(one + two, m) - _log_ways(n, k))
-        names = [c for c in batch.schema.names if c not in NODE or c in ("_n", "m")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(limit - past), pa.array(share)], [*names, "at", "share"])
+        t = _read(batch, *TOTALS[-4:])
+        lower, upper = t[0] + t[1], t[2] + t[3]
+        low, high = _span(lower, upper, m)
+        for part in _parts(high - low + 1):
+            row, c = _choices(low[part], (high - low + 1)[part])
+            row = row + part.start
+            left = m[row] - c
+            best = past[row] + _best_fill([x[row] for x in t[:2]], c) + _best_fill([x[row] for x in t[2:]], left)
+            closed = best <= limit[row]
+            share = np.exp(past[row] + _log_ways(lower[row], c) + _log_ways(upper[row], left) - _log_ways(n[row], k[row])) * closed
+            parents = np.arange(part.start, part.stop)
+            yield sent(_with(batch, parents, mass=np.bincount(row - part.start, share, len(parents))), 0 * parents, 0 * parents)
+            row, c = row[~closed], c[~closed]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (c[1:] != c[:-1] + 1) | (c[1:] % WIDTH == 0)][: len(row)])
+            yield sent(batch.take(pa.array(row[first])), c[first], np.diff(np.r_[first, len(row)]))
+
+
+def _pair_table(one: int, two: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every fill of two rows with ``m`` between them: log weights, ascending, shares of all, and shares below each."""
+    low, high = _span(np.array([one]), np.array([two]), np.array([m]))
+    a = np.arange(low[0], high[0] + 1)
+    at = _log_ways(np.full(len(a), one), a) + _log_ways(np.full(len(a), two), m - a)
+    at = np.sort(at)
+    share = np.exp(at - _log_ways(np.array([one + two]), np.array([m])))
+    return at, share, np.r_[0.0, np.cumsum(share)]
+
+
+def _weighed(batches):
+    """Share ``_p`` of all tables that the rows' completions no likelier than the observed table have.
+
+    For one count of either pair, a fill of the lower pair asks for the shares of all fills of the upper one that bring
+    the table to no more than the observed weight: a running sum over the upper pair's weights in order.
+    """
+    tables, held = {}, 0
+    for batch in batches:
+        n, k, limit, m, past, first, width = _read(batch, "_n", "_k", "_limit", "m", "past", "c", "width")
+        totals = np.column_stack(_read(batch, *TOTALS[-4:]))
+        mass = np.array(_read(batch.select(["mass"]), "mass")[0], float)
+        for i in np.flatnonzero(width).tolist():
+            c = np.arange(first[i], first[i] + width[i])
+            t = [np.full(len(c), x) for x in (totals[i, 0] + totals[i, 1], totals[i, 2] + totals[i, 3], n[i], k[i])]
+            share = np.exp(past[i] + _log_ways(t[0], c) + _log_ways(t[1], m[i] - c) - _log_ways(t[2], t[3]))
+            total, free = 0.0, limit[i] - past[i]
+            for count, weight in zip(c.tolist(), share.tolist(), strict=True):
+                sides = []
+                for key in ((*totals[i, :2].tolist(), count), (*totals[i, 2:].tolist(), int(m[i]) - count)):
+                    if key not in tables:
+                        if held > HELD:
+                            tables, held = {}, 0
+                        tables[key] = _pair_table(*key)
+                        held += len(tables[key][0])
+                    sides.append(tables[key])
+                (at, share_at, below_at), (upper, _, below) = sides
+                shut = int(np.searchsorted(at, free - upper[-1], "right"))
+                found = below[np.searchsorted(upper, free - at[shut:], "right")]
+                total += weight * (below_at[shut] + float(share_at[shut:] @ found))
+            mass[i] = total
+        names = [x for x in batch.schema.names if x not in WORK or x == "_n"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(mass)], [*names, "_p"])
 
 
 def _exact_part(tables: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of probabilities of all tables no likelier than the observed one.
 
-    Closed fills bring their share. An open one asks for the weight of all fills of the two largest rows that bring the
-    column to its total and the table to no more than the observed weight: a running sum of those rows' weights in order,
-    which all open fills with the same remaining count share.
+    Closed fills bring their share. The four largest rows are never filled per row of a frame: a row of work is an open
+    fill of the others and a few counts of the lower pair, and tasks that share counts share the tables of both pairs.
     """
     sized = _sized(tables, keys)
-    fills = _open_fills(sized, keys)
-    schema = _schema(sized, keys, {"_n": "bigint", "m": "bigint", "at": "double", "share": "double"})
-    names = [quoted(k) for k in keys]
-    asked = fills.filter("mass IS NULL").mapInArrow(_asking, schema).selectExpr("*", "1 AS side")
-    left = sized.mapInArrow(_left_for_two, _schema(sized, keys, {**NODE, "_head": "array<bigint>"}))
-    given = left.repartition(*keys, "m").mapInArrow(_sums_of_two, schema).selectExpr("*", "0 AS side")
-    upto = Window.partitionBy(*keys, "m").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
-    met = given.unionByName(asked).withColumn("_below", F.sum(F.when(F.col("side") == 0, F.col("share")).otherwise(0.0)).over(upto))
-    found = fills.filter("mass IS NOT NULL").selectExpr(*names, "_n", "mass AS _p").unionByName(
-        met.filter("side = 1").selectExpr(*names, "_n", "share * _below AS _p")
-    )
+    parts = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A few rows carry the work, so their number and not their bytes must spread it.
+    nodes = _open_fills(sized, keys).repartition(parts, *keys, "m", "past")
+    work = nodes.mapInArrow(_paired, _schema(sized, keys, WORK))
+    place = [*keys, F.expr(f"c div {WIDTH}"), F.expr(f"m div {WIDTH}")]
+    work = work.repartition(parts, *place).sortWithinPartitions(*place)
+    found = work.mapInArrow(_weighed, _schema(sized, keys, {"_n": "bigint", "_p": "double"}))
     return found.groupBy(*keys).agg(F.first("_n").alias("n"), F.least(F.sum("_p"), F.lit(1.0)).alias("p")).withColumn("method", F.lit("exact"))
 
 

@@ -394,3 +394,34 @@ def test_spline_trend_matches_dense_least_squares(spark):
     assert op.spline_trend(df.limit(0), "x", "y").count() == 0
     with pytest.raises(ValueError):
         op.local_trend(df, "x", "y", method="loess")
+
+
+def test_exact_test_of_large_tables_sends_few_rows(spark):
+    """Five levels of 20,000 people each: no row per fill leaves a task, and p agrees with a sum over all fills."""
+    def tested(table):
+        cells = [(str(i), t, 1) for i, (n, k) in enumerate(table) for t in [1] * k + [0] * (n - k)]
+        return spark.createDataFrame(cells, "level string, treated int, one int")
+
+    crowd = tested([(20_000, 5_400), (20_100, 5_410), (20_200, 5_560), (20_300, 5_480), (20_400, 5_590)])
+    tables, keys = significance._tables(crowd, "level", "treated", [])
+    sized = significance._sized(tables, keys)
+    fills = significance._open_fills(sized, keys)
+    assert fills.count() < 1_000
+    work = fills.mapInArrow(significance._paired, significance._schema(sized, keys, significance.WORK))
+    assert work.count() < 20_000
+
+    table = [(500, 140), (600, 150), (700, 210), (800, 230)]
+    log = np.array([math.lgamma(v + 1) for v in range(2_601)])
+    ways = [log[n] - log[: n + 1] - log[n::-1] for n, _ in table]
+    total = sum(k for _, k in table)
+    whole = log[2_600] - log[total] - log[2_600 - total]
+    limit = sum(w[k] for w, (_, k) in zip(ways, table, strict=True)) + np.log1p(1e-7)
+    p = 0.0
+    for a in range(501):
+        b = np.arange(601)[:, None]
+        c = np.arange(701)[None, :]
+        d = total - a - b - c
+        weight = ways[0][a] + ways[1][:, None] + ways[2][None, :] + ways[3][np.clip(d, 0, 800)]
+        p += np.exp(weight - whole)[(d >= 0) & (d <= 800) & (weight <= limit)].sum()
+    got = significance.fisher_exact(tested(table), "level", "treated").first()
+    assert got.p == pytest.approx(p, rel=1e-9)
