@@ -267,29 +267,28 @@ def allowed_bits(similarity: float, bits: int = 128, slack: float = 2.0) -> int:
     return int(round(bits * share + slack * np.sqrt(bits * share * (1 - share))))
 
 
-def close_pairs(codes: np.ndarray, group: np.ndarray, radius: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within ``radius``: all pairs of a group of up to ``small`` rows; in a larger one each row with the
-    first of up to 64 pivots that it is close to, so that pairs grow with the rows. ``group`` must be sorted."""
-    opens = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    ends = np.r_[opens[1:], len(group)]
+def tree_pairs(codes: np.ndarray, group: np.ndarray, radius: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within ``radius`` that the Gray tree of their group finds: all pairs of a group of up to ``small`` rows;
+    in a larger one each row with the first of up to 64 pivots that it is close to, so that pairs grow with the rows."""
+    tree = GrayTree(codes, group)
+    size = np.bincount(tree.group)[tree.group]
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for step in range(1, small):
-        a = np.arange(max(len(group) - step, 0))
-        size = np.repeat(ends - opens, ends - opens)
-        a = a[(group[a] == group[a + step]) & (size[a] <= small)]
-        a = a[np.bitwise_count(codes[a] ^ codes[a + step]).sum(axis=1) <= radius]
-        left.append(a)
-        right.append(a + step)
-    for start, end in zip(opens.tolist(), ends.tolist(), strict=True):
-        free = np.arange(start, end) if end - start > small else []
-        for _ in range(64):
-            if len(free) < 2:
-                break
-            close = np.bitwise_count(codes[free[1:]] ^ codes[free[0]]).sum(axis=1) <= radius
-            right.append(free[1:][close])
-            left.append(np.full(int(close.sum()), free[0]))
-            free = free[1:][~close]
-    return np.concatenate(left), np.concatenate(right)
+    for a, b in tree.near(radius, np.flatnonzero((size > 1) & (size <= small))):
+        left.append(a[a < b])
+        right.append(b[a < b])
+    free = size > small
+    for _ in range(64):
+        rows = np.flatnonzero(free)
+        pivots = rows[np.unique(tree.group[rows], return_index=True)[1]]
+        if not len(pivots):
+            break
+        free[pivots] = False
+        for a, b in tree.near(radius, pivots):
+            a, b = a[free[b]], b[free[b]]
+            left.append(a)
+            right.append(b)
+            free[b] = False
+    return tree.order[np.concatenate(left)], tree.order[np.concatenate(right)]
 
 
 def whole_keys(batches, flush, block: int):
@@ -359,7 +358,8 @@ def exact_links(dealt: DataFrame, sets_of, radius: int, similarity: float) -> Da
     """Edges ``a``, ``b`` of exact Jaccard ``similarity`` that connect what all such pairs of one (``mask``, ``bits``) key do.
 
     ``dealt`` has ``mask``, ``bits``, ``name``, ``w0`` and ``w1``; ``sets_of`` gives ``key`` and ``set`` of a frame of names.
-    Candidates within ``radius`` come first, in numbers that grow with the rows, and are checked one by one. Crowded keys
+    Candidates within ``radius`` come first, from the Gray tree of each key, in numbers that grow with the rows, and are
+    checked one by one. Crowded keys
     that these leave in several parts are then searched whole, part against part.
     """
 
@@ -367,7 +367,7 @@ def exact_links(dealt: DataFrame, sets_of, radius: int, similarity: float) -> Da
         def flush(part: pa.Table, group: np.ndarray):
             codes = np.column_stack([part.column(c).to_numpy().view(np.uint64) for c in ("w0", "w1")])
             mask, bits, name = (part.column(c).to_numpy() for c in ("mask", "bits", "name"))
-            a, b = close_pairs(codes, group, radius)
+            a, b = tree_pairs(codes, group, radius)
             crowd = np.flatnonzero(np.bincount(group)[group] > 8)
             a, b = np.minimum(name[a], name[b]), np.maximum(name[a], name[b])
             return pa.RecordBatch.from_arrays(
@@ -424,29 +424,32 @@ def similar_groups(docs: DataFrame, key: str, size: int = 5, similarity: float =
 
     Two texts are near-duplicates if their sets of ``size``-word shingles have a Jaccard similarity of ``similarity`` or
     more. Bands of least shingle hashes deal them out: as many that a pair at the limit shares one with probability
-    ``recall``, whether one passage, a tail or scattered words differ, and at any number of texts. Pairs whose 128-bit
-    fingerprints of the distinct shingles lie near are then checked on the sets; only checked links connect.
+    ``recall``, whether one passage, a tail or scattered words differ, and at any number of texts. The rows of a band's key
+    stand under a Gray tree of 128-bit SimHash fingerprints of the distinct shingles, which finds the pairs that lie near.
+    These are then checked on the sets, those of equal fingerprints too; only equal sets and checked links connect.
     ``key`` must be a unique long. Texts without words (null ones too) are copies of each other.
     """
     bands = int(np.ceil(np.log(1 - recall) / np.log(1 - similarity**5)))
 
     def run(batches):
         for batch in batches:
-            codes, keys = [], []
+            codes, keys, names = [], [], []
             for text in batch.column("text").to_pylist():
                 shingles = np.unique(shingle_hashes(lower_words(text), size))
                 codes.append([majority_bits(shingles), majority_bits(_mixed(shingles))])
                 keys.append(band_keys(shingles, bands).view(np.int64))
+                names.append(xxhash.xxh3_128_digest(shingles.tobytes()))
             codes = np.array(codes, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), *[pa.array(codes[:, k].copy()) for k in range(2)], pa.array(keys, pa.list_(pa.int64()))],
-                ["key", "w0", "w1", "bands"],
+                [batch.column("key"), *[pa.array(codes[:, k].copy()) for k in range(2)], pa.array(keys, pa.list_(pa.int64())),
+                 pa.array(names, pa.binary())],
+                ["key", "w0", "w1", "bands", "same"],
             )
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(run, "key long, w0 long, w1 long, bands array<long>")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(run, "key long, w0 long, w1 long, bands array<long>, same binary")
     rows = written(rows, "fingerprints")
-    codes = written(rows.groupBy("w0", "w1").agg(F.min("key").alias("name"), F.min_by("bands", "key").alias("bands")), "codes")
+    codes = written(rows.groupBy("same").agg(F.min("key").alias("name"), *[F.min_by(c, "key").alias(c) for c in ("w0", "w1", "bands")]), "codes")
     dealt = codes.select("name", "w0", "w1", F.posexplode("bands").alias("mask", "bits"))
 
     def sets_of(names: DataFrame) -> DataFrame:
@@ -454,5 +457,5 @@ def similar_groups(docs: DataFrame, key: str, size: int = 5, similarity: float =
 
     # Four deviations, so that hardly a pair at the limit is lost before its check.
     roots = connected(exact_links(dealt, sets_of, allowed_bits(similarity, slack=4.0), similarity))
-    named = codes.join(roots, codes["name"] == roots["node"], "left").select("w0", "w1", F.coalesce("root", "name").alias("group"))
-    return rows.join(named, ["w0", "w1"]).select(F.col("key").alias(key), "group")
+    named = codes.join(roots, codes["name"] == roots["node"], "left").select("same", F.coalesce("root", "name").alias("group"))
+    return rows.join(named, "same").select(F.col("key").alias(key), "group")

@@ -208,3 +208,19 @@ def test_tree_asks_every_row_whatever_the_part(most):
     tree = simhash.GrayTree(codes, np.zeros(10, np.int64))
     pairs = [p for a, b in tree.near(0, np.arange(10), most) for p in zip(a.tolist(), b.tolist(), strict=True)]
     assert sorted(pairs) == [(i, j) for i in range(10) for j in range(10) if i != j]
+
+
+def test_similar_groups_search_the_gray_tree():
+    """Candidates come from the Gray tree of their key, and small groups lose no pair; pivots reach every row near them."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, (60, 2), np.uint64)
+    codes = np.repeat(base, 5, axis=0)
+    codes[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    group = np.r_[np.repeat(np.arange(50), 5), np.full(50, 50)]
+    a, b = simhash.tree_pairs(codes, group, 2)
+    near = np.bitwise_count(codes[a] ^ codes[b]).sum(axis=1)
+    assert (near <= 2).all() and (group[a] == group[b]).all()
+    assert {(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True) if group[p[0]] < 50} == {
+        (5 * g + i, 5 * g + j) for g in range(50) for j in range(5) for i in range(j)
+    }
+    assert len(set(b[group[a] == 50].tolist())) == 40  # ten pivots reach the four others of their five
