@@ -7,7 +7,8 @@ bounded worker cache answers the rest. Every id comes from the library.
 Where cutting is neutral:
 
 * Byte-level vocabularies split texts by ``PATTERN`` before merging. A run of white space and the following run of
-  other characters lie in one chunk, so no match of the pattern spans two chunks.
+  other characters lie in one chunk, so no match of the pattern spans two chunks. A comma or full stop right after a
+  letter or digit starts a match, so a cut before it is neutral too.
 * The word vocabulary drops white space and never merges across it, so a cut at a space or newline is always neutral.
 """
 
@@ -22,6 +23,10 @@ from functools import lru_cache
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _RARE_WHITE = re.compile("[\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: A comma or full stop that does not follow a letter or digit; those that do start a pre-token of their own.
+_LOOSE_MARK = re.compile("(?<![A-Za-z0-9\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f])[.,]")
+#: Stands before a chunk that follows the one before it without a space.
+_JOINED = "\x01"
 _TAIL = ".,!?;:#$%&*|\"')>"
 #: Letters below this have the same class in every Unicode version and are stable under NFC.
 _SAFE_BELOW = "ɐ"
@@ -62,7 +67,7 @@ def plain_chunks(text: str) -> bool:
     """Whether every space and newline follows something else than white space, so that each starts a chunk."""
     if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
         return False
-    if "\t" in text or "\r" in text or "\v" in text or "\f" in text:
+    if "\t" in text or "\r" in text or "\v" in text or "\f" in text or _JOINED in text:
         return False
     return text.isascii() or not _RARE_WHITE.search(text)
 
@@ -74,7 +79,7 @@ def plain_word(word: str) -> bool:
 
 class ChunkTable(dict):
     """The value of each chunk. Without ``lead`` chunks are encoded as they stand; with it a chunk stands for itself after
-    one space, unless it starts with a newline.
+    one space, unless it starts with a newline or the mark of a joined chunk.
 
     A bounded cache of two generations: a full table becomes the old one, and chunks that are met again move back.
     """
@@ -110,7 +115,10 @@ class ChunkEncoder:
     def chunk_value(self, chunk: str, table: ChunkTable):
         """A chunk is often a word with trailing punctuation: the word is one pre-token for the model, and the
         punctuation after a letter is always a pre-token of its own."""
-        lead = table.lead and chunk[:1] != "\n"
+        lead = table.lead and chunk[:1] not in ("\n", _JOINED)
+        if table.lead and chunk[:1] == _JOINED:
+            chunk = chunk[1:]
+        whole = " " + chunk if lead else chunk
         word = chunk.lower() if self.word_level else chunk
         if plain_word(word):
             shown = word if word.isascii() else to_byte_characters(word)  # ASCII letters stand for themselves
@@ -122,7 +130,7 @@ class ChunkEncoder:
         if core[:1] == " ":
             lead, core = True, core[1:]
         if not plain_word(core.lower() if self.word_level else core):
-            return self.library_value(" " + chunk if table.lead and chunk[:1] != "\n" else chunk)
+            return self.library_value(whole)
         value = self.words[lead][core]
         if head:
             value = self.mark_value(head) + value
@@ -141,6 +149,8 @@ class ChunkEncoder:
         if self.word_level:
             return map(self.exact.__getitem__, text.replace("\n", " ").split(" "))
         if plain_chunks(text):
+            if not _LOOSE_MARK.search(text):  # words with marks behind them are no entries of their own
+                text = text.replace(",", " " + _JOINED + ",").replace(".", " " + _JOINED + ".")
             chunks = text.replace("\n", " \n").split(" ")
             first = self.exact[chunks[0]]
             chunks = map(self.spaced.__getitem__, chunks)

@@ -52,6 +52,17 @@ def test_chunked_ids_equal_the_library_on_odd_texts(text):
         assert ids_of(path, text) == _LIBRARY[path].encode(text, add_special_tokens=False).ids
 
 
+def test_words_with_marks_are_no_entries_of_their_own():
+    """A comma or full stop behind a word is cut off before the cache is asked; the ids stay those of the library."""
+    path = BYTE
+    encoder, plain = vocab.ChunkEncoder(vocab.load(path), False, vocab.pack), vocab.load(path)
+    text = "Start alpha, alpha. alpha beta. Eté, été, gamma,delta 3.5, 4.\nalpha, omega,\"x\" it's. end,"
+    assert b"".join(encoder.values(text)) == vocab.pack(plain.encode(text, add_special_tokens=False).ids)
+    assert "alpha" in encoder.spaced and not any(k[0] not in ",.\n\x01" and k[-1] in ",." for k in encoder.spaced)
+    for text in (" , a", ",a, b", "a,, b", "a ., b", "(a), b", "a\n, b", "a\x01, b, c", "\x01a, b", "a \x01. b", "<|endoftext|>, a,", "a_, b", "´, b, c"):
+        assert b"".join(encoder.values(text)) == vocab.pack(plain.encode(text, add_special_tokens=False).ids), text
+
+
 @settings(max_examples=300, deadline=None)
 @given(ODD)
 def test_rank_ids_equal_tiktoken(text):
