@@ -10,7 +10,7 @@ can have a partner are sorted:
 2. **Segments.** A block of documents finds the runs of windows of the anchors that are left and sends their bytes to
    the suffix bucket of the anchor. Equal segments of a block are sent once, by the smallest id; the others are
    covered by it. Anchors in very many blocks (a line that every document has) are dealt by window instead.
-3. **Suffixes.** A bucket sorts the suffixes that start its windows, one range of first bytes at a time, long ties by the
+3. **Suffixes.** A bucket drops the windows whose hash no other has and sorts the suffixes that start the rest, one range of first bytes at a time, long ties by the
    ranks of a difference-cover sample (``suffix_array.py``). Windows that agree lie together; those of larger ids are
    marked.
 4. **Removal.** Marks return to their blocks and are united over the bytes of each document.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.llm.common import written
-from cohortloom.llm.suffix_array import PADDING, SuffixSorter
+from cohortloom.llm.suffix_array import PADDING, SuffixSorter, words_at
 
 #: Bytes of an anchor; the windows of one anchor differ in start by fewer than ``length - ANCHOR + 1``.
 ANCHOR = 20
@@ -319,6 +319,14 @@ def _send_segments(table: pa.Table, length: int, buckets: int, id_col: str, text
     return _rows(out)
 
 
+def _met_again(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Which windows may have an equal one: those whose hash shares its place in a table with another's. No equal windows
+    are lost; the others need no sorting."""
+    bits = max(10, int(8 * len(at)).bit_length())
+    code = _mix([words_at(text, at, k) for k in (*range(0, length - 8, 8), length - 8)]) >> np.uint64(64 - bits)
+    return (np.bincount(code.astype(np.int64), minlength=1 << bits) > 1)[code]
+
+
 def _mark_suffixes(table: pa.Table, length: int, v: int) -> pa.Table:
     """Of one suffix bucket: marks for windows that also start in a smaller id's document, by block."""
     if table.column("kind")[0].as_py() == 1:  # marks that are made already
@@ -336,10 +344,12 @@ def _mark_suffixes(table: pa.Table, length: int, v: int) -> pa.Table:
     step = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     marked = np.zeros(len(of), bool)
     start_of = np.cumsum(windows) - windows
+    at = base[of] + step
+    at = at[_met_again(text, at, length)]
     near = np.zeros(len(text), np.int8)
-    near[base] = 1
-    near[base + windows + v - 1] -= 1
-    for ordered, tie in SuffixSorter(text, length, v, np.cumsum(near, dtype=np.int8) > 0).classes(base[of] + step):
+    near[at] = 1
+    near[at + v] -= 1
+    for ordered, tie in SuffixSorter(text, length, v, np.cumsum(near, dtype=np.int8) > 0).classes(at):
         seg = seg_of[ordered // v]
         doc = segs["doc"][seg]
         opens = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]])

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from cohortloom.llm import suffix_dedup
+from cohortloom.llm import suffix_array, suffix_dedup
 from cohortloom.llm.suffix_array import PADDING, SuffixSorter, difference_cover
 
 LENGTH = 50
@@ -125,3 +125,14 @@ def test_nothing_and_nulls(spark):
     assert suffix_dedup.remove_repeats(none).count() == 0
     nulls = spark.createDataFrame([(None, None), (1, None)], "doc_id long, text string")
     assert [r.repeats.n_bytes for r in suffix_dedup.remove_repeats(nulls).collect()] == [0, 0]
+
+
+def test_windows_without_an_equal_one_are_not_sorted():
+    """Every window with an equal one stays, and few others do."""
+    rng = np.random.default_rng(11)
+    text = rng.integers(0, 256, 20_000).astype(np.uint8)
+    text[9_000:9_300] = text[100:400]
+    text = np.r_[text, np.zeros(suffix_array.PADDING, np.uint8)]
+    kept = suffix_dedup._met_again(text, np.arange(19_900), 50)
+    assert kept[100:351].all() and kept[9_000:9_251].all()
+    assert kept.sum() < 4_000
