@@ -1,10 +1,13 @@
-"""Small helpers shared by the operators: scratch tables, text defaults and word splitting."""
+"""Small helpers shared by the operators: scratch tables, text defaults, word splitting and memory of Python workers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,21 @@ def n_bytes(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
+def release_memory() -> None:
+    """Gives back to the system what this process holds and no longer uses. A Python worker outlives its tasks, so what
+    one operator's largest batch took would stay with the executor through all later ones."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; others give back on their own
+    if trim:
+        trim(0)
+
+
+def releasing(batches: Iterable) -> Iterator:
+    """``batches``, and ``release_memory`` after the last."""
+    yield from batches
+    release_memory()
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A helper column name that ``df`` does not have, whatever the case of its own names."""
     taken, name = {c.lower() for c in df.columns}, f"_{stem}"

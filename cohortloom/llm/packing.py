@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from cohortloom.llm import vocab
-from cohortloom.llm.common import id_and_text
+from cohortloom.llm.common import id_and_text, releasing
 
 #: Texts whose pieces a worker holds at once.
 _SLICE_ROWS = 512
@@ -69,7 +69,7 @@ def pack_documents(
             columns = [pa.array(out[f], pa.int64()) for f in fields] + [pa.array(pieces, pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(columns, fields + ["ids"] * with_ids)
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: releasing(run(batches)), schema)
 
 
 def unpack_piece(ids: bytes) -> np.ndarray:

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.llm.common import release_memory
+
 PASSAGE_WORDS = 48
 _SPACE, _SYMBOL, _MARK, _UPPER, _LOWER, _DIGIT, _WIDE, _OTHER, _LINE, _BAR, _SHOUT = range(11)
 _CLASSES = 11
@@ -230,6 +232,8 @@ def scorer(model: AttentionModel, spark):
         for at in range(0, len(texts), 512):
             features, passages = passage_features([t or "" for t in texts.iloc[at : at + 512]])
             out.append(shared.value.forward(features, passages)[0])
+            del features, passages
+        release_memory()
         return pd.Series(np.concatenate(out) if out else np.empty(0))
 
     return score

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import id_and_text, written
+from cohortloom.llm.common import id_and_text, releasing, written
 from cohortloom.llm.components import connected
 
 _LOWER = bytes(range(256)).lower()
@@ -351,7 +351,7 @@ def shingle_sets(docs: DataFrame, key: str, size: int, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], ["key", "set"])
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(run, "key long, set binary")
+    return docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(lambda batches: releasing(run(batches)), "key long, set binary")
 
 
 def exact_links(dealt: DataFrame, sets_of, radius: int, similarity: float) -> DataFrame:
@@ -376,7 +376,7 @@ def exact_links(dealt: DataFrame, sets_of, radius: int, similarity: float) -> Da
                 ["mask", "a", "b"],
             )
 
-        return whole_keys(batches, flush, 200_000)
+        return releasing(whole_keys(batches, flush, 200_000))
 
     def checked(batches):
         for batch in batches:
@@ -397,7 +397,7 @@ def exact_links(dealt: DataFrame, sets_of, radius: int, similarity: float) -> Da
                 b.extend(name[start + np.array(right, int)].tolist())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        return whole_keys(batches, flush, 4_000)
+        return releasing(whole_keys(batches, flush, 4_000))
 
     def by_key(rows):
         return rows.repartition("mask", "bits").sortWithinPartitions("mask", "bits", "name")
@@ -408,7 +408,7 @@ def exact_links(dealt: DataFrame, sets_of, radius: int, similarity: float) -> Da
     names = pairs.select(F.explode(F.array("a", "b")).alias("key")).union(crowd.select("name")).distinct()
     sets = written(sets_of(names), "shingle-sets")
     both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    edges = written(both.select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long"), "links")
+    edges = written(both.select("a", "b", "sa", "sb").mapInArrow(lambda batches: releasing(checked(batches)), "a long, b long"), "links")
     if crowd.isEmpty():
         return edges
     roots = connected(edges)
@@ -447,7 +447,8 @@ def similar_groups(docs: DataFrame, key: str, size: int = 5, similarity: float =
             )
 
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col(f"`{key}`").alias("key"), text).mapInArrow(run, "key long, w0 long, w1 long, bands array<long>, same binary")
+    rows = docs.select(F.col(f"`{key}`").alias("key"), text)
+    rows = rows.mapInArrow(lambda batches: releasing(run(batches)), "key long, w0 long, w1 long, bands array<long>, same binary")
     rows = written(rows, "fingerprints")
     codes = written(rows.groupBy("same").agg(F.min("key").alias("name"), *[F.min_by(c, "key").alias(c) for c in ("w0", "w1", "bands")]), "codes")
     dealt = codes.select("name", "w0", "w1", F.posexplode("bands").alias("mask", "bits"))

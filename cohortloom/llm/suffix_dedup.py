@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.llm.common import written
+from cohortloom.llm.common import release_memory, releasing, written
 from cohortloom.llm.suffix_array import PADDING, SuffixSorter, words_at
 
 #: Bytes of an anchor; the windows of one anchor differ in start by fewer than ``length - ANCHOR + 1``.
@@ -407,6 +407,17 @@ def _remove(table: pa.Table, id_col: str, text_col: str, into: str, as_text: boo
     return docs.append_column(into, value)
 
 
+def _in_worker(step, *args):
+    """``step`` as a function of one group, whose memory is given back after it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = step(table, *args)
+        release_memory()
+        return out
+
+    return run
+
+
 def _release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps, whose results are written."""
     gc.collect()
@@ -437,14 +448,14 @@ def remove_repeats(
     bare = docs.select(F.col(f"`{id_col}`"), text.alias(text_col), home)
 
     def texts(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(lambda b: _send_texts(b, text_col), _PACKED)
+        return rows.mapInArrow(lambda b: releasing(_send_texts(b, text_col)), _PACKED)
 
-    anchors = bare.select(text_col, "_block").mapInArrow(lambda b: _send_anchors(b, length, buckets, text_col), _PACKED)
-    again = written(anchors.groupBy("key").applyInArrow(_match_anchors, _PACKED), "anchors")
+    anchors = bare.select(text_col, "_block").mapInArrow(lambda b: releasing(_send_anchors(b, length, buckets, text_col)), _PACKED)
+    again = written(anchors.groupBy("key").applyInArrow(_in_worker(_match_anchors), _PACKED), "anchors")
     _release(spark)
     met = texts(bare).union(again).groupBy("key")
-    segments = met.applyInArrow(lambda t: _send_segments(t, length, buckets, id_col, text_col), _PACKED)
-    marks = segments.groupBy("kind", "key").applyInArrow(lambda t: _mark_suffixes(t, length, period), _PACKED)
+    segments = met.applyInArrow(_in_worker(_send_segments, length, buckets, id_col, text_col), _PACKED)
+    marks = segments.groupBy("kind", "key").applyInArrow(_in_worker(_mark_suffixes, length, period), _PACKED)
     marks = written(marks, "marks")
     _release(spark)
     whole = docs.select("*", home)
@@ -455,4 +466,4 @@ def remove_repeats(
         T.StructField("kept", T.BinaryType()),
     ])
     schema = T.StructType([*fields, T.StructField(into, kind)])
-    return texts(whole).union(marks).groupBy("key").applyInArrow(lambda t: _remove(t, id_col, text_col, into, as_text), schema)
+    return texts(whole).union(marks).groupBy("key").applyInArrow(_in_worker(_remove, id_col, text_col, into, as_text), schema)

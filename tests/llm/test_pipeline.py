@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cohortloom.llm import packing, vocab
+from cohortloom.llm import packing, quality, vocab
 
 
 def test_stages_keep_columns_and_follow_decisions(spark):
@@ -66,3 +71,35 @@ def test_stages_on_odd_documents(spark):
     assert sorted(r.text or "" for r in repeats(spark, docs.filter("doc_id IN (2, 3, 4)"), "").collect()) == ["", "", "one"]
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_stages_give_their_workers_memory_back(spark):
+    """After scoring and packing a worker holds little more than before: it outlives its tasks."""
+    words = " ".join(f"w{i}x" for i in range(400))
+    docs = spark.range(16000, numPartitions=1).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit(words), F.lit(" "), F.col("id").cast("string")).alias("text")
+    )
+
+    path = corpus_pipeline.public_tokenizers.path("word_bpe_49k.json")
+
+    def read(_):
+        quality.passage_features(["a"])
+        vocab.id_encoder(path)
+        pages = open("/proc/self/smaps_rollup").read()
+        mb = sum(map(int, re.findall(r"\nPss_(?:Anon|Shmem):\s+(\d+)", pages))) >> 10
+        yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "mb": [mb]})
+
+    def held():
+        rows = spark.range(64, numPartitions=64).mapInArrow(read, "pid long, mb long").groupBy("pid").agg(F.max("mb").alias("mb")).collect()
+        return {r.pid: r.mb for r in rows}
+
+    def grown():
+        return max(mb - before.get(pid, min(before.values())) for pid, mb in held().items())
+
+    before = held()
+    score = quality.scorer(quality.fit_model(np.empty((0, quality.N_FEATURES)), np.empty(0, np.int64), np.empty(0)), spark)
+    docs.select(score("text").alias("s")).agg(F.sum("s")).first()
+    scored = grown()
+    packing.pack_documents(docs, path).agg(F.sum("length")).first()
+    packed = grown()
+    assert scored < 30 and packed < 30, (scored, packed)
