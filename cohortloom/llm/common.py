@@ -37,6 +37,20 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def picked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose long ``key`` is among the same column of ``wanted``; the rows with their texts stay where they are.
+
+    The wanted keys are written as one bit each, 64 neighbouring keys to a row. Of keys that Spark numbered that is a
+    table small enough to be sent to the rows where the keys themselves would not be; if it is not, Spark shuffles.
+    """
+    word, bits = free_name(df, "word"), free_name(df, "bits")
+    place = F.col(f"`{key}`").bitwiseAND(F.lit(63)).cast("int")
+    bit = F.expr(f"shiftleft(1L, CAST(`{key}` & 63 AS INT))")
+    words = wanted.groupBy(F.shiftright(F.col(f"`{key}`"), 6).alias(word)).agg(F.bit_or(bit).alias(bits))
+    words = written(words.where(f"{word} IS NOT NULL"), "wanted")
+    return df.join(words, F.shiftright(df[f"`{key}`"], 6) == words[word]).where(F.getbit(F.col(bits), place) == 1).drop(word, bits)
+
+
 def n_bytes(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 

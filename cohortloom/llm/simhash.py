@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import id_and_text, releasing, written
+from cohortloom.llm.common import id_and_text, picked, releasing, written
 from cohortloom.llm.components import connected
 
 _LOWER = bytes(range(256)).lower()
@@ -454,7 +454,7 @@ def similar_groups(docs: DataFrame, key: str, size: int = 5, similarity: float =
     dealt = codes.select("name", "w0", "w1", F.posexplode("bands").alias("mask", "bits"))
 
     def sets_of(names: DataFrame) -> DataFrame:
-        return shingle_sets(docs.join(names.withColumnRenamed("key", key), key, "left_semi"), key, size, text_col)
+        return shingle_sets(picked(docs, key, names.withColumnRenamed("key", key)), key, size, text_col)
 
     # Four deviations, so that hardly a pair at the limit is lost before its check.
     roots = connected(exact_links(dealt, sets_of, allowed_bits(similarity, slack=4.0), similarity))

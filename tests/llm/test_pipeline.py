@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cohortloom.llm import packing, quality, vocab
+from cohortloom.llm import common, packing, quality, vocab
 
 
 def test_stages_keep_columns_and_follow_decisions(spark):
@@ -103,3 +103,31 @@ def test_stages_give_their_workers_memory_back(spark):
     packing.pack_documents(docs, path).agg(F.sum("length")).first()
     packed = grown()
     assert scored < 30 and packed < 30, (scored, packed)
+
+
+def test_near_dedup_leaves_texts_where_they_are(spark):
+    """Texts are not shuffled for the rows kept, nor for the sets of candidates, where a bit a row is small enough to be sent."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words[(k + i * i) % 200] for i in range(k % 90 + 8)) + f" only {k // 2}" for k in range(8000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    near = corpus_pipeline.STAGES[2][1]
+    want = sorted(r.doc_id for r in near(spark, docs, "").collect())
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")
+    try:
+        out = near(spark, docs, "")
+        assert sorted(r.doc_id for r in out.collect()) == want and len(want) < 8000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_picked_rows(spark):
+    """Negative, repeated, null and far-apart keys, and clashing names, as a semi-join has them."""
+    keys = [-(2**62), -65, -64, -1, 0, 0, 1, 63, 64, 2**33, 2**33 + 63, 2**62, None]
+    df = spark.createDataFrame([(k, f"t{i}", i) for i, k in enumerate(keys)], "key long, _word string, _bits int")
+    wanted = spark.createDataFrame([(k,) for k in [-(2**62), -64, 0, 0, 63, 2**33 + 63, 5, None]], "key long")
+    got = common.picked(df, "key", wanted)
+    assert got.columns == df.columns
+    assert sorted(got.collect()) == sorted(df.join(wanted, "key", "left_semi").collect()) and got.count() == 6
