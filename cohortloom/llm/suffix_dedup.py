@@ -10,9 +10,9 @@ can have a partner are sorted:
 2. **Segments.** A block of documents finds the runs of windows of the anchors that are left and sends their bytes to
    the suffix bucket of the anchor. Equal segments of a block are sent once, by the smallest id; the others are
    covered by it. Anchors in very many blocks (a line that every document has) are dealt by window instead.
-3. **Suffixes.** A bucket drops the windows whose hash no other has and sorts the suffixes that start the rest, one range of first bytes at a time, long ties by the
-   ranks of a difference-cover sample (``suffix_array.py``). Windows that agree lie together; those of larger ids are
-   marked.
+3. **Suffixes.** A bucket drops the windows whose hash no other has and sorts the suffixes that start the rest, one range
+   of first bytes at a time, long ties by the ranks of a difference-cover sample (``suffix_array.py``). Those of equal
+   segments stand in the order once, for the smallest id. Windows that agree lie together; those of larger ids are marked.
 4. **Removal.** Marks return to their blocks and are united over the bytes of each document.
 
 What travels is packed: one compressed row for many anchors, segments, marks or documents. Nothing is collected to the
@@ -235,6 +235,11 @@ def _block(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table | None
     return docs.take(pa.array(order, pa.int64())), [raws[k] for k in order], ids[order]
 
 
+def _widest(length: int) -> int:
+    """Bytes of the longest segment, in whole words."""
+    return -(-(2 * length - ANCHOR) // 8) * 8
+
+
 def _gather(joined: np.ndarray, at: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
     """Bytes from ``at`` on as rows of ``most`` bytes, zero beyond ``size``."""
     rows = np.lib.stride_tricks.sliding_window_view(joined, most)[at]
@@ -242,16 +247,18 @@ def _gather(joined: np.ndarray, at: np.ndarray, size: np.ndarray, most: int) ->
     return rows
 
 
-def _distinct(rows: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows have the smallest id among equal rows, and which are covered by a smaller id's."""
-    words = np.ascontiguousarray(rows).view("<u8")
+def _first_equal(rows: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row the one of the smallest id among those equal to it, or itself. Zeros beyond a row's size are none of
+    its bytes."""
+    words = np.column_stack([np.ascontiguousarray(rows).view("<u8"), sizes.astype(np.uint64)])
     code = _mix([words[:, k] for k in range(words.shape[1])])
     order = np.lexsort([ids, code])
     opens = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]][: len(order)])
-    first = np.repeat(order[opens], np.diff(np.r_[opens, len(order)]))
-    covered = np.zeros(len(rows), bool)
-    covered[order] = (ids[order] > ids[first]) & (words[order] == words[first]).all(axis=1)
-    return ~covered, covered
+    least = np.repeat(order[opens], np.diff(np.r_[opens, len(order)]))
+    equal = (words[order] == words[least]).all(axis=1)
+    first = np.arange(len(rows))
+    first[order[equal]] = least[equal]
+    return first
 
 
 def _send_segments(table: pa.Table, length: int, buckets: int, id_col: str, text_col: str) -> pa.Table:
@@ -273,7 +280,7 @@ def _send_segments(table: pa.Table, length: int, buckets: int, id_col: str, text
     number, first, windows, place, code, is_hot = map(np.concatenate, zip(*found, strict=True))
     joined = np.frombuffer(b"".join(raws) + bytes(PADDING), np.uint8)
     begins = np.cumsum([0, *map(len, raws)])[:-1]
-    most = -(-(2 * length - ANCHOR) // 8) * 8
+    most = _widest(length)
     out, marks, again = [], [], []
 
     def collapsed(number, first, windows, place, code):
@@ -283,7 +290,8 @@ def _send_segments(table: pa.Table, length: int, buckets: int, id_col: str, text
             b = by_code[a : a + (1 << 16)]
             sizes = windows[b] + length - 1
             rows = _gather(joined, begins[number[b]] + first[b], sizes, most)
-            own, covered = _distinct(rows, ids[number[b]])
+            covered = ids[number[b]] > ids[number[b]][_first_equal(rows, sizes, ids[number[b]])]
+            own = ~covered
             marks.append((number[b][covered], first[b][covered], first[b][covered] + sizes[covered]))
             b, sizes, rows = b[own], sizes[own], rows[own]
             yield b, sizes, rows, number[b], first[b], windows[b], place[b], code[b]
@@ -333,19 +341,24 @@ def _mark_suffixes(table: pa.Table, length: int, v: int) -> pa.Table:
         return table
     segs = _together(table.column("payload").to_pylist())
     windows, place = segs["windows"].astype(np.int64), segs["place"].astype(np.int64)
-    sizes = windows + length - 1
-    slots = (sizes + 2 * v - 1) // v * v
+    sizes, most = windows + length - 1, _widest(length)
+    rows = _gather(np.r_[segs["text"], np.zeros(most, np.uint8)], np.cumsum(sizes) - sizes, sizes, most)
+    first = _first_equal(rows, sizes, segs["doc"])  # equal segments are sorted once, and share what their suffixes meet
+    own, several = first == np.arange(len(first)), np.bincount(first, minlength=len(first)) > 1
+    slots = np.where(own, (sizes + 2 * v - 1) // v * v, 0)
     base = np.cumsum(slots) - slots + (-place) % v  # anchors at multiples of the period: equal windows, equal residues
     text = np.zeros(int(slots.sum()) + v + PADDING, np.uint8)
     seg_of = np.repeat(np.arange(len(windows)), slots // v)
-    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    text[np.repeat(base, sizes) + inner] = segs["text"]
+    inner = np.arange(most) < (sizes * own)[:, None]
+    text[(base[:, None] + np.arange(most))[inner]] = rows[inner]
     of = np.repeat(np.arange(len(windows)), windows)
     step = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    marked = np.zeros(len(of), bool)
+    met = np.full(len(of), _NO_ID)
     start_of = np.cumsum(windows) - windows
-    at = base[of] + step
-    at = at[_met_again(text, at, length)]
+    at = (base[of] + step)[own[of]]
+    at = at[_met_again(text, at, length) | several[of[own[of]]]]
+    if not len(at):  # an anchor in common, but no window
+        return _rows([])
     near = np.zeros(len(text), np.int8)
     near[at] = 1
     near[at + v] -= 1
@@ -353,10 +366,8 @@ def _mark_suffixes(table: pa.Table, length: int, v: int) -> pa.Table:
         seg = seg_of[ordered // v]
         doc = segs["doc"][seg]
         opens = np.flatnonzero(np.r_[True, tie[1:] != tie[:-1]])
-        least = np.minimum.reduceat(doc, opens)
-        hit = doc > least[tie]
-        marked[start_of[seg[hit]] + ordered[hit] - base[seg[hit]]] = True
-    on = np.flatnonzero(marked)
+        met[start_of[seg] + ordered - base[seg]] = np.minimum.reduceat(doc, opens)[tie]
+    on = np.flatnonzero(met[start_of[first[of]] + step] < segs["doc"][of])
     if not len(on):
         return _rows([])
     begin = np.r_[True, (np.diff(on) > 1) | (of[on][1:] != of[on][:-1])]

@@ -136,3 +136,41 @@ def test_windows_without_an_equal_one_are_not_sorted():
     kept = suffix_dedup._met_again(text, np.arange(19_900), 50)
     assert kept[100:351].all() and kept[9_000:9_251].all()
     assert kept.sum() < 4_000
+
+
+def test_equal_segments_are_sorted_once(monkeypatch):
+    """Of many copies of a segment in a bucket the suffix sorter gets one; the least id keeps it, all others lose it."""
+    rng, n = np.random.default_rng(13), 200
+    raw = rng.integers(0, 256, 70).astype(np.uint8)
+    packed = suffix_dedup._pack(
+        doc=np.arange(n)[::-1].copy(), number=np.arange(n, dtype=np.uint32), first=np.zeros(n, np.uint32), windows=np.full(n, 21, np.uint8),
+        place=np.full(n, 25, np.uint8), home=np.zeros(n, np.uint32), text=np.tile(raw, n),
+    )
+    sorted_, classes = [], suffix_array.SuffixSorter.classes
+    monkeypatch.setattr(suffix_array.SuffixSorter, "classes", lambda self, at: sorted_.append(len(at)) or classes(self, at))
+    out = suffix_dedup._mark_suffixes(suffix_dedup._rows([(0, 2, packed)]), 50, 32)
+    marks = suffix_dedup._together(out.column("payload").to_pylist())
+    assert sum(sorted_) == 21
+    assert marks["number"].tolist() == list(range(n - 1)) and set(marks["start"]) == {0} and set(marks["stop"]) == {70}
+
+
+def test_zero_bytes_are_bytes(spark):
+    """A text that goes on with zero bytes is longer than one that ends there."""
+    rng = np.random.default_rng(17)
+    stems = ["".join(map(chr, rng.integers(97, 123, 70))) for _ in range(20)]
+    rows = [(10 * i + k, stem + "\0" * k) for i, stem in enumerate(stems) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: bytes(r.repeats.kept) for r in suffix_dedup.remove_repeats(docs, LENGTH).collect()}
+    assert got == {i: text[-1:].encode() if i % 10 else text.encode() for i, text in rows}
+
+
+def test_buckets_without_equal_windows_give_no_marks():
+    """Two segments of one anchor whose windows all differ."""
+    rng = np.random.default_rng(19)
+    raw = rng.integers(0, 256, (2, 50)).astype(np.uint8)
+    raw[1, 20:40] = raw[0, 20:40]
+    packed = suffix_dedup._pack(
+        doc=np.arange(2), number=np.arange(2, dtype=np.uint32), first=np.zeros(2, np.uint32), windows=np.ones(2, np.uint8),
+        place=np.full(2, 20, np.uint8), home=np.zeros(2, np.uint32), text=raw.ravel(),
+    )
+    assert suffix_dedup._mark_suffixes(suffix_dedup._rows([(0, 2, packed)]), 50, 32).num_rows == 0
